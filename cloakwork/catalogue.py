@@ -82,32 +82,55 @@ def label_pattern(labels: Iterable[str]) -> str:
     return rf"(?iu)(?:^|[^\p{{L}}])(?:{alone})(?:[^\p{{L}}]|\z)|{anywhere}"
 
 
-def label_gate(labels: Iterable[str]) -> str:
-    """Weaker form for whole texts: a window edge may cut a word, so no boundaries here."""
-    return "(?iu)" + "|".join(_label_body(x) for x in labels)
-
-
-# Cheap tests a text must pass before a rule's pattern is tried, by name.  Each is implied
-# by any match of the rules that carry it, so gating loses nothing.  ``("has", x)`` is a
-# literal containment test, ``("like", p)`` a pattern search without look-around.
 _DE_TAIL_WORD = r"(?:straße|str\.?|weg|allee|platz|gasse|ring|ufer)"
-GATES = {
-    "at_sign": ("has", "@"),
-    "digit_run": ("like", rf"[0-9][0-9{SPACE}().-]{{8,}}[0-9]"),
-    "digit_groups": ("like", r"[0-9][./-][0-9]{1,3}[./-][0-9]"),
-    "hextets": ("like", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
-    "double_colon": ("has", "::"),
-    "house_ru": ("like", rf"(?iu)д(?:\.|ом)?{S}*[0-9]"),
-    "house_de": ("like", rf"(?iu){S}{_DE_TAIL_WORD}{S}+[0-9]"),
-    "house_en": ("like", rf"[0-9]{S}+[A-Za-z][A-Za-z.\- ]{{1,50}}{S}(?i:st|rd|road|ave|lane|ln|dr|boul|blvd|court|ct|pl|way)"),
-    "postcode": ("like", rf"[0-9]{{5}}(?:-[0-9]{{4}})?{S}+\p{{Lu}}"),
-    "postcode_ru": ("like", rf"[0-9]{{6}}{S}*+(?:,{S}*+)?г"),
-    "caps_digits": ("like", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{5}"),
-    "caps_run": ("like", r"[A-Z]{6}[A-Z0-9]{2}"),
-    "caps_nine": ("like", r"[A-Z0-9]{9}"),
-    "eight_digits": ("like", r"[0-9]{8}"),
-    "person_label": ("like", label_gate(PERSON_LABELS)),
-    "address_label": ("like", label_gate(ADDRESS_LABELS)),
+
+# Cheap tests a text must pass before a rule's pattern is tried, by name.  Each is implied by
+# any match of the rules that carry it, so gating loses nothing.  A full regex pass over a text
+# is the main cost of detection, so every text gets three of them (DIGIT_CONTEXT, CAPS, NAMES)
+# and the tests below look at what those found.  All tests of a gate must hold, in order:
+#   ("has", x)       the text contains the literal
+#   ("like", p)      a pattern search in the text
+#   ("digits", p)    a pattern search in the digit context only
+#   ("any_digit",)   the text has a digit
+#   ("caps", p)      a pattern search in texts with a run of capitals or digits
+#   ("names",)       the text has two words that could be parts of a Latin name
+#   ("cyrillic", x)  the text has a letter of U+0400..U+043F (UTF-8 lead byte D0), or the
+#                    literal x if there is one
+#   ("words", w...)  the lower-cased text contains one of the words; a text with letters that
+#                    only *fold* to the letters of a word passes as well
+# Label gates use parts of the labels, as a window edge may cut a word anywhere.
+DIGIT_CONTEXT = rf"[0-9]++{S}*+(?:,{S}*+)?+[^0-9]{{0,64}}+"
+CAPS = r"[A-Z0-9]{8}"
+NAMES = rf"[A-Z][a-z-]{{2,}}+{S}+[A-Z]"
+# Long s, Kelvin sign, dotted and dotless i, and the lead bytes of U+1C80..U+1CBF, as UTF-8.
+FOLDING_BYTES = ("C5BF", "E284AA", "C4B0", "C4B1", "E1B2")
+GATES: dict[str, tuple[tuple[str, ...], ...]] = {
+    "at_sign": (("has", "@"),),
+    "digit_run": (("digits", rf"[0-9][0-9{SPACE}().-]{{8,}}[0-9]"),),
+    "digit_groups": (("digits", r"[0-9][./-][0-9]{1,3}[./-][0-9]"),),
+    "hextets": (("has", ":"), ("like", r":[0-9A-Fa-f]{1,4}:")),
+    "double_colon": (("has", "::"),),
+    "house_ru": (("any_digit",), ("like", rf"[дД\u1C81](?:\.|[оО\u1C82][мМ])?{S}*[0-9]")),
+    "house_de": (("any_digit",), ("like", rf"(?iu){S}{_DE_TAIL_WORD}{S}+[0-9]")),
+    "house_en": (
+        ("digits", rf"[0-9]{S}+[A-Za-z][A-Za-z.\- ]{{1,50}}{S}(?i:st|rd|road|ave|lane|ln|dr|boul|blvd|court|ct|pl|way)"),
+    ),
+    "postcode": (("digits", rf"[0-9]{{5}}(?:-[0-9]{{4}})?{S}+\p{{Lu}}"),),
+    "postcode_ru": (("digits", rf"[0-9]{{6}}{S}*+(?:,{S}*+)?г"),),
+    "caps_digits": (("caps", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{5}"),),
+    "caps_run": (("caps", r"[A-Z]{6}[A-Z0-9]{2}"),),
+    "caps_nine": (("caps", r"[A-Z0-9]{9}"),),
+    "eight_digits": (("digits", r"[0-9]{8}"),),
+    "names": (("names",),),
+    "names_ru": (("cyrillic",), ("like", rf"[А-ЯЁ][а-яё-]{{2,}}+{S}+[А-ЯЁ]")),
+    "upper_ru": (("cyrillic", "---"), ("like", rf"[А-ЯЁ-]{{3}}{S}+[А-ЯЁ-]{{3}}")),
+    "person_label": (
+        ("words", "name", "applicant", "antrag", "anrede", "фио", "фамили", "имя", "отчество", "заявител", "անուն"),
+    ),
+    "address_label": (
+        ("words", "address", "adresse", "anschrift", "wohnort", "postleitzahl", "plz", "place",
+         "адрес", "жительства", "индекс", "հասցե", "ինդեքս"),
+    ),
 }
 
 
@@ -144,19 +167,19 @@ _DE_TAIL = rf"{_DE_TAIL_WORD}{S}+\d{{1,4}}[a-zA-Z]?(?![\wſ\u212A])"
 _UNIVERSAL = (
     Rule("universal.person.ru_fio", "PERSON",
          rf"(?<!\p{{L}}){_RU_CAP}{S}+{_RU_CAP}{S}+{_RU_CAP}(?!\p{{L}})",
-         76, "name-pattern+context", context="person", gate=("person_label",)),
+         76, "name-pattern+context", context="person", gate=("names_ru", "person_label")),
     Rule("universal.person.ru_fio_upper", "PERSON",
          rf"(?<!\p{{L}})(?:[А-ЯЁ-]{{3,}}+{S}+[А-ЯЁ-]{{3,}}+{S}+[А-ЯЁ-]{{3,}}(?!\p{{L}})|[А-ЯЁ-]{{64,}}+)",
-         74, "name-pattern+context", context="person", gate=("person_label",), real=S),
+         74, "name-pattern+context", context="person", gate=("upper_ru", "person_label"), real=S),
     Rule("universal.person.ru_fullname_2parts", "PERSON",
          rf"(?<!\p{{L}}){_RU_CAP}{S}+{_RU_CAP}(?!\p{{L}})",
-         71, "name-pattern+context", context="person", gate=("person_label",)),
+         71, "name-pattern+context", context="person", gate=("names_ru", "person_label")),
     Rule("universal.person.latin_fullname", "PERSON",
          rf"(?<!\p{{L}}){_LAT_CAP}{S}+{_LAT_CAP}{S}+{_LAT_CAP}(?!\p{{L}})",
-         72, "name-pattern+context", context="person", gate=("person_label",)),
+         72, "name-pattern+context", context="person", gate=("names", "person_label")),
     Rule("universal.person.latin_fullname_2parts", "PERSON",
          rf"(?<!\p{{L}}){_LAT_CAP}{S}+{_LAT_CAP}(?!\p{{L}})",
-         69, "name-pattern+context", context="person", gate=("person_label",)),
+         69, "name-pattern+context", context="person", gate=("names", "person_label")),
     Rule("universal.email", "EMAIL",
          rf"(?i){EDGE}(?:{_MAIL_LOCAL}++@[A-Z0-9.-]+\.[A-Z]{{2,}}(?!\w)|{_MAIL_LOCAL}{{64,}}+)",
          90, "strict-format", gate=("at_sign",), real="@"),

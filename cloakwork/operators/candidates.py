@@ -7,12 +7,13 @@ computed once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.catalogue import GATES, HINT_WINDOW, Rule
+from cloakwork.catalogue import CAPS, DIGIT_CONTEXT, FOLDING_BYTES, GATES, HINT_WINDOW, NAMES, Rule
 from cloakwork.functions.context import CONTEXTS, hint_hits
 from cloakwork.functions.text import blocks, positions, slice_blocks
 from cloakwork.functions.validators import VALIDATORS
@@ -21,56 +22,95 @@ from cloakwork.operators.overlaps import sort_key, sweep
 PREFIX = "_cw_"
 
 
-def _gate(name: str, text: Column) -> Column:
-    kind, arg = GATES[name]
-    return F.contains(text, F.lit(arg)) if kind == "has" else F.rlike(text, F.lit(arg))
+def _sql(value: object) -> str:
+    """A constant as SQL text.  Building 31 rules column by column costs seconds of driver
+    calls; the repetitive parts are therefore written as SQL expressions."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, str):
+        mark = '"' if "'" in value else "'"
+        if mark in value:
+            raise ValueError(f"both kinds of quotes in one rule text: {value}")
+        return f"r{mark}{value}{mark}"
+    if isinstance(value, (tuple, list)):
+        return f"CAST(array({', '.join(_sql(v) for v in value)}) AS ARRAY<STRING>)"
+    return str(value)
+
+
+def _test(test: tuple[str, ...], text_col: str) -> str:
+    kind, *args = test
+    if kind == "has":
+        return f"contains({text_col}, {_sql(args[0])})"
+    if kind == "like":
+        return f"rlike({text_col}, {_sql(args[0])})"
+    if kind == "digits":
+        return f"rlike({PREFIX}digits, {_sql(args[0])})"
+    if kind == "any_digit":
+        return f"{PREFIX}digits <> ''"
+    if kind == "caps":
+        return f"({PREFIX}caps AND rlike({text_col}, {_sql(args[0])}))"
+    if kind == "cyrillic":
+        others = "".join(f" OR contains({text_col}, {_sql(a)})" for a in args)
+        return f"(contains(CAST({text_col} AS BINARY), X'D0'){others})"
+    if kind == "names":
+        return f"{PREFIX}names"
+    words = " OR ".join(f"contains({PREFIX}low, {_sql(w)})" for w in args)
+    folds = " OR ".join(f"contains(CAST({text_col} AS BINARY), X'{b}')" for b in FOLDING_BYTES)
+    return f"({words} OR (octet_length({text_col}) > length({text_col}) AND ({folds})))"
+
+
+def _gate(name: str, text_col: str) -> str:
+    return " AND ".join(_test(t, text_col) for t in GATES[name])
+
+
+def _is_worded(name: str) -> bool:
+    return any(t[0] == "words" for t in GATES[name])
+
+
+def _hint_gate(rule: Rule) -> str:
+    """A window that holds a hint lies in a text that holds it.  (Greek hints are left out:
+    the lower case of a sigma depends on what follows it.)"""
+    low = [h.lower() for h in rule.hints]
+    if any("σ" in h or "ς" in h for h in low):
+        return "true"
+    return f"({' OR '.join(f'contains({PREFIX}low, {_sql(h)})' for h in low)})"
 
 
 def _pick(values: Sequence, ord_: Column) -> Column:
     """The value of the rule with this number, from a constant array."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), ord_)
-
-
-def _by_rule(branches: dict[int, Column], ord_: Column, default: Column) -> Column:
-    expr = None
-    for number, value in branches.items():
-        expr = F.when(ord_ == number, value) if expr is None else expr.when(ord_ == number, value)
-    return default if expr is None else expr.otherwise(default)
+    return F.element_at(F.expr(f"array({', '.join(_sql(v) for v in values)})"), ord_)
+
+
+def _tests(rule: Rule, cand: Column, parts: Column) -> Column | None:
+    """A rule's own tests, other than hints."""
+    tests = []
+    if rule.real is not None:
+        tests.append(cand.source.rlike(rule.real))
+    if rule.validator is not None:
+        check = VALIDATORS[rule.validator] if isinstance(rule.validator, str) else rule.validator
+        tests.append(check(cand.source))
+    if rule.context is not None:
+        if isinstance(rule.context, str):
+            size, check = CONTEXTS[rule.context]
+        elif isinstance(rule.context, tuple):
+            size, check = rule.context
+        else:
+            size, check = HINT_WINDOW, rule.context
+        tests.append(check(slice_blocks(parts, cand.start - size, cand.end + size)))
+    return reduce(lambda a, b: a & b, tests) if tests else None
 
 
 def _keep(rules: Sequence[Rule], cand: Column, parts: Column) -> Column:
-    """Does the candidate pass its rule's own tests (other than hints)?"""
-    branches: dict[int, Column] = {}
-    for number, rule in enumerate(rules, 1):
-        tests = []
-        if rule.real is not None:
-            tests.append(cand.source.rlike(rule.real))
-        if rule.validator is not None:
-            check = VALIDATORS[rule.validator] if isinstance(rule.validator, str) else rule.validator
-            tests.append(check(cand.source))
-        if rule.context is not None:
-            if isinstance(rule.context, str):
-                size, check = CONTEXTS[rule.context]
-            elif isinstance(rule.context, tuple):
-                size, check = rule.context
-            else:
-                size, check = HINT_WINDOW, rule.context
-            tests.append(check(slice_blocks(parts, cand.start - size, cand.end + size)))
-        if tests:
-            branches[number] = tests[0]
-            for t in tests[1:]:
-                branches[number] = branches[number] & t
-    # Rules of the same kind share their tests, so group equal ones into one branch.
-    grouped: dict[tuple, list[int]] = {}
-    for number in branches:
-        r = rules[number - 1]
-        grouped.setdefault((r.real, r.validator, r.context), []).append(number)
-    expr = None
-    for numbers in grouped.values():
-        cond = cand.ord.isin(*numbers)
-        value = F.coalesce(branches[numbers[0]], F.lit(False))
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return F.lit(True) if expr is None else expr.otherwise(F.lit(True))
+    """Does the candidate pass its rule's tests?  Rules with the same tests share a branch."""
+    alike: dict[tuple, list[int]] = {}
+    for number, r in enumerate(rules, 1):
+        if r.real or r.validator or r.context:
+            alike.setdefault((r.real, r.validator, r.context), []).append(number)
+    verdict = F
+    for numbers in alike.values():
+        passed = F.coalesce(_tests(rules[numbers[0] - 1], cand, parts), F.lit(False))
+        verdict = verdict.when(cand.ord.isin(*numbers), passed)
+    return verdict.otherwise(F.lit(True)) if alike else F.lit(True)
 
 
 def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str) -> DataFrame:
@@ -80,36 +120,51 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
     behind as ``_cw_blocks`` (null where nothing matched), for the steps that follow.
     """
     text = F.col(text_col)
-    gates = sorted({g for r in rules for g in r.gate})
-    df = df.withColumns({f"{PREFIX}g_{g}": _gate(g, text) for g in gates})
+    gates = sorted({g for r in rules for g in r.gate if not _is_worded(g)})
+    worded = sorted({g for r in rules for g in r.gate if _is_worded(g)})
+    kinds = {t[0] for g in gates for t in GATES[g]}
+    views = {
+        "digits": (
+            {"digits", "any_digit"},
+            f"array_join(regexp_extract_all({text_col}, {_sql(DIGIT_CONTEXT)}, 0), '')",
+        ),
+        "caps": ({"caps"}, f"rlike({text_col}, {_sql(CAPS)})"),
+        "names": ({"names"}, f"rlike({text_col}, {_sql(NAMES)})"),
+    }
+    df = df.withColumns({f"{PREFIX}{v}": F.expr(sql) for v, (used_by, sql) in views.items() if kinds & used_by})
+    df = df.withColumns({f"{PREFIX}g_{g}": F.expr(_gate(g, text_col)) for g in gates})
+
+    # Lower-casing is costly too: only texts that could match a rule with labels or hints need it.
+    def shape(rs: Iterable[Rule]) -> str:
+        conds = {" AND ".join(f"{PREFIX}g_{g}" for g in r.gate if g in gates) or "true" for r in rs}
+        return " OR ".join(f"({c})" for c in sorted(conds))
+
+    lowered = [r for r in rules if r.hints or set(r.gate) & set(worded)]
+    if lowered:
+        df = df.withColumn(f"{PREFIX}low", F.expr(f"CASE WHEN {shape(lowered)} THEN lower({text_col}) END"))
+        df = df.withColumns(
+            {
+                f"{PREFIX}g_{g}": F.expr(f"({shape(r for r in rules if g in r.gate)}) AND {_gate(g, text_col)}")
+                for g in worded
+            }
+        )
 
     found = {}
     for number, rule in enumerate(rules, 1):
-        all_matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-        if rule.gate:
-            open_ = F.col(f"{PREFIX}g_{rule.gate[0]}")
-            for g in rule.gate[1:]:
-                open_ = open_ & F.col(f"{PREFIX}g_{g}")
-            all_matches = F.when(open_, all_matches)
-        found[f"{PREFIX}m_{number}"] = all_matches
-    df = df.withColumns(found).drop(*[f"{PREFIX}g_{g}" for g in gates])
-
-    hits = F.filter(
-        F.array(
-            *[
-                F.when(
-                    F.size(f"{PREFIX}m_{number}") > 0,
-                    F.struct(
-                        F.lit(number).alias("ord"),
-                        F.col(f"{PREFIX}m_{number}").alias("found"),
-                        F.split(text, rule.pattern, -1).alias("gaps"),
-                    ),
-                )
-                for number, rule in enumerate(rules, 1)
-            ]
-        ),
-        lambda h: h.isNotNull(),
-    )
+        matches = f"regexp_extract_all({text_col}, {_sql(rule.pattern)}, 0)"
+        tests = [f"{PREFIX}g_{g}" for g in rule.gate] + ([_hint_gate(rule)] if rule.hints else [])
+        if tests:
+            matches = f"CASE WHEN {' AND '.join(tests)} THEN {matches} END"
+        found[f"{PREFIX}m_{number}"] = F.expr(matches)
+    helpers = [f"{PREFIX}{v}" for v in (*views, "low")] + [f"{PREFIX}g_{g}" for g in (*gates, *worded)]
+    df = df.withColumns(found).drop(*helpers)
+
+    arms = [
+        f"CASE WHEN size({PREFIX}m_{n}) > 0 THEN struct({n} AS ord, {PREFIX}m_{n} AS found, "
+        f"split({text_col}, {_sql(r.pattern)}, -1) AS gaps) END"
+        for n, r in enumerate(rules, 1)
+    ]
+    hits = F.expr(f"filter(array({', '.join(arms)}), h -> h IS NOT NULL)")
     df = df.withColumn(f"{PREFIX}hits", hits).drop(*found)
     df = df.withColumn(f"{PREFIX}blocks", F.when(F.size(f"{PREFIX}hits") > 0, blocks(text)))
 
@@ -127,9 +182,7 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
     )
     kept = F.filter(located, lambda c: _keep(rules, c, parts))
     if any(r.hints for r in rules):
-        hint_lists = F.array(
-            *[F.array(*[F.lit(h.lower()) for h in r.hints]) if r.hints else F.array().cast("array<string>") for r in rules]
-        )
+        hint_lists = F.expr(f"array({', '.join(_sql([h.lower() for h in r.hints]) for r in rules)})")
         with_hints = [n for n, r in enumerate(rules, 1) if r.hints]
         counted = F.transform(
             kept,
