@@ -282,7 +282,7 @@ def _extended(rule: Rule) -> Rule:
     if rule.rule_id == "universal.ipv6.compressed":
         return replace(rule, pattern=rf"(?i)(?<![A-F0-9:])(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,6}})?::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}}){{0,6}})?(?![A-F0-9:])")
     if rule.rule_id == "universal.address.ru.street_house":
-        return replace(rule, pattern=rule.pattern.replace(r"(?<=[\wſ\u212A])", _U_START).replace(EDGE_FOLD, _U_END))
+        return replace(rule, pattern=rule.pattern.replace(EDGE_FOLD, _U_END).replace(r"(?<=[\wſ\u212A])", _U_START))
     if rule.rule_id == "universal.address.ru.postcode_city":
         return replace(rule, pattern=rule.pattern.replace(EDGE, _U_END))
     return rule

@@ -52,8 +52,8 @@ def scan(items: Column, init: Column, step: Callable[[Column, Column], Column])
 def lookup(keys: Column, entries: Column) -> Column:
     """For each key the value of the entry with that key, or null.
 
-    ``keys`` is ``array<string>``; ``entries`` is ``array<struct<k: string, v: T>>`` with
-    distinct keys.  Sorts both together and carries the value forward.
+    ``keys`` is ``array<string>``; ``entries`` is ``array<struct<k: string, v: T>>``;
+    the smallest value wins where a key repeats.  Sorts both together and carries the value forward.
     """
     tagged = F.concat(
         F.transform(entries, lambda e: F.struct(e.k.alias("k"), F.lit(-1).alias("pos"), e.v.alias("v"))),
@@ -69,7 +69,7 @@ def lookup(keys: Column, entries: Column) -> Column:
         lambda st, x: F.struct(
             x.k.alias("k"),
             x.pos.alias("pos"),
-            F.when(x.pos < 0, x.v).when(st.k == x.k, st.v).alias("v"),
+            F.when(st.k == x.k, st.v).when(x.pos < 0, x.v).alias("v"),
         ),
     )
     hits = F.array_sort(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.functions.text import slice_blocks
+from cloakwork.functions.text import blocks, slice_blocks
+
+BLOCKS = "_cw_blocks"
 
 
 def rewrite(text: Column, parts: Column, spans: Column, value: Callable[[Column], Column]) -> Column:
@@ -22,5 +24,14 @@ def rewrite(text: Column, parts: Column, spans: Column, value: Callable[[Column]
             slice_blocks(parts, F.coalesce(F.get(spans, i - 1).end, F.lit(0)), s.start), value(s)
         ),
     )
-    tail = slice_blocks(parts, F.element_at(spans, -1).end, F.length(text))
+    tail = slice_blocks(parts, F.get(spans, F.size(spans) - 1).end, F.length(text))
     return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+
+
+def mask_text(df: DataFrame, text_col: str = "clean_text", spans_col: str = "spans", out_col: str = "masked_text",
+              value: Callable[[Column], Column] = lambda s: F.coalesce(s.replacement, s.source)) -> DataFrame:
+    """Add the rewritten text; uses the text blocks of an earlier step if they are still there."""
+    text, spans = F.col(text_col), F.col(spans_col)
+    if BLOCKS not in df.columns:
+        df = df.withColumn(BLOCKS, F.when(F.size(spans) > 0, blocks(text)))
+    return df.withColumn(out_col, rewrite(text, F.col(BLOCKS), spans, value)).drop(BLOCKS)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cloakwork.catalogue import REGIONS, Rule, active_rules
 from cloakwork.functions.text import normalise
-from cloakwork.operators.candidates import PREFIX, candidates, resolved
+from cloakwork.operators.candidates import candidates, resolved
 from cloakwork.operators.numbering import number_spans
-from cloakwork.operators.rewrite import rewrite
+from cloakwork.operators.rewrite import mask_text
 
 
 def _rules(regions: Iterable[str], profile: str, rules: Sequence[Rule] | None) -> Sequence[Rule]:
@@ -45,13 +45,7 @@ def mask(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS
     """
     found = detect(df, text_col, regions, profile, rules)
     numbered = found.withColumn("spans", number_spans(F.col("spans"), mode))
-    return add_masked(numbered)
-
-
-def add_masked(df: DataFrame) -> DataFrame:
-    """Add ``masked_text`` from ``clean_text`` and numbered ``spans``."""
-    text = rewrite(F.col("clean_text"), F.col(f"{PREFIX}blocks"), F.col("spans"), lambda s: s.replacement)
-    return df.withColumn("masked_text", text).drop(f"{PREFIX}blocks")
+    return mask_text(numbered)
 
 
 def explode_spans(df: DataFrame, *id_cols: str, spans_col: str = "spans") -> DataFrame:
