@@ -76,10 +76,10 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _bit(gram: Column) -> tuple[Column, Column]:
-    h = F.xxhash64(gram)
-    word = F.pmod(F.shiftright(h, 6), F.lit(BIT_WORDS)).cast("int")
-    return word, F.shiftleft(F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))
+def _bit(gram_col: str) -> tuple[Column, Column]:
+    """Word number and bit of a gram in the bit table."""
+    word = F.expr(f"CAST(pmod(shiftright(xxhash64({gram_col}), 6), {BIT_WORDS}) AS INT)")
+    return word, F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({gram_col}), 64) AS INT))")
 
 
 def _by_gram(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _by_gram(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col:
         filed.join(common, "_gram").groupBy("source").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     )
     anchored = rules.join(anchor, "source")
-    word, bit = _bit(F.col("_gram"))
+    word, bit = _bit("_gram")
     bits = anchor.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     texts = df.select(*id_cols, F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
     # ``bits`` has at most BIT_WORDS rows whatever the length of the rule list.

@@ -44,40 +44,42 @@ def _known_replacements(spans: Column, mode: str) -> Column:
             ),
         )
     )
-    fields = {"type": "string", "key": "string", "i": "int", "given": "string", "index": "bigint", "value": "string"}
+    fields = {"type": "string", "key": "string", "i": "int", "index": "bigint", "near": "string", "last": "string"}
     start = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in fields.items()])
 
     def same(st: Column, x: Column) -> Column:
         return st.type.eqNullSafe(x.type) & st.key.eqNullSafe(x.key)
 
-    def state(x: Column, value: Column) -> Column:
-        return F.struct(*[x[n].alias(n) for n in list(fields)[:-1]], value.alias("value"))
+    def state(x: Column, near: Column, last: Column) -> Column:
+        kept = [x[n].alias(n) for n in ("type", "key", "i", "index")]
+        return F.struct(*kept, near.alias("near"), last.alias("last"))
 
-    # In text order within a key: the nearest replacement with an index, up to here.
-    nearest = scan(
+    # In text order within a key: the nearest replacement with an index, and the last one of any
+    # kind, up to here.  Then backwards, so that all spans of the key learn the last one.
+    forward = scan(
         entries,
         start,
-        lambda st, x: state(x, F.when(x["index"].isNotNull(), x.given).when(same(st, x), st.value)),
+        lambda st, x: state(
+            x,
+            F.when(x["index"].isNotNull(), x.given).when(same(st, x), st.near),
+            F.coalesce(x.given, F.when(same(st, x), st["last"])),
+        ),
     )
-    # Backwards: the last replacement given to the key at all.
-    last = scan(
-        F.reverse(entries),
+    backward = scan(
+        F.reverse(forward),
         start,
-        lambda st, x: state(x, F.when(same(st, x), F.coalesce(st.value, x.given)).otherwise(x.given)),
+        lambda st, x: state(x, x.near, F.when(same(st, x), st["last"]).otherwise(x["last"])),
     )
-    return let(
-        F.reverse(last),
-        lambda tail: F.array_sort(
-            F.transform(
-                nearest,
-                lambda n, j: F.struct(
-                    n.i.alias("i"),
-                    F.coalesce(n.value, F.get(tail, j).value).alias("value"),
-                    n["index"].alias("index"),
-                    n.type.alias("type"),
-                ),
-            )
-        ),
+    return F.array_sort(
+        F.transform(
+            backward,
+            lambda b: F.struct(
+                b.i.alias("i"),
+                F.coalesce(b.near, b["last"]).alias("value"),
+                b["index"].alias("index"),
+                b.type.alias("type"),
+            ),
+        )
     )
 
 

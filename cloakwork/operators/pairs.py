@@ -13,6 +13,7 @@ from cloakwork.functions.text import positions, trim_space
 from cloakwork.operators.literals import RULES, attach_rules, literal_hits
 from cloakwork.operators.overlaps import sort_key, sweep
 from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.settle import settle
 
 PAIR_FIELDS = ("entity_type", "origin", "source", "replacement", "region", "rule_id")
 DIRECTIONS = ("forward", "reverse")
@@ -117,11 +118,11 @@ def apply_pairs(df: DataFrame, pairs: DataFrame, id_cols: Sequence[str], directi
         with_rules = with_rules.withColumn("_total", F.lit(total))
     # Number the rules of a row, in list order, so that ties and counts are well defined.
     ordered = F.transform(F.array_sort(F.col(RULES)), lambda r, i: r.withField("ord", i))
-    found = with_rules.withColumn("_hits", literal_hits(F.col(text_col), ordered)).drop(RULES)
+    found = settle(with_rules, "_hits", literal_hits(F.col(text_col), ordered)).drop(RULES)
     keys = F.transform("_hits", lambda h: sort_key(h.start, h.end, h.rule.priority, h.rule.ord, _imported_span(h)))
     matched = F.size(F.array_distinct(F.transform("_hits", lambda h: h.rule.ord)))
     found = (
-        found.withColumn("spans", F.transform(sweep(keys), lambda k: k.payload.dropFields("ord")))
+        settle(found, "spans", F.transform(sweep(keys), lambda k: k.payload.dropFields("ord")))
         .withColumn("skipped", (F.col("_total") - matched).cast("bigint"))
         .withColumn("applied", F.size("spans").cast("bigint"))
     )
@@ -159,5 +160,5 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
             ),
         ),
     )
-    joined = joined.withColumn("_known", known).drop("_pairs", "_tags", "_at")
+    joined = settle(joined, "_known", known).drop("_pairs", "_tags", "_at")
     return mask_text(joined, text_col=text_col, spans_col="_known", out_col=out_col).drop("_known")

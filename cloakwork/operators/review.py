@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloakwork.catalogue import MANUAL_RULE
 from cloakwork.functions.arrays import let, lookup
 from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.settle import settle
 
 
 def entity_id(type_: Column, start: Column, end: Column, given: Column | None = None) -> Column:
@@ -120,5 +121,5 @@ def apply_switches(masked: DataFrame, disabled: DataFrame, id_cols: Sequence[str
             ),
         ),
     ).otherwise(F.transform("spans", lambda s: s.withField("disabled", F.lit(False))))
-    df = df.withColumn("spans", marked).drop("_off")
+    df = settle(df, "spans", marked).drop("_off")
     return mask_text(df, value=lambda s: F.when(s.disabled, s.source).otherwise(F.coalesce(s.replacement, s.source)))

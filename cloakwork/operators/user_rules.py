@@ -14,6 +14,7 @@ from cloakwork.operators.literals import RULES, attach_rules, literal_hits
 from cloakwork.operators.numbering import fill_replacements
 from cloakwork.operators.overlaps import sort_key, sweep
 from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.settle import settle
 
 _FIRST_MANUAL = 1 << 30
 
@@ -83,7 +84,7 @@ def manual_spans(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_c
         literal_hits(F.col(text_col), ordered),
         lambda h: F.struct(h.rule.ord.alias("ord"), _manual_span(h).alias("span")),
     )
-    return with_rules.withColumn("manual", hits).drop(RULES)
+    return settle(with_rules, "manual", hits).drop(RULES)
 
 
 def merge_spans(base: Column, manual: Column) -> Column:
@@ -101,6 +102,6 @@ def with_user_rules(masked: DataFrame, rules: DataFrame, id_cols: Sequence[str],
                     small_list: int = 64) -> DataFrame:
     """Add user rules to a masking result: merge spans, fill in replacements, rewrite the text."""
     df = manual_spans(masked, rules, id_cols, small_list=small_list)
-    df = df.withColumn("spans", merge_spans(F.col("spans"), F.col("manual"))).drop("manual")
-    df = df.withColumn("spans", fill_replacements(F.col("spans"), mode))
+    df = settle(df, "spans", merge_spans(F.col("spans"), F.col("manual"))).drop("manual")
+    df = settle(df, "spans", fill_replacements(F.col("spans"), mode))
     return mask_text(df)

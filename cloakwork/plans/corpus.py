@@ -109,4 +109,4 @@ def corpus_pseudonyms(detected: DataFrame, id_col: str, mode: str = "tag",
         "spans",
         F.transform("spans", lambda s, i: s.withField("replacement", F.get(F.col("_names"), i).replacement)),
     )
-    return mask_text(joined.drop("_names", "_cw_blocks"))
+    return mask_text(joined.drop("_names"))

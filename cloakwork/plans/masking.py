@@ -9,32 +9,37 @@ from pyspark.sql import functions as F
 
 from cloakwork.catalogue import REGIONS, Rule, active_rules
 from cloakwork.functions.text import normalise
-from cloakwork.operators.candidates import candidates, resolved
+from cloakwork.operators.candidates import candidates, describe, resolved
 from cloakwork.operators.numbering import number_spans
-from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.rewrite import BLOCKS, mask_text
+from cloakwork.operators.settle import settle
 
 
 def _rules(regions: Iterable[str], profile: str, rules: Sequence[Rule] | None) -> Sequence[Rule]:
     return active_rules(regions, profile) if rules is None else rules
 
 
+def _candidates(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    return candidates(df.withColumn("clean_text", normalise(F.col(text_col))), "clean_text", rules, "candidates")
+
+
+def _detected(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    found = _candidates(df, text_col, rules)
+    return settle(found, "spans", resolved(rules, F.col("candidates"))).drop("candidates")
+
+
 def find_candidates(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS,
                     profile: str = "as_written", rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Add ``clean_text`` and ``candidates`` (before overlap resolution)."""
+    """Add ``clean_text`` and ``candidates`` (spans before overlap resolution)."""
     active = _rules(regions, profile, rules)
-    df = df.withColumn("clean_text", normalise(F.col(text_col)))
-    return candidates(df, "clean_text", active, "candidates")
+    spans = F.transform("candidates", lambda c: describe(active, c))
+    return _candidates(df, text_col, active).withColumn("candidates", spans).drop(BLOCKS)
 
 
 def detect(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS,
            profile: str = "as_written", rules: Sequence[Rule] | None = None) -> DataFrame:
     """Add ``clean_text`` and ``spans``: disjoint detections in text order.  No shuffle."""
-    active = _rules(regions, profile, rules)
-    return (
-        find_candidates(df, text_col, rules=active)
-        .withColumn("spans", resolved(active, F.col("candidates")))
-        .drop("candidates")
-    )
+    return _detected(df, text_col, _rules(regions, profile, rules)).drop(BLOCKS)
 
 
 def mask(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS, mode: str = "tag",
@@ -43,18 +48,14 @@ def mask(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS
 
     The text itself is never shuffled; every row is handled where it is read.
     """
-    found = detect(df, text_col, regions, profile, rules)
-    numbered = found.withColumn("spans", number_spans(F.col("spans"), mode))
+    found = _detected(df, text_col, _rules(regions, profile, rules))
+    numbered = settle(found, "spans", number_spans(F.col("spans"), mode))
     return mask_text(numbered)
 
 
 def explode_spans(df: DataFrame, *id_cols: str, spans_col: str = "spans") -> DataFrame:
     """The long span table: one row per detection."""
-    # The generator input is not a bare column, so that no size filter is pushed below the
-    # detection (it would run everything twice).
-    return df.select(*id_cols, F.explode(F.filter(spans_col, lambda s: s.isNotNull())).alias("_s")).select(
-        *id_cols, "_s.*"
-    )
+    return df.select(*id_cols, F.explode(spans_col).alias("_s")).select(*id_cols, "_s.*")
 
 
 def mapping(masked: DataFrame, *id_cols: str) -> DataFrame:
