@@ -18,6 +18,7 @@ from cloakwork.functions.context import CONTEXTS, hint_hits
 from cloakwork.functions.text import blocks, positions, slice_blocks
 from cloakwork.functions.validators import VALIDATORS
 from cloakwork.operators.overlaps import sort_key, sweep
+from cloakwork.operators.settle import settle
 
 PREFIX = "_cw_"
 
@@ -210,7 +211,7 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
                 c.ord.alias("ord"), c.start.alias("start"), c.end.alias("end"), c.source.alias("source"), F.lit(0).alias("hits")
             ),
         )
-    return df.withColumn(out_col, kept).drop(f"{PREFIX}hits")
+    return settle(df, out_col, kept).drop(f"{PREFIX}hits")
 
 
 def describe(rules: Sequence[Rule], cand: Column) -> Column:

@@ -88,7 +88,8 @@ def resolve_overlaps(spans: DataFrame, id_cols: list[str], block: int = BLOCK) -
             .alias("_head_carry"),
         )
     )
-    to_here = Window.partitionBy(*id_cols, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # All spans with the start of a head belong to its island, so peers count too.
+    to_here = Window.partitionBy(*id_cols, "_block").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     islands = marked.join(heads, [*id_cols, "_block"]).withColumn(
         "_island", F.coalesce(F.max("_head").over(to_here), F.col("_head_carry"))
     )
