@@ -37,7 +37,7 @@ IMPORTED_BASIS = "imported-rules"
 # Dialect.  The rules are defined with ECMAScript meaning: ``\s`` covers Unicode spaces
 # and the byte order mark, ``\b`` is a boundary of ASCII word characters.  Java's ``\s``
 # is ASCII and its ``\b`` (JDK 17) is not, so both are spelled out.
-SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACE = r"\s\p{Z}\uFEFF"
 S = f"[{SPACE}]"
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 # With Unicode case folding the long s and the Kelvin sign are word characters too.

@@ -29,7 +29,7 @@ def scan(items: Column, init: Column, step: Callable[[Column, Column], Column])
 
     def run(chunk: Column, before: Column) -> Column:
         states = F.aggregate(
-            chunk, F.array(before), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x)))
+            chunk, F.array(before), lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x))
         )
         return F.slice(states, F.lit(2), F.lit(_CHUNK))
 
@@ -38,9 +38,9 @@ def scan(items: Column, init: Column, step: Callable[[Column, Column], Column])
         runs = F.aggregate(
             chunks,
             F.array(F.array(init)),
-            lambda acc, c: F.concat(
+            lambda acc, c: F.array_append(
                 acc,
-                F.array(run(F.slice(arr, c * _CHUNK + 1, F.lit(_CHUNK)), F.element_at(F.element_at(acc, -1), -1))),
+                run(F.slice(arr, c * _CHUNK + 1, F.lit(_CHUNK)), F.element_at(F.element_at(acc, -1), -1)),
             ),
         )
         states = F.flatten(runs)

@@ -114,6 +114,19 @@ def _keep(rules: Sequence[Rule], cand: Column, parts: Column) -> Column:
     return verdict.otherwise(F.lit(True)) if alike else F.lit(True)
 
 
+def _gaps(text_col: str, pattern: str) -> str:
+    """The text pieces between matches.
+
+    ``split`` compiles its pattern anew for every row, ``regexp_replace`` does not: so matches
+    are replaced by a character that is not in the text, and the split is by that character.
+    """
+    mark = "'\\uFDD0'"
+    return (
+        f"CASE WHEN contains({text_col}, {mark}) THEN split({text_col}, {_sql(pattern)}, -1) "
+        f"ELSE split(regexp_replace({text_col}, {_sql(pattern)}, {mark}), {mark}, -1) END"
+    )
+
+
 def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str) -> DataFrame:
     """Add ``out_col``: every match that passes its rule's tests, with rule number and hint hits.
 
@@ -162,7 +175,7 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
 
     arms = [
         f"CASE WHEN size({PREFIX}m_{n}) > 0 THEN struct({n} AS ord, {PREFIX}m_{n} AS found, "
-        f"split({text_col}, {_sql(r.pattern)}, -1) AS gaps) END"
+        f"{_gaps(text_col, r.pattern)} AS gaps) END"
         for n, r in enumerate(rules, 1)
     ]
     hits = F.expr(f"filter(array({', '.join(arms)}), h -> h IS NOT NULL)")
