@@ -18,6 +18,7 @@ from cloakwork.functions.context import CONTEXTS, hint_hits
 from cloakwork.functions.text import blocks, positions, slice_blocks
 from cloakwork.functions.validators import VALIDATORS
 from cloakwork.operators.overlaps import sort_key, sweep
+from cloakwork.operators.reuse import reuse
 from cloakwork.operators.settle import settle
 
 PREFIX = "_cw_"
@@ -182,6 +183,11 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
     df = df.withColumn(f"{PREFIX}hits", hits).drop(*found)
     df = df.withColumn(f"{PREFIX}blocks", F.when(F.size(f"{PREFIX}hits") > 0, blocks(text)))
 
+    return settle(df, out_col, reuse(("kept", tuple(rules)), lambda: _kept(rules))).drop(f"{PREFIX}hits")
+
+
+def _kept(rules: Sequence[Rule]) -> Column:
+    """Located matches of all rules, filtered by the rules' tests and hints."""
     parts = F.col(f"{PREFIX}blocks")
     located = F.flatten(
         F.transform(
@@ -216,15 +222,8 @@ def candidates(df: DataFrame, text_col: str, rules: Sequence[Rule], out_col: str
                 .alias("hits"),
             ),
         )
-        kept = F.filter(counted, lambda c: (c.hits > 0) | ~c.ord.isin(*with_hints))
-    else:
-        kept = F.transform(
-            kept,
-            lambda c: F.struct(
-                c.ord.alias("ord"), c.start.alias("start"), c.end.alias("end"), c.source.alias("source"), F.lit(0).alias("hits")
-            ),
-        )
-    return settle(df, out_col, kept).drop(f"{PREFIX}hits")
+        return F.filter(counted, lambda c: (c.hits > 0) | ~c.ord.isin(*with_hints))
+    return F.transform(kept, lambda c: c.withField("hits", F.lit(0)))
 
 
 def describe(rules: Sequence[Rule], cand: Column) -> Column:

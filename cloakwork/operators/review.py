@@ -122,4 +122,8 @@ def apply_switches(masked: DataFrame, disabled: DataFrame, id_cols: Sequence[str
         ),
     ).otherwise(F.transform("spans", lambda s: s.withField("disabled", F.lit(False))))
     df = settle(df, "spans", marked).drop("_off")
-    return mask_text(df, value=lambda s: F.when(s.disabled, s.source).otherwise(F.coalesce(s.replacement, s.source)))
+    return mask_text(df, value=_switched)
+
+
+def _switched(span: Column) -> Column:
+    return F.when(span.disabled, span.source).otherwise(F.coalesce(span.replacement, span.source))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.text import blocks, slice_blocks
+from cloakwork.operators.reuse import reuse
 
 BLOCKS = "_cw_blocks"
 
@@ -28,10 +29,15 @@ def rewrite(text: Column, parts: Column, spans: Column, value: Callable[[Column]
     return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
 
 
+def _replacement(span: Column) -> Column:
+    return F.coalesce(span.replacement, span.source)
+
+
 def mask_text(df: DataFrame, text_col: str = "clean_text", spans_col: str = "spans", out_col: str = "masked_text",
-              value: Callable[[Column], Column] = lambda s: F.coalesce(s.replacement, s.source)) -> DataFrame:
+              value: Callable[[Column], Column] = _replacement) -> DataFrame:
     """Add the rewritten text; uses the text blocks of an earlier step if they are still there."""
     text, spans = F.col(text_col), F.col(spans_col)
     if BLOCKS not in df.columns:
         df = df.withColumn(BLOCKS, F.when(F.size(spans) > 0, blocks(text)))
-    return df.withColumn(out_col, rewrite(text, F.col(BLOCKS), spans, value)).drop(BLOCKS)
+    new = reuse(("rewrite", text_col, spans_col, value), lambda: rewrite(text, F.col(BLOCKS), spans, value))
+    return df.withColumn(out_col, new).drop(BLOCKS)

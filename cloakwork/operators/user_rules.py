@@ -14,6 +14,7 @@ from cloakwork.operators.literals import RULES, attach_rules, literal_hits
 from cloakwork.operators.numbering import fill_replacements
 from cloakwork.operators.overlaps import sort_key, sweep
 from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.reuse import reuse
 from cloakwork.operators.settle import settle
 
 _FIRST_MANUAL = 1 << 30
@@ -102,6 +103,7 @@ def with_user_rules(masked: DataFrame, rules: DataFrame, id_cols: Sequence[str],
                     small_list: int = 64) -> DataFrame:
     """Add user rules to a masking result: merge spans, fill in replacements, rewrite the text."""
     df = manual_spans(masked, rules, id_cols, small_list=small_list)
-    df = settle(df, "spans", merge_spans(F.col("spans"), F.col("manual"))).drop("manual")
-    df = settle(df, "spans", fill_replacements(F.col("spans"), mode))
+    merged = reuse("merged", lambda: merge_spans(F.col("spans"), F.col("manual")))
+    df = settle(df, "spans", merged).drop("manual")
+    df = settle(df, "spans", reuse(("filled", mode), lambda: fill_replacements(F.col("spans"), mode)))
     return mask_text(df)

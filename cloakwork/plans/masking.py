@@ -12,6 +12,7 @@ from cloakwork.functions.text import normalise
 from cloakwork.operators.candidates import candidates, describe, resolved
 from cloakwork.operators.numbering import number_spans
 from cloakwork.operators.rewrite import BLOCKS, mask_text
+from cloakwork.operators.reuse import reuse
 from cloakwork.operators.settle import settle
 
 
@@ -25,7 +26,7 @@ def _candidates(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFram
 
 def _detected(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
     found = _candidates(df, text_col, rules)
-    return settle(found, "spans", resolved(rules, F.col("candidates"))).drop("candidates")
+    return settle(found, "spans", reuse(("resolved", tuple(rules)), lambda: resolved(rules, F.col("candidates")))).drop("candidates")
 
 
 def find_candidates(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS,
@@ -49,7 +50,7 @@ def mask(df: DataFrame, text_col: str = "text", regions: Iterable[str] = REGIONS
     The text itself is never shuffled; every row is handled where it is read.
     """
     found = _detected(df, text_col, _rules(regions, profile, rules))
-    numbered = settle(found, "spans", number_spans(F.col("spans"), mode))
+    numbered = settle(found, "spans", reuse(("numbered", mode), lambda: number_spans(F.col("spans"), mode)))
     return mask_text(numbered)
 
 
