@@ -104,7 +104,7 @@ CASES = {
     "vat": ("VAT DE123456789", [(4, 15, "DOC_ID")]),
     "card_13": ("4222222222222 x 4222222222223", [(0, 13, "CARD"), (16, 29, "PHONE")]),
     "account": ("acc 12345678901234567890.", [(4, 24, "ACCOUNT")]),
-    "nbsp_crlf": ("tel +1 555 123 4567\r\nok", [(4, 19, "PHONE")]),
+    "nbsp_crlf": ("tel +1\u00a0555 123 4567\r\nok", [(4, 19, "PHONE")]),
     "upper_ru": ("ФАМИЛИЯ ИВАНОВ ИВАН ИВАНЫЧ", [(0, 19, "PERSON")]),
     "armenian_label": ("անուն: John Smith", [(7, 17, "PERSON")]),
     "window_cut_is_edge": ("xsurname" + " " * 41 + "John Smith", [(49, 59, "PERSON")]),
