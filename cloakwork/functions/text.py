@@ -46,25 +46,21 @@ def slice_blocks(parts: Column, start: Column, end: Column) -> Column:
 
 
 def positions(found: Column, gaps: Column) -> Column:
-    """Offsets of matches, from the matches and the text pieces between them.
+    """Offsets of matches, from the matches and the lengths of the text pieces between them.
 
     Returns ``array<struct<start, end, source>>``; offsets are 0-based, half-open, in characters.
     """
     return scan(
-        found_with_gap(found, gaps),
+        F.transform(found, lambda m, i: F.struct(m.alias("source"), F.get(gaps, i).alias("gap"))),
         F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("source")),
         lambda st, x: F.struct(
-            (st.end + F.length(x.gap)).alias("start"),
-            (st.end + F.length(x.gap) + F.length(x.source)).alias("end"),
+            (st.end + x.gap).alias("start"),
+            (st.end + x.gap + F.length(x.source)).alias("end"),
             x.source.alias("source"),
         ),
     )
 
 
-def found_with_gap(found: Column, gaps: Column) -> Column:
-    return F.transform(found, lambda m, i: F.struct(m.alias("source"), F.get(gaps, i).alias("gap")))
-
-
 def quote(literal: Column) -> Column:
     """A pattern that matches the literal text only."""
     return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

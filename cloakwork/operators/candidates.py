@@ -116,15 +116,15 @@ def _keep(rules: Sequence[Rule], cand: Column, parts: Column) -> Column:
 
 
 def _gaps(text_col: str, pattern: str) -> str:
-    """The text pieces between matches.
+    """The lengths of the text pieces between matches (the pieces would copy the text per rule).
 
     ``split`` compiles its pattern anew for every row, ``regexp_replace`` does not: so matches
     are replaced by a character that is not in the text, and the split is by that character.
     """
     mark = "'\\uFDD0'"
     return (
-        f"CASE WHEN contains({text_col}, {mark}) THEN split({text_col}, {_sql(pattern)}, -1) "
-        f"ELSE split(regexp_replace({text_col}, {_sql(pattern)}, {mark}), {mark}, -1) END"
+        f"transform(CASE WHEN contains({text_col}, {mark}) THEN split({text_col}, {_sql(pattern)}, -1) "
+        f"ELSE split(regexp_replace({text_col}, {_sql(pattern)}, {mark}), {mark}, -1) END, g -> length(g))"
     )
 
 

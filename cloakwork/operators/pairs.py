@@ -148,7 +148,7 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
         "_tags", F.when(F.size("_pairs") > 0, F.regexp_extract_all(text, F.lit(TAG), F.lit(0)))
     )
     joined = joined.withColumn(
-        "_at", F.when(F.size("_tags") > 0, positions(F.col("_tags"), F.split(text, TAG, -1)))
+        "_at", F.when(F.size("_tags") > 0, positions(F.col("_tags"), F.transform(F.split(text, TAG, -1), F.length)))
     )
     known = F.when(
         F.size("_at") > 0,

@@ -93,6 +93,7 @@ CASES = {
         "ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334 mac 00:1A:2B:3C:4D:5E",
         [(3, 42, "IP")],
     ),
+    "mark_in_text": ("a\ufdd0 x@y.zz \ufdd0 c@d.ee", [(3, 9, "EMAIL"), (12, 18, "EMAIL")]),
     "blank": ("  \n ", []),
     "empty": ("", []),
     "astral": ("a😀b x@y.zz", [(4, 10, "EMAIL")]),
