@@ -2,7 +2,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from cloakwork.operators import pairs as P
@@ -237,4 +236,3 @@ def test_no_shuffle_in_masking(spark, sf):
 def test_spread(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert documents.spread(df).rdd.getNumPartitions() > 1
-    assert F is not None

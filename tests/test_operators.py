@@ -1,4 +1,3 @@
-import json
 import random
 
 import pytest
@@ -136,4 +135,3 @@ def test_text_functions(spark):
         assert r.s == text[max(r.a, 0) : r.b]
     trimmed = spark.createDataFrame([("\u00a0\ufeff a b \n\u2029",)], "t string").select(X.trim_space(F.col("t"))).first()[0]
     assert trimmed == "a b"
-    assert json.dumps(X.S)  # the class is plain text
