@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cloakwork.llm import exact_dedup, sharding, url_filter
+from cloakwork.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, secrets, sharding, topk_search, toxicity, url_filter
 
-_MODULES = (sharding, url_filter, exact_dedup)
+_MODULES = (packing, lm_scoring, mixing, near_dedup, secrets, sharding, toxicity, url_filter, exact_dedup, topk_search)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
