@@ -100,7 +100,7 @@ def token_count(text: Column) -> Column:
 
 
 def _source_table(spark: SparkSession, plan: list[Budget], kind: str) -> DataFrame:
-    schema = f"s {kind}, weight double, budget bigint, whole bigint, part bigint"
+    schema = f"src {kind}, weight double, budget bigint, whole bigint, part bigint"
     return spark.createDataFrame([tuple(b) for b in plan], schema)
 
 
@@ -130,8 +130,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     before = Window.partitionBy("s").orderBy("o", "block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("bt").over(before), F.lit(0))).drop("o")
     # ``sources`` has MAX_SOURCES rows at most.
-    left = sums.join(F.broadcast(sources), F.col("s").eqNullSafe(sources["s"])).select(
-        sums["s"], "block", "bt", "weight", "whole", (F.col("part") - F.col("before")).alias("room")
+    left = sums.join(F.broadcast(sources), F.col("s").eqNullSafe(F.col("src"))).select(
+        "s", "block", "bt", "weight", "whole", (F.col("part") - F.col("before")).alias("room")
     ).alias("l")
     rows = placed.alias("p").join(left, F.col("p.s").eqNullSafe(F.col("l.s")) & (F.col("p.block") == F.col("l.block"))).select(
         "p.s", "p.i", "p.t", "p.copies", "p.block", "weight", "whole", "room", "bt"

@@ -256,8 +256,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     classes = cut(full.groupBy("print").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     # One row per class, found by print and id together, so that many copies of a text are spread.
-    on = [full["print"] == classes["print"], full["id"].eqNullSafe(classes["id"])]
-    own = full.join(classes, on).select("node", "bands", "sig").dropDuplicates(["node"])
+    named = classes.select(F.col("print").alias("p"), F.col("id").alias("i"), "node")
+    own = full.join(named, (F.col("print") == F.col("p")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "bands", "sig").dropDuplicates(["node"])
     nodes = written(own, "near-nodes")
 
     keyed = nodes.select("node", F.explode("bands").alias("key"))

@@ -164,13 +164,13 @@ def _oracle() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({' UNION ALL '.join(parts)}),
 placed AS (SELECT doc_id, o, kind, m[i] AS found,
- CAST(list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0) AS BIGINT) AS s
+ CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
  FROM hits WHERE length(c[i]) >= least),
 cand AS (SELECT *, (regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(found, '[a-fA-F]') AND regexp_matches(found, '[0-9]')) AS hex,
  (regexp_matches(found, '[a-z]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[0-9]')) AS mixed
  FROM placed WHERE kind = 'run'),
 wins AS (SELECT doc_id, s, list_filter(range(0, length(found) - {WINDOW} + 1),
- k -> list_aggregate(string_split(substr(found, k + 1, {WINDOW}), ''), 'entropy') >= CASE WHEN hex THEN {THRESHOLDS['hex']} ELSE {THRESHOLDS['mixed']} END) AS w
+ lambda k: list_aggregate(string_split(substr(found, k + 1, {WINDOW}), ''), 'entropy') >= CASE WHEN hex THEN {THRESHOLDS['hex']} ELSE {THRESHOLDS['mixed']} END) AS w
  FROM cand WHERE (hex OR mixed) AND NOT regexp_full_match(found, '{allowed}')),
 spans AS (SELECT doc_id, o, kind, s, s + length(found) AS e FROM placed WHERE kind <> 'run'
  UNION ALL SELECT doc_id, 3, 'entropy', s + w[1], s + w[-1] + {WINDOW} FROM wins WHERE len(w) > 0),
