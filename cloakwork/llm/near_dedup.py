@@ -42,7 +42,7 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 THRESHOLD = 75  # percent
 GUESS = 0.55  # least share of equal coordinates: more than five deviations below the threshold
-SMALL = 1024
+SMALL = 200
 DEPTH = 4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -303,10 +303,13 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=[*batch.schema.names, print_col])
 
     marked = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(print_col, T.BinaryType())]))
-    first = classes.where("first").select(F.col("print").alias("p"), F.col("id").alias("i"))
-    same = (marked[print_col] == first["p"]) & marked[id_col].eqNullSafe(first["i"])
-    stay = marked.join(first, same, "left_semi").dropDuplicates([id_col, print_col])
-    return stay.unionByName(marked.where(F.col(print_col).isNull())).select(*docs.columns)
+    p_col, i_col, hit_col, nth_col = fresh(marked, "_p", "_i", "_hit", "_nth")
+    first = classes.where("first").select(F.col("print").alias(p_col), F.col("id").alias(i_col), F.lit(True).alias(hit_col))
+    same = (F.col(print_col) == F.col(p_col)) & F.col(id_col).eqNullSafe(F.col(i_col))
+    joined = marked.join(first, same, "left").where(F.col(hit_col) | F.col(print_col).isNull())
+    # Rows without words all stay; of rows that repeat id and text, one does.
+    nth = F.when(F.col(print_col).isNull(), F.monotonically_increasing_id())
+    return joined.withColumn(nth_col, nth).dropDuplicates([id_col, print_col, nth_col]).select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
