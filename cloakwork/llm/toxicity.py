@@ -92,7 +92,7 @@ def _batches(rows: list[np.ndarray], y: np.ndarray, c: np.ndarray, rng: np.rando
 
 
 def _screen(rows: list[np.ndarray], y: np.ndarray, c: np.ndarray, rng: np.random.Generator,
-            epochs: int = 6, l1: float = 2.0, alpha: float = 0.3) -> tuple[float, np.ndarray]:
+            epochs: int = 20, l1: float = 6.0, alpha: float = 2.0) -> tuple[float, np.ndarray]:
     """Sparse linear fit: bias and weights of all buckets."""
     z, n, w = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     share = float(np.clip((y * c).sum() / c.sum(), 1e-3, 1 - 1e-3))
@@ -114,7 +114,7 @@ def _screen(rows: list[np.ndarray], y: np.ndarray, c: np.ndarray, rng: np.random
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, rank: int = RANK,
-        epochs: int = 12, rate: float = 0.1, l2: float = 1e-3, seed: int = 7) -> Machine:
+        epochs: int = 30, rate: float = 0.5, l2: float = 1e-3, seed: int = 7) -> Machine:
     """Train on sets of buckets and 0/1 labels."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, float)
