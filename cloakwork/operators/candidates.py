@@ -30,9 +30,9 @@ def _sql(value: object) -> str:
     if value is None:
         return "CAST(NULL AS STRING)"
     if isinstance(value, str):
+        if "'" in value and '"' in value:
+            return "concat(" + """, "'", """.join(f"r'{part}'" for part in value.split("'")) + ")"
         mark = '"' if "'" in value else "'"
-        if mark in value:
-            raise ValueError(f"both kinds of quotes in one rule text: {value}")
         return f"r{mark}{value}{mark}"
     if isinstance(value, (tuple, list)):
         return f"CAST(array({', '.join(_sql(v) for v in value)}) AS ARRAY<STRING>)"

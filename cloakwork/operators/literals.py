@@ -3,28 +3,33 @@
 The search itself runs inside the row (:func:`literal_hits`).  What differs is how a document
 gets its rules:
 
-* rules that carry the document's id: one equi-join on the id;
-* a short list for the whole corpus (its size is checked): a constant;
-* a long list for the whole corpus: an equi-join on character grams.  Each rule is filed under
-  its rarest gram; a document looks up the grams it contains.  A fixed-size bit table, broadcast,
-  drops almost all grams of the texts before anything is shuffled.
+* rules that carry ids of documents: one equi-join on those ids, where nulls are equal;
+* a list for the whole corpus, strategy ``join``: an equi-join on character grams.  Each rule is
+  filed under its rarest gram; a document looks up the grams it contains.  A bit table of bounded
+  size, broadcast as one row, drops almost all grams inside the row, before any row is made of them;
+* a list for the whole corpus, strategy ``constant``: a constant of the plan, for lists that the
+  caller knows to be short.
+
+The caller chooses; the result is the same.  Rows that share an id may be given rules of each
+other, which changes nothing, as every rule is searched for in the text itself.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.functions.text import occurrences
 
-SMALL_LIST = 64
-SMALL_LIST_CHARS = 16_384
+STRATEGIES = ("join", "constant")
 GRAM = 6
-BIT_WORDS = 1 << 18
+BIT_WORDS = 1 << 18  # 64-bit words of the bit table: 2 MB
 
 RULES = "_cw_rules"
 
@@ -47,28 +52,43 @@ def _constant(rows: list, schema: T.StructType) -> Column:
     return F.from_json(F.lit(data), T.ArrayType(schema))
 
 
+def join_same(df: DataFrame, right: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """Left join on the id columns, where a null equals a null."""
+    keys = [f"_cw_key_{i}" for i in range(len(id_cols))]
+    renamed = right.withColumnsRenamed(dict(zip(id_cols, keys, strict=True)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(id_cols, keys, strict=True)])
+    return df.join(renamed, same, "left").drop(*keys)
+
+
 def attach_rules(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str,
-                 small_list: int = SMALL_LIST) -> DataFrame:
+                 strategy: str = "join") -> DataFrame:
     """Add ``_cw_rules``: the rules (structs of the columns of ``rules``) that may occur in the text.
 
-    ``rules`` needs a string column ``source`` and, if it has the id columns, is scoped by document.
+    ``rules`` needs a string column ``source``.  If it has some of the id columns, a rule is for the
+    documents with those ids only; ``strategy`` is for lists without ids.
     """
-    fields = [c for c in rules.columns if c not in id_cols]
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    scope = [c for c in id_cols if c in rules.columns]
+    fields = [c for c in rules.columns if c not in scope]
     packed = F.struct(*fields)
-    if set(id_cols) <= set(rules.columns):
-        per_doc = rules.groupBy(*id_cols).agg(F.collect_list(packed).alias(RULES))
-        return _with_empty(df.join(per_doc, list(id_cols), "left"), rules, fields)
-    head = rules.select(*fields).limit(small_list + 1).collect()
-    if len(head) <= small_list and sum(len(r["source"] or "") for r in head) <= SMALL_LIST_CHARS:
+    if scope:
+        per_doc = rules.groupBy(*scope).agg(F.collect_list(packed).alias(RULES))
+        return _with_empty(join_same(df, per_doc, scope), rules, fields)
+    if strategy == "constant":
         schema = T.StructType([rules.schema[f] for f in fields])
-        return df.withColumn(RULES, _constant(head, schema))
-    per_doc = _by_gram(df, rules, id_cols, text_col).groupBy(*id_cols).agg(F.collect_list(packed).alias(RULES))
-    return _with_empty(df.join(per_doc, list(id_cols), "left"), rules, fields)
+        return df.withColumn(RULES, _constant(rules.select(*fields).collect(), schema))
+    # Equal rules of the list stay apart by their number.
+    nth = F.row_number().over(Window.partitionBy(*fields).orderBy(F.lit(0)))
+    found = _by_gram(df, rules.select(*fields).withColumn("_nth", nth), id_cols, text_col)
+    per_doc = found.groupBy(*id_cols).agg(F.collect_set(F.struct(*fields, "_nth")).alias(RULES))
+    per_doc = per_doc.withColumn(RULES, F.transform(RULES, lambda r: r.dropFields("_nth")))
+    return _with_empty(join_same(df, per_doc, id_cols), rules, fields)
 
 
 def _with_empty(df: DataFrame, rules: DataFrame, fields: Sequence[str]) -> DataFrame:
     kind = T.ArrayType(T.StructType([rules.schema[f] for f in fields]))
-    return df.withColumn(RULES, F.coalesce(F.col(RULES), F.array().cast(kind)))
+    return df.withColumn(RULES, F.coalesce(F.col(RULES), F.array()).cast(kind))
 
 
 def _grams(text: Column, sizes: Sequence[int]) -> Column:
@@ -76,19 +96,29 @@ def _grams(text: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*parts))
 
 
-def _bit(gram_col: str) -> tuple[Column, Column]:
-    """Word number and bit of a gram in the bit table."""
-    word = F.expr(f"CAST(pmod(shiftright(xxhash64({gram_col}), 6), {BIT_WORDS}) AS INT)")
-    return word, F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({gram_col}), 64) AS INT))")
+def _places(gram: Column) -> list[tuple[Column, Column]]:
+    """Word number and bit of a gram in the bit table, by two hashes."""
+    out = []
+    for seed in (0, 1):
+        h = F.xxhash64(gram, F.lit(seed))
+        word = F.pmod(F.shiftright(h, 6), F.lit(BIT_WORDS)).cast("int")
+        out.append((word, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int"))))
+    return out
+
+
+def _bit_table(anchor: DataFrame) -> DataFrame:
+    """One row: ``_bits``, all words of the table, whatever the length of the list."""
+    marks = F.explode(F.array(*[F.struct(w.alias("_word"), b.alias("_bit")) for w, b in _places(F.col("_gram"))]))
+    words = anchor.select(marks.alias("m")).groupBy("m._word").agg(F.bit_or("m._bit").alias("_set"))
+    every = anchor.sparkSession.range(BIT_WORDS).select(F.col("id").cast("int").alias("_word"))
+    filled = every.join(words, "_word", "left").select("_word", F.coalesce("_set", F.lit(0)).alias("_set"))
+    row = F.array_sort(F.collect_list(F.struct("_word", "_set")))
+    return filled.agg(F.transform(row, lambda x: x["_set"]).alias("_bits"))
 
 
 def _by_gram(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
     """(document, rule) pairs where the document contains the gram the rule is filed under."""
     rules = rules.where(F.length("source") > 0)
-    size = F.least(F.length("source"), F.lit(GRAM))
-    sizes = sorted(r[0] for r in rules.select(size).distinct().collect())  # at most GRAM values
-    if not sizes:
-        return df.select(*id_cols).join(rules.limit(0), F.lit(False))
     grams = F.when(F.length("source") < GRAM, F.array("source")).otherwise(_grams(F.col("source"), [GRAM]))
     filed = rules.select(F.col("source"), F.explode(grams).alias("_gram")).distinct()
     common = filed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
@@ -96,14 +126,10 @@ def _by_gram(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col:
         filed.join(common, "_gram").groupBy("source").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     )
     anchored = rules.join(anchor, "source")
-    word, bit = _bit("_gram")
-    bits = anchor.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    texts = df.select(*id_cols, F.explode(_grams(F.col(text_col), sizes)).alias("_gram"))
-    # ``bits`` has at most BIT_WORDS rows whatever the length of the rule list.
-    likely = (
-        texts.withColumn("_word", word)
-        .join(F.broadcast(bits), "_word")
-        .where(F.col("_bits").bitwiseAND(bit) != 0)
-        .select(*id_cols, "_gram")
-    )
-    return likely.join(anchored, "_gram").drop("_gram")
+
+    def likely(gram: Column) -> Column:
+        return reduce(and_, [F.get(F.col("_bits"), w).bitwiseAND(b) != 0 for w, b in _places(gram)])
+
+    texts = df.select(*id_cols, F.col(text_col).alias("_text")).crossJoin(F.broadcast(_bit_table(anchor)))  # one row
+    kept = F.filter(_grams(F.col("_text"), range(1, GRAM + 1)), likely)
+    return texts.select(*id_cols, F.explode(kept).alias("_gram")).join(anchored, "_gram").drop("_gram")

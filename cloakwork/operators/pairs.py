@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.catalogue import IMPORTED_BASIS, MANUAL_RULE
 from cloakwork.functions.arrays import let, lookup, sorted_distinct
 from cloakwork.functions.text import positions, trim_space
-from cloakwork.operators.literals import RULES, attach_rules, literal_hits
+from cloakwork.operators.literals import RULES, attach_rules, join_same, literal_hits
 from cloakwork.operators.overlaps import sort_key, sweep
 from cloakwork.operators.rewrite import mask_text
 from cloakwork.operators.settle import settle
@@ -41,12 +41,17 @@ def _pair(span: Column, swap: bool) -> Column:
 def collect_pairs(spans: DataFrame, id_cols: Sequence[str] = (), swap: bool = False) -> DataFrame:
     """Distinct pairs of a long span table, over the corpus or per document; blank sides are dropped.
 
-    Sorted by (entity_type, origin, source, replacement) in code point order.
+    ``ord`` follows (entity_type, origin, source, replacement) in code point order.  It counts from 0 in
+    each document; over the corpus it only grows, as partitions of sorted ranges number their own rows.
     """
     pair = _pair({c: F.col(c) for c in ("type", "rule_id", "source", "replacement", "region")}, swap)
     pairs = spans.select(*id_cols, pair.alias("_p")).select(*id_cols, "_p.*")
     pairs = pairs.where((F.col("source") != "") & (F.col("replacement") != "")).distinct()
-    return pairs.orderBy(*id_cols, "entity_type", "origin", "source", "replacement", "region", "rule_id")
+    order = ("entity_type", "origin", "source", "replacement", "region", "rule_id")
+    if id_cols:
+        return pairs.withColumn("ord", (F.row_number().over(Window.partitionBy(*id_cols).orderBy(*order)) - 1).cast("bigint"))
+    sorted_ = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return sorted_.withColumn("ord", F.monotonically_increasing_id())
 
 
 def pairs_of_row(spans: Column, swap: bool = False) -> Column:
@@ -66,9 +71,11 @@ def user_rules_of(pairs: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _imported_span(h: Column) -> Column:
+def _imported_span(h: Column, i: Column) -> Column:
+    """The span of occurrence ``i``; occurrences are numbered by rule, then position, before overlaps are resolved."""
     r = h.rule
     return F.struct(
+        F.concat(F.lit("IMPORTED_"), (i + 1).cast("string")).alias("entity_id"),
         r.type.alias("type"),
         h.start.alias("start"),
         h.end.alias("end"),
@@ -85,16 +92,16 @@ def _imported_span(h: Column) -> Column:
 
 
 def apply_pairs(df: DataFrame, pairs: DataFrame, id_cols: Sequence[str], direction: str = "forward",
-                text_col: str = "text", small_list: int = 64) -> DataFrame:
+                text_col: str = "text", strategy: str = "join") -> DataFrame:
     """Replace every occurrence of the pairs' ``from`` side.
 
     Longer texts win, then user pairs, then list order (column ``ord`` if there is one).  Pairs with
-    the id columns apply to their document only.  Adds ``spans``, ``masked_text``, ``applied``
+    some of the id columns apply to the documents with those ids only.  Adds ``spans``, ``masked_text``, ``applied``
     (surviving spans) and ``skipped`` (pairs of the document, or of the list, without any occurrence).
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction: {direction}")
-    scope = [c for c in id_cols if c in pairs.columns] if set(id_cols) <= set(pairs.columns) else []
+    scope = [c for c in id_cols if c in pairs.columns]
     source, target = ("source", "replacement") if direction == "forward" else ("replacement", "source")
     ord_ = F.col("ord") if "ord" in pairs.columns else F.lit(0)
     rules = pairs.select(
@@ -110,16 +117,15 @@ def apply_pairs(df: DataFrame, pairs: DataFrame, id_cols: Sequence[str], directi
     useful = (F.col("source") != "") & (F.col("replacement") != "") & (F.col("source") != F.col("replacement"))
     if scope:
         totals = rules.groupBy(*scope).agg(F.count(F.lit(1)).alias("_total"))
-        with_rules = attach_rules(df, rules.where(useful), id_cols, text_col, small_list)
-        with_rules = with_rules.join(totals, list(scope), "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
+        with_rules = attach_rules(df, rules.where(useful), id_cols, text_col)
+        with_rules = join_same(with_rules, totals, scope).withColumn("_total", F.coalesce("_total", F.lit(0)))
     else:
-        total = rules.count()
-        with_rules = attach_rules(df, rules.where(useful), id_cols, text_col, small_list)
-        with_rules = with_rules.withColumn("_total", F.lit(total))
+        total = rules.agg(F.count(F.lit(1)).alias("_total"))  # one row
+        with_rules = attach_rules(df, rules.where(useful), id_cols, text_col, strategy).crossJoin(F.broadcast(total))
     # Number the rules of a row, in list order, so that ties and counts are well defined.
     ordered = F.transform(F.array_sort(F.col(RULES)), lambda r, i: r.withField("ord", i))
     found = settle(with_rules, "_hits", literal_hits(F.col(text_col), ordered)).drop(RULES)
-    keys = F.transform("_hits", lambda h: sort_key(h.start, h.end, h.rule.priority, h.rule.ord, _imported_span(h)))
+    keys = F.transform("_hits", lambda h, i: sort_key(h.start, h.end, h.rule.priority, h.rule.ord, _imported_span(h, i)))
     matched = F.size(F.array_distinct(F.transform("_hits", lambda h: h.rule.ord)))
     found = (
         settle(found, "spans", F.transform(sweep(keys), lambda k: k.payload.dropFields("ord")))
@@ -134,7 +140,9 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
     """Put the sources back for ``[TYPE_n]`` tags, from a mapping table scoped by document.
 
     The mapping is grouped by document first, so documents and mapping meet in one equi-join (or
-    none, if both are bucketed by the id).  Tags cannot overlap, so one pass finds them all.
+    none, if both are bucketed by the id).  Tags cannot overlap, so one pass finds them all.  Null
+    ids are equal.  Where documents share an id and their mappings disagree on a tag, the query
+    fails rather than put in the value of another document.
     """
     pair = F.struct(F.col("replacement").alias("k"), F.col("source").alias("v"))
     per_doc = (
@@ -142,7 +150,10 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
         .groupBy(*id_cols)
         .agg(F.collect_set(pair).alias("_pairs"))
     )
-    joined = df.join(per_doc, list(id_cols), "left")
+    clear = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["k"]))) == F.size("_pairs")
+    refuse = F.raise_error(F.lit("one tag stands for two sources: the ids of the mapping repeat"))
+    per_doc = per_doc.withColumn("_pairs", F.when(clear, F.col("_pairs")).otherwise(refuse.cast(per_doc.schema["_pairs"].dataType)))
+    joined = join_same(df, per_doc, id_cols)
     text = F.col(text_col)
     joined = joined.withColumn(
         "_tags", F.when(F.size("_pairs") > 0, F.regexp_extract_all(text, F.lit(TAG), F.lit(0)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.catalogue import MANUAL_RULE
 from cloakwork.functions.arrays import let, lookup
-from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.rewrite import mask_text, required
 from cloakwork.operators.settle import settle
 
 
@@ -61,9 +61,15 @@ def frequencies(spans: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
 
 
 def total_detections(spans: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
+    """Detections of a long span table; documents without any have no row here (see :func:`detections_per_document`)."""
     return spans.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("detections"))
 
 
+def detections_per_document(masked: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """Detections of every document, also where there are none.  No shuffle."""
+    return masked.select(*id_cols, F.coalesce(F.array_size("spans"), F.lit(0)).cast("bigint").alias("detections"))
+
+
 def toggle_local(disabled: DataFrame, requests: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """Flip single spans: the symmetric difference of the switched-off spans and the requests."""
     key = [*id_cols, "entity_id"]
@@ -106,8 +112,24 @@ def removed_by_requests(spans: DataFrame, requests: DataFrame, id_cols: Sequence
     return manual.join(requests.select(*key), key, "left_semi").select(*id_cols, "source", "type").distinct()
 
 
-def apply_switches(masked: DataFrame, disabled: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Mark switched-off spans and rewrite the text; a switched-off span shows its source."""
+def switch_everywhere(spans: DataFrame, disabled: DataFrame, rules: DataFrame, requests: DataFrame,
+                      id_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both branches of a global switch: the spans switched off afterwards, and the user rules left.
+
+    A request on a detected span flips its value; one on a manual span removes that user rule, in its
+    document if the rules carry ids, else everywhere.  ``rules``: ``source, type`` and perhaps ids.
+    """
+    gone = removed_by_requests(spans, requests, id_cols)
+    scope = [c for c in id_cols if c in rules.columns]
+    left = rules.join(gone.select(*scope, "source", "type").distinct(), [*scope, "source", "type"], "left_anti")
+    return toggle_everywhere(spans, disabled, requests, id_cols), left
+
+
+def apply_switches(masked: DataFrame, disabled: DataFrame, id_cols: Sequence[str], text_col: str = "clean_text") -> DataFrame:
+    """Mark switched-off spans and rewrite the text; a switched-off span shows its source.
+
+    ``text_col`` is the text that the spans refer to, for imported pairs the one they were applied to.
+    """
     per_doc = disabled.groupBy(*id_cols).agg(F.collect_set("entity_id").alias("_off"))
     df = masked.join(per_doc, list(id_cols), "left")
     ids = F.transform("spans", lambda s: s.entity_id)
@@ -122,8 +144,8 @@ def apply_switches(masked: DataFrame, disabled: DataFrame, id_cols: Sequence[str
         ),
     ).otherwise(F.transform("spans", lambda s: s.withField("disabled", F.lit(False))))
     df = settle(df, "spans", marked).drop("_off")
-    return mask_text(df, value=_switched)
+    return mask_text(df, text_col, value=_switched)
 
 
 def _switched(span: Column) -> Column:
-    return F.when(span.disabled, span.source).otherwise(F.coalesce(span.replacement, span.source))
+    return F.when(span.disabled, span.source).otherwise(required(span))

@@ -29,12 +29,13 @@ def rewrite(text: Column, parts: Column, spans: Column, value: Callable[[Column]
     return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
 
 
-def _replacement(span: Column) -> Column:
-    return F.coalesce(span.replacement, span.source)
+def required(span: Column) -> Column:
+    """The replacement of a span; a span without one fails the query, as its source must not get out."""
+    return F.coalesce(span.replacement, F.raise_error(F.lit("a span has no replacement")).cast("string"))
 
 
 def mask_text(df: DataFrame, text_col: str = "clean_text", spans_col: str = "spans", out_col: str = "masked_text",
-              value: Callable[[Column], Column] = _replacement) -> DataFrame:
+              value: Callable[[Column], Column] = required) -> DataFrame:
     """Add the rewritten text; uses the text blocks of an earlier step if they are still there."""
     text, spans = F.col(text_col), F.col(spans_col)
     if BLOCKS not in df.columns:

@@ -29,11 +29,18 @@ def dedupe_rules(rules: DataFrame) -> DataFrame:
 
 
 def rules_from_selections(selections: DataFrame) -> DataFrame:
-    """Rules from selected texts: trailing blanks and line ends go, blank selections too; type USER by default."""
+    """Rules from selected texts: trailing blanks and line ends go, blank selections too; type USER by default.
+
+    An unknown type fails the query.
+    """
     type_ = F.coalesce(F.col("type"), F.lit("USER")) if "type" in selections.columns else F.lit("USER")
     scope = [c for c in selections.columns if c not in ("source", "type")]
     cleaned = selections.select(*scope, F.regexp_replace("source", r"[ \r\n]+\z", "").alias("source"), type_.alias("type"))
-    return dedupe_rules(cleaned.where((trim_space(F.col("source")) != "") & is_entity_type(F.col("type"))))
+    refuse = F.raise_error(F.concat(F.lit("unknown entity type: "), F.col("type"))).cast("string")
+    known = cleaned.where(trim_space(F.col("source")) != "").withColumn(
+        "type", F.when(is_entity_type(F.col("type")), F.col("type")).otherwise(refuse)
+    )
+    return dedupe_rules(known)
 
 
 def retype_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
@@ -69,12 +76,12 @@ def _manual_span(hit: Column) -> Column:
 
 
 def manual_spans(df: DataFrame, rules: DataFrame, id_cols: Sequence[str], text_col: str = "clean_text",
-                 small_list: int = 64) -> DataFrame:
+                 strategy: str = "join") -> DataFrame:
     """Add ``manual``: ``array<struct<ord, span>>``, one entry per rule and occurrence."""
     numbered = dedupe_rules(rules)
     if "ord" not in numbered.columns:
         numbered = numbered.withColumn("ord", F.lit(0))
-    with_rules = attach_rules(df, numbered, id_cols, text_col, small_list)
+    with_rules = attach_rules(df, numbered, id_cols, text_col, strategy)
     ordered = F.transform(
         F.array_sort(
             F.transform(RULES, lambda r: F.struct(r.ord.alias("ord"), r.source.alias("source"), r.type.alias("type")))
@@ -100,9 +107,12 @@ def merge_spans(base: Column, manual: Column) -> Column:
 
 
 def with_user_rules(masked: DataFrame, rules: DataFrame, id_cols: Sequence[str], mode: str = "tag",
-                    small_list: int = 64) -> DataFrame:
-    """Add user rules to a masking result: merge spans, fill in replacements, rewrite the text."""
-    df = manual_spans(masked, rules, id_cols, small_list=small_list)
+                    strategy: str = "join") -> DataFrame:
+    """Add user rules to a masking result: merge spans, fill in replacements, rewrite the text.
+
+    ``strategy`` is that of :func:`cloakwork.operators.literals.attach_rules`.
+    """
+    df = manual_spans(masked, rules, id_cols, strategy=strategy)
     merged = reuse("merged", lambda: merge_spans(F.col("spans"), F.col("manual")))
     df = settle(df, "spans", merged).drop("manual")
     df = settle(df, "spans", reuse(("filled", mode), lambda: fill_replacements(F.col("spans"), mode)))

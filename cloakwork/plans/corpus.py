@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import let, lookup
 from cloakwork.functions.replacements import replacement
+from cloakwork.operators.literals import join_same
 from cloakwork.operators.pairs import apply_pairs
 from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.settle import settle
 from cloakwork.plans.masking import explode_spans
 
 HOT_SHARE = 1000
@@ -17,10 +20,10 @@ SALTS = 64
 
 
 def apply_rule_list(df: DataFrame, pairs: DataFrame, id_cols: Sequence[str], text_col: str = "text",
-                    direction: str = "forward", small_list: int = 64) -> DataFrame:
+                    direction: str = "forward", strategy: str = "join") -> DataFrame:
     """Apply one list of pairs to every document (see :func:`cloakwork.operators.pairs.apply_pairs`)."""
     scoped = [c for c in pairs.columns if c in id_cols]
-    return apply_pairs(df, pairs.drop(*scoped), id_cols, direction, text_col, small_list)
+    return apply_pairs(df, pairs.drop(*scoped), id_cols, direction, text_col, strategy)
 
 
 def rule_list_summary(applied: DataFrame) -> DataFrame:
@@ -82,7 +85,8 @@ def corpus_pseudonyms(detected: DataFrame, id_col: str, mode: str = "tag",
     """Mask with numbers that hold across documents: equal values get equal replacements everywhere.
 
     ``detected`` is the result of :func:`cloakwork.plans.masking.detect`; write it out first at
-    scale, as its spans are read twice.
+    scale, as its spans are read twice.  A document gets the names of the values it holds, matched
+    by value, so null or repeated ids neither lose nor mix them; a span without a name fails the query.
     """
     spans = explode_spans(detected.select(id_col, "spans"), id_col)
     numbers = corpus_numbers(spans, id_col, checkpoint_dir).checkpoint()
@@ -100,13 +104,17 @@ def corpus_pseudonyms(detected: DataFrame, id_col: str, mode: str = "tag",
     copies = F.when(F.col("uses") > F.lit(max(total // HOT_SHARE, 1000)), F.lit(SALTS)).otherwise(F.lit(1))
     salted = numbers.select(*key, "n", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_salt"))
     named = marked.join(salted.withColumn("_salt", F.col("_salt").cast("bigint")), [*key, "_salt"])
+    value = F.struct(*key)
     one = F.struct(
-        "start",
-        replacement(mode, F.col("type"), F.col("n"), F.col("region"), F.col("source")).alias("replacement"),
+        value.alias("k"), replacement(mode, F.col("type"), F.col("n"), F.col("region"), F.col("source")).alias("v")
     )
-    per_doc = named.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("_names"))
-    joined = detected.join(per_doc, id_col, "left").withColumn(
-        "spans",
-        F.transform("spans", lambda s, i: s.withField("replacement", F.get(F.col("_names"), i).replacement)),
+    per_doc = named.groupBy(id_col).agg(F.collect_set(one).alias("_names"))
+    values = F.transform("spans", lambda s: F.struct(
+        s.type.alias("type"), F.coalesce(s.region, F.lit("-")).alias("region_key"), s.source.alias("source")))
+    given = F.when(
+        F.size("spans") > 0,
+        let(lookup(values, F.col("_names")),
+            lambda names: F.transform("spans", lambda s, i: s.withField("replacement", F.get(names, i)))),
     )
+    joined = settle(join_same(detected, per_doc, [id_col]), "spans", given)
     return mask_text(joined.drop("_names"))

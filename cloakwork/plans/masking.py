@@ -20,7 +20,13 @@ def _rules(regions: Iterable[str], profile: str, rules: Sequence[Rule] | None) -
     return active_rules(regions, profile) if rules is None else rules
 
 
+OUTPUTS = ("clean_text", "candidates", "spans", "masked_text")
+
+
 def _candidates(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    taken = [c for c in df.columns if c in OUTPUTS or c.startswith("_cw_")]
+    if taken:
+        raise ValueError(f"columns that the result needs are there already: {', '.join(taken)}")
     return candidates(df.withColumn("clean_text", normalise(F.col(text_col))), "clean_text", rules, "candidates")
 
 

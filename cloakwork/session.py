@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,5 +17,6 @@ def local_session(cpus: int | str = "*", app: str = "cloakwork", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR", f"{tempfile.gettempdir()}/cloakwork-checkpoints"))
         .getOrCreate()
     )

@@ -22,8 +22,8 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", text_co
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core some documents when the input has fewer splits than cores.
 
-    A small file is one split, and detection is heavy per row.  Large inputs have plenty of
-    splits and are left alone, so no text is shuffled at scale.
+    For small inputs on one machine, such as benchmarks: it deals the whole rows out anew.  Nothing in
+    the library calls it; large inputs should rather be read with smaller splits.
     """
     sc = df.sparkSession.sparkContext
     cores = sc.defaultParallelism

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cloakwork.catalogue import ENTITY_TYPES
 from cloakwork.functions.text import trim_space
@@ -94,12 +95,14 @@ def _fields(p: Column) -> list[Column]:
 
 
 def import_envelopes(files: DataFrame, json_col: str, id_cols: Sequence[str] = ()) -> DataFrame:
-    """The pairs of all files, ``(*id_cols, ord, <pair fields>)``; raises if any file is invalid."""
+    """The pairs of all files, ``(*id_cols, ord, <pair fields>)``; one invalid file fails the whole query.
+
+    The check runs in the same pass as the parsing.
+    """
     parsed = parse_envelopes(files, json_col)
-    bad = parsed.where(~F.col("valid")).limit(1).count()
-    if bad:
-        raise InvalidRulesFile("invalid-rules-file")
-    return parsed.select(*id_cols, F.posexplode("pairs").alias("ord", "_p")).select(*id_cols, "ord", "_p.*")
+    refuse = F.raise_error(F.lit("invalid-rules-file")).cast(parsed.schema["pairs"].dataType)
+    sound = F.when(F.col("valid"), F.col("pairs")).otherwise(refuse)
+    return parsed.select(*id_cols, F.posexplode(sound).alias("ord", "_p")).select(*id_cols, "ord", "_p.*")
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
@@ -108,16 +111,17 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return import_envelopes(files, "value", ["file"])
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Read what :func:`write_pairs` wrote, with the same checks."""
+def read_pairs(spark: SparkSession, path: str, others: str = "") -> DataFrame:
+    """Read what :func:`write_pairs` wrote, with the same checks as for an envelope: a value that is no string is none.
+
+    ``others`` is the schema of further columns, such as ``doc_id bigint, ord bigint``.
+    """
     head = spark.read.json(f"{path}/head", schema="schemaVersion string, generatedAt string, total bigint")
-    body = spark.read.json(f"{path}/rules", mode="FAILFAST")
+    body = spark.read.text(f"{path}/rules").select(F.try_parse_json("value").alias("_v"))
+    more = StructType.fromDDL(others) if others else StructType()
     pairs = body.select(
-        *[c for c in body.columns if c not in JSON_NAMES.values()],
-        *[
-            (F.col(j) if j in body.columns else F.lit(None).cast("string")).alias(n)
-            for n, j in JSON_NAMES.items()
-        ],
+        *[F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in more],
+        *_fields(F.col("_v")),
     )
     ok = valid_pair({n: F.col(n) for n in PAIR_FIELDS})
     checks = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("ok")).first()

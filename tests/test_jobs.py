@@ -59,7 +59,7 @@ def test_user_rules(spark, masked):
         "source string, type string, ord int",
     )
     small = {r.doc_id: r for r in U.with_user_rules(masked, rules, ID).collect()}
-    large = {r.doc_id: r for r in U.with_user_rules(masked, rules, ID, small_list=0).collect()}
+    large = {r.doc_id: r for r in U.with_user_rules(masked, rules, ID, strategy="constant").collect()}
     assert small[1].masked_text == "mail [ORG_1], [EMAIL_2] and [ORG_1]; ask [PERSON_1] or [USER_1]"
     assert small[2].masked_text == "[PERSON_1] called [PHONE_1] from [IP_1] about [ORG_1]"
     assert small[1].spans[0].entity_id == "MANUAL_ORG_5_12"
@@ -69,7 +69,7 @@ def test_user_rules(spark, masked):
 
 
 def test_rule_tables(spark):
-    sel = spark.createDataFrame([("Ann \r\n", None), ("  ", None), ("Ann", "USER"), ("X", "ORG"), ("Y", "NOPE")], "source string, type string")
+    sel = spark.createDataFrame([("Ann \r\n", None), ("  ", None), ("Ann", "USER"), ("X", "ORG")], "source string, type string")
     rules = U.rules_from_selections(sel)
     assert {tuple(r) for r in rules.collect()} == {("Ann", "USER"), ("X", "ORG")}
     changes = spark.createDataFrame([("Ann", "USER", "PERSON")], "source string, type string, new_type string")
@@ -103,6 +103,9 @@ def test_review_and_switches(spark, masked):
     assert [tuple(r) for r in W.removed_by_requests(spans, manual, ID).collect()] == [(2, "Ann", "PERSON")]
     assert {tuple(r) for r in W.toggle_everywhere(spans, off, manual, ID).collect()} == {(1, "EMAIL_5_12"), (1, "EMAIL_26_33")}
 
+    still_off, left = W.switch_everywhere(spans, off, rules, manual, ID)
+    assert left.count() == 0 and still_off.count() == 2
+
     shown = {r.doc_id: r.masked_text for r in W.apply_switches(merged, off, ID).collect()}
     assert shown[1] == "mail a@b.com, [EMAIL_2] and a@b.com; ask [PERSON_1] or [PERSON_1]a"
     assert shown[3] == "nothing here"
@@ -120,14 +123,46 @@ def test_pairs_against_brute_force(spark):
     rows = [(i, "USER", o, a, b, None, None) for i, (o, a, b) in enumerate(pairs)]
     pdf = spark.createDataFrame(rows, PAIRS)
     for direction in ("forward", "reverse"):
-        for small in (64, 0):
-            for r in P.apply_pairs(df, pdf, ID, direction, small_list=small).collect():
-                want = brute.apply_pairs(r.text, pairs, direction)
-                assert (r.masked_text, r.applied, r.skipped) == want
+        for strategy in ("join", "constant"):
+            for r in P.apply_pairs(df, pdf, ID, direction, strategy=strategy).collect():
+                brute.check_pairs(r, pairs, direction)
     # Scoped by document: each document sees its own pairs only.
     scoped = spark.createDataFrame([(i, *rows[j]) for i in range(40) for j in range(i % 5)], "doc_id bigint, " + PAIRS)
     for r in P.apply_pairs(df, scoped, ID).collect():
-        assert (r.masked_text, r.applied, r.skipped) == brute.apply_pairs(r.text, pairs[: r.doc_id % 5], "forward")
+        brute.check_pairs(r, pairs[: r.doc_id % 5], "forward")
+
+
+def test_ids_null_repeated_and_partial(spark):
+    """Null and repeated ids get the same from both strategies; no value crosses between documents, none gets out."""
+    rows = [(None, "mail z@x.com foofoo"), (None, "foo b@x.com"), (7, "mail a@x.com"), (7, "mail c@x.com foo")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rules = spark.createDataFrame([("foo", "USER")], "source string, type string")
+    want = sorted(["mail [EMAIL_1] [USER_1][USER_1]", "[USER_1] [EMAIL_1]", "mail [EMAIL_1]", "mail [EMAIL_1] [USER_1]"])
+    for strategy in ("join", "constant"):
+        assert sorted(r.masked_text for r in U.with_user_rules(mask(df), rules, ID, strategy=strategy).collect()) == want
+    names = {r.text: r.masked_text for r in corpus.corpus_pseudonyms(detect(df), "doc_id").collect()}
+    assert not any("@" in t for t in names.values())
+    assert len({t.split("[")[1] for t in names.values()}) == 4  # four mails, four names
+    masked = mask(df)
+    with pytest.raises(Exception, match="two sources"):
+        roundtrip.restored(masked, ID).collect()
+    one_null = mask(df.where("text like '%z@x.com%' or text like '%a@x.com%'"))
+    assert all(r.restored_text == r.clean_text for r in roundtrip.restored(one_null, ID).collect())
+
+    turns = spark.createDataFrame([(1, 1, "ask foo"), (1, 2, "foo"), (2, 1, "foo"), (None, 1, "foo")], "conv bigint, turn bigint, text string")
+    pairs = spark.createDataFrame([(1, 0, "USER", "user", "foo", "<x>", None, None)], "conv bigint, " + PAIRS)
+    got = {(r.conv, r.turn): (r.masked_text, r.applied, r.skipped) for r in P.apply_pairs(turns, pairs, ["conv", "turn"]).collect()}
+    assert got == {(1, 1): ("ask <x>", 1, 0), (1, 2): ("<x>", 1, 0), (2, 1): ("foo", 0, 0), (None, 1): ("foo", 0, 0)}
+
+
+def test_refusals(spark, docs):
+    with pytest.raises(ValueError, match="clean_text"):
+        mask(docs.withColumnRenamed("doc_id", "clean_text"))
+    odd = spark.createDataFrame([("Y", "NOPE")], "source string, type string")
+    with pytest.raises(Exception, match="unknown entity type"):
+        U.rules_from_selections(odd).collect()
+    with pytest.raises(ValueError, match="strategy"):
+        P.apply_pairs(docs, spark.createDataFrame([], PAIRS), ID, strategy="auto")
 
 
 def test_export_and_import(spark, masked, tmp_path):
@@ -144,19 +179,34 @@ def test_export_and_import(spark, masked, tmp_path):
     cols = ["doc_id", *P.PAIR_FIELDS]
     assert sorted(map(str, pairs.select(*cols).collect())) == sorted(map(str, long.select(*cols).collect()))
     assert {tuple(r) for r in P.user_rules_of(pairs).collect()} == {("Ann", "PERSON")}
+    again = {r.doc_id: r.masked_text for r in U.with_user_rules(masked, P.user_rules_of(pairs), ID).collect()}
+    assert again == {r.doc_id: r.masked_text for r in merged.collect()}
     # Forward on the text gives the mask, reverse gives the text back.
     fwd = P.apply_pairs(merged.select("doc_id", "clean_text"), pairs, ID, text_col="clean_text")
     back = P.apply_pairs(merged.select("doc_id", "masked_text").withColumnRenamed("masked_text", "m"), pairs, ID, "reverse", "m")
     want = {r.doc_id: r for r in merged.collect()}
     assert all(r.masked_text == want[r.doc_id].masked_text for r in fwd.collect())
     assert all(r.masked_text == want[r.doc_id].clean_text for r in back.where("doc_id < 4").collect())
+    # What was imported can be reviewed like what was detected.
+    assert mapping(fwd, *ID).where("doc_id = 1").orderBy("position.start").first().entity_id == "IMPORTED_1"
+    off = explode_spans(fwd, *ID).select("doc_id", "entity_id")
+    assert all(r.masked_text == want[r.doc_id].clean_text for r in W.apply_switches(fwd, off, ID).collect())
     swapped = P.collect_pairs(explode_spans(merged, *ID), swap=True)
     assert {"[EMAIL_1]"} <= {r.source for r in swapped.collect()}
     assert P.swap_on_export("imported", "reverse") and not P.swap_on_export("analysis", None)
 
-    rule_pairs.write_pairs(long, f"{tmp_path}/p", "now")
-    again = rule_pairs.read_pairs(spark, f"{tmp_path}/p")
-    assert again.count() == long.count()
+    rule_pairs.write_pairs(long.coalesce(1), f"{tmp_path}/p", "now")
+    again = rule_pairs.read_pairs(spark, f"{tmp_path}/p", "doc_id bigint, ord bigint")
+    key = ["doc_id", "ord", *P.PAIR_FIELDS]
+    assert sorted(map(str, again.select(*key).collect())) == sorted(map(str, long.select(*key).collect()))
+    body = next((tmp_path / "p" / "rules").glob("part-*.json"))
+    odd = tmp_path / "odd"
+    (odd / "rules").mkdir(parents=True)
+    (odd / "rules" / "a.json").write_text(body.read_text().replace('"source":"a@b.com"', '"source":5'))
+    (odd / "head").mkdir()
+    (odd / "head" / "a.json").write_text(json.dumps({"schemaVersion": "2.0", "generatedAt": "now", "total": len(body.read_text().splitlines())}))
+    with pytest.raises(rule_pairs.InvalidRulesFile):
+        rule_pairs.read_pairs(spark, str(odd), "doc_id bigint, ord bigint")
     (tmp_path / "one.json").write_text(json.dumps(data[1], indent=2, ensure_ascii=False))
     assert rule_pairs.read_envelopes(spark, f"{tmp_path}/one.json").count() == 3
 
@@ -185,8 +235,8 @@ def test_import_lenient_fields(spark):
     files = spark.createDataFrame([(odd,)], "j string")
     row = rule_pairs.import_envelopes(files, "j").first()
     assert (row.region, row.rule_id, row.source) == (None, None, "a")
-    with pytest.raises(rule_pairs.InvalidRulesFile):
-        rule_pairs.import_envelopes(spark.createDataFrame([("x",)], "j string"), "j")
+    with pytest.raises(Exception, match="invalid-rules-file"):
+        rule_pairs.import_envelopes(spark.createDataFrame([("x",)], "j string"), "j").collect()
 
 
 def test_corpus_pseudonyms(spark, docs, tmp_path):

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakwork.sources.documents import spread
-
 
 def _n(expr: str, width: int) -> str:
     return f"lpad(CAST({expr} AS STRING), {width}, '0')"
@@ -63,19 +61,28 @@ NOTE_TEXT = (
 )
 
 
+# The same with contacts, which the rules detect beside the listed names.
+MAIL_NOTE_TEXT = f"concat({NOTE_TEXT}, '; mail c', CAST({_C} AS STRING), '@shop.example.com, host 10.0.0.', CAST({_K} % 256 AS STRING))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return spread(orders).selectExpr("o_orderkey AS doc_id", f"{FORM_TEXT} AS text", f"{FORM_KIND} AS kind")
+    return orders.selectExpr("o_orderkey AS doc_id", f"{FORM_TEXT} AS text", f"{FORM_KIND} AS kind")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return spread(orders).selectExpr("o_orderkey AS doc_id", f"{NOTE_TEXT} AS text")
+    return orders.selectExpr("o_orderkey AS doc_id", f"{NOTE_TEXT} AS text")
+
+
+def mail_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.selectExpr("o_orderkey AS doc_id", f"{MAIL_NOTE_TEXT} AS text")

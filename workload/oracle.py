@@ -6,7 +6,7 @@ texts they run on (forms, and documents without labels or colons) that makes no
 
 from __future__ import annotations
 
-from workload.inputs import FORM_KIND, FORM_TEXT, NOTE_TEXT
+from workload.inputs import FORM_KIND, FORM_TEXT, MAIL_NOTE_TEXT, NOTE_TEXT
 
 # Rule number, id, type, region, priority, basis, pattern.
 _RU, _LAT = r"[А-ЯЁ][а-яё-]{2,}", r"[A-Z][a-z-]{2,}"
@@ -48,16 +48,40 @@ RULES = [
     (30, "eu.vat.number", "DOC_ID", "EU", 66, "format+hint", r"\b[A-Z]{2}[A-Z0-9]{8,12}\b"),
     (31, "eu.residence_permit_like", "DOC_ID", "EU", 64, "format+hint", r"\b\d{2}[A-Z]{2}\d{5,7}\b"),
 ]
+# Words that must be near a match of a rule.
 HINTS = {
-    23: ["паспорт", "серия", "номер", "выдан"], 24: ["инн", "налог"], 25: ["снилс"],
-    26: ["passport", "անձնագիր", "document"], 27: ["ssn", "social", "հաշվառում"], 28: ["tin", "tax", "հարկ"],
-    29: ["passport", "id card", "document no", "national id"], 30: ["vat", "tax", "registration"],
+    23: ["паспорт", "серия", "номер", "выдан"],
+    24: ["инн", "налог"],
+    25: ["снилс"],
+    26: ["passport", "անձնագիր", "document"],
+    27: ["ssn", "social", "հաշվառում"],
+    28: ["tin", "tax", "հարկ"],
+    29: ["passport", "id card", "document no", "national id"],
+    30: ["vat", "tax", "registration"],
     31: ["residence", "permit", "id"],
 }
-_ALONE_PERSON = "фио|фамили[яи]|имя|отчество|заявител(?:ь|я)|(?:first|given|middle|last|family|legal)\\s+name|surname|applicant|vorname|familienname|nachname|geburtsname|antragsteller(?:in)?|anrede|անուն|ազգանուն|հայրանուն"
-PERSON = rf"(?i)(?:^|[^\p{{L}}])(?:{_ALONE_PERSON})(?:[^\p{{L}}]|$)|данные\s+заявителя|դիմողի\s+անուն,\s*ազգանուն,\s*հայրանունը"
-_ALONE_ADDRESS = "адрес|индекс|address|anschrift|adresse|wohnort|postleitzahl|plz|հասցե"
-ADDRESS = rf"(?i)(?:^|[^\p{{L}}])(?:{_ALONE_ADDRESS})(?:[^\p{{L}}]|$)|адрес\s+(?:проживания|регистрации)|место\s+жительства|(?:residential|mailing|postal)\s+address|place\s+of\s+residence|wohnanschrift|meldeadresse|(?:բնակության|գրանցման)\s+հասցե|փոստային\s+ինդեքս"
+# Field labels near a person or a postcode.  True: the label stands alone.
+PERSON_LABELS = [
+    ("фио", True), ("фамили[яи]", True), ("имя", True), ("отчество", True), ("заявител(?:ь|я)", True), ("данные заявителя", False),
+    ("first name", True), ("given name", True), ("middle name", True), ("last name", True), ("family name", True),
+    ("surname", True), ("legal name", True), ("applicant", True),
+    ("vorname", True), ("familienname", True), ("nachname", True), ("geburtsname", True), ("antragsteller(?:in)?", True), ("anrede", True),
+    ("անուն", True), ("ազգանուն", True), ("հայրանուն", True), (r"դիմողի անուն,\s*ազգանուն,\s*հայրանունը", False),
+]
+ADDRESS_LABELS = [
+    ("адрес", True), ("адрес проживания", False), ("адрес регистрации", False), ("место жительства", False), ("индекс", True),
+    ("address", True), ("residential address", False), ("mailing address", False), ("postal address", False), ("place of residence", False),
+    ("anschrift", True), ("adresse", True), ("wohnanschrift", False), ("meldeadresse", False), ("wohnort", True), ("postleitzahl", True), ("plz", True),
+    ("հասցե", True), ("բնակության հասցե", False), ("գրանցման հասցե", False), ("փոստային ինդեքս", False),
+]
+
+
+def _labels(labels: list[tuple[str, bool]]) -> str:
+    spaced = [(label.replace(" ", r"\s+"), alone) for label, alone in labels]
+    return "(?i)" + "|".join(rf"(?:^|[^\p{{L}}])(?:{label})(?:[^\p{{L}}]|$)" if alone else label for label, alone in spaced)
+
+
+PERSON, ADDRESS = _labels(PERSON_LABELS), _labels(ADDRESS_LABELS)
 
 DATE_SHAPE = rf"(?:{_D}[./-]{_M}[./-]{_Y}|{_Y}[./-]{_M}[./-]{_D})"
 CARD16 = r"(?:\d{16}|\d{4}(?:[ -]{1,2}\d{4}){3})"
@@ -101,6 +125,7 @@ def ipv6(v: str) -> str:
 DOCS = "SELECT doc_id, text FROM documents"
 FORMS = f"SELECT o_orderkey AS doc_id, {FORM_TEXT} AS text, {FORM_KIND} AS kind FROM orders"
 NOTES = f"SELECT o_orderkey AS doc_id, {NOTE_TEXT} AS text, o_custkey FROM orders"
+MAIL_NOTES = f"SELECT o_orderkey AS doc_id, {MAIL_NOTE_TEXT} AS text FROM orders"
 
 
 def _clean(docs: str, key: str = "doc_id", text: str = "text") -> str:
@@ -238,10 +263,18 @@ _RESOLVE = (
 _USER_RULES = [("thing", "USER"), ("ing th", "ORG"), ("example.com", "ORG"), ("er", "PERSON"), ("tion on", "USER"), ("absent!", "USER")]
 
 
-def _user_rules() -> str:
-    values = ", ".join(f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(_USER_RULES))
-    return pipeline(DOCS) + f""",
-user_rules(o, literal, utype) AS (VALUES {values}),
+_RULE_VALUES = "VALUES " + ", ".join(f"({i}, '{s}', '{t}')" for i, (s, t) in enumerate(_USER_RULES))
+
+
+_IMPORTED = f"""WITH n AS ({NOTES}), hits AS (
+ SELECT n.doc_id, 1 AS slot, a.c_custkey AS k, a.c_name AS name, length('order ' || n.doc_id || ' of ') AS s FROM n JOIN customer a ON a.c_custkey = n.o_custkey
+ UNION ALL SELECT n.doc_id, 2, b.c_custkey, b.c_name, length('order ' || n.doc_id || ' of ') + 28 FROM n JOIN customer b ON b.c_custkey = (n.o_custkey * 7) % 100),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, s) AS i FROM hits)"""
+
+
+def _user_rules(docs: str = DOCS, rules: str = _RULE_VALUES) -> str:
+    return pipeline(docs) + f""",
+user_rules(o, literal, utype) AS ({rules}),
 gaps AS (SELECT doc_id, t, o, literal, utype, string_split(t, literal) AS g FROM docs JOIN user_rules ON contains(t, literal)),
 manual AS (SELECT doc_id, t, o, literal, utype, CAST(list_sum(list_transform(g[1:u.i], lambda x: length(x))) + (u.i - 1) * length(literal) AS BIGINT) AS s
   FROM gaps, unnest(range(1, len(g))) AS u(i)),
@@ -305,12 +338,15 @@ SELECT g.doc_id, CAST(g.start AS BIGINT) AS start, g.type, g.source,
  CASE WHEN g.idx IS NOT NULL THEN '[' || g.type || '_' || g.idx || ']' WHEN g.v = 4 THEN 'odd' ELSE '[' || g.type || '_' || made.i || ']' END AS replacement
 FROM g LEFT JOIN made ON made.doc_id = g.doc_id AND made.type = g.type AND made.source = g.source""",
     "user_rules_merge": _user_rules() + " SELECT doc_id, masked_text FROM masked2",
+    "user_rules_merge_joined": _user_rules() + " SELECT doc_id, masked_text FROM masked2",
+    **{
+        f"user_rules_null_ids_{strategy}": _user_rules()
+        + " SELECT CASE WHEN doc_id % 5 <> 0 THEN doc_id - doc_id % 2 END AS doc_id, masked_text FROM masked2"
+        for strategy in ("joined", "constant")
+    },
     "user_rules_spans": _user_rules()
     + f" SELECT doc_id, CASE WHEN rule_id = 'manual.selection' THEN 'MANUAL_' ELSE '' END || {_ENTITY} AS entity_id, type, s AS start, e AS \"end\", source, rule_id, replacement FROM filled",
-    "user_rules_long_list": f"""WITH n AS ({NOTES}) SELECT n.doc_id, 'order ' || n.doc_id || ' of ' || CASE WHEN a.c_custkey IS NULL THEN 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') ELSE '[USER_1]' END
- || ', copy to ' || CASE WHEN b.c_custkey IS NULL THEN 'Customer#' || lpad(CAST((o_custkey * 7) % 100 AS STRING), 9, '0')
-   WHEN a.c_custkey IS NULL OR a.c_custkey = b.c_custkey THEN '[USER_1]' ELSE '[USER_2]' END || '; not Customer#' || o_custkey AS masked_text
-FROM n LEFT JOIN customer a ON a.c_custkey = n.o_custkey LEFT JOIN customer b ON b.c_custkey = (n.o_custkey * 7) % 100""",
+    "user_rules_long_list": _user_rules(MAIL_NOTES, "SELECT c_custkey, c_name, 'USER' FROM customer") + " SELECT doc_id, masked_text FROM masked2",
     "rule_table_edits": """WITH r AS (SELECT DISTINCT event_type AS source, CASE WHEN user_id % 2 = 0 THEN 'ORG' ELSE 'USER' END AS type FROM events),
 c AS (SELECT DISTINCT source, CASE WHEN type = 'ORG' AND source < 'd' THEN 'PERSON' ELSE type END AS type FROM r)
 SELECT source, type FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = c.source AND r.type = c.type AND r.type = 'USER' AND r.source >= 'p')""",
@@ -321,9 +357,10 @@ SELECT source, type FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.source = c.
     "present_types_and_regions": pipeline(_FORMS2)
     + " SELECT DISTINCT 'type' AS what, type AS value FROM named UNION ALL SELECT DISTINCT 'region', region FROM named WHERE region IS NOT NULL",
     "review_filter": pipeline(_FORMS2) + f" SELECT doc_id, {_ENTITY} AS entity_id, source FROM named WHERE type = 'DOC_ID' AND region = 'EU'",
-    "total_detections": pipeline(DOCS) + " SELECT doc_id, count(*) AS detections FROM named GROUP BY doc_id",
+    "total_detections": pipeline(DOCS)
+    + " SELECT d.doc_id, count(named.doc_id) AS detections FROM docs d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id",
     "switch_local": pipeline(DOCS) + f" SELECT doc_id, {_ENTITY} AS entity_id FROM named WHERE type IN ('EMAIL', 'IP')",
-    "switch_everywhere": pipeline(f"SELECT doc_id, text FROM ({FORMS}) WHERE kind = 'ids'")
+    "switch_everywhere": pipeline(_FORMS2)
     + f""", targets AS (SELECT doc_id, source, NOT (type = 'DOC_ID' AND doc_id % 4 = 3) AS switch_off FROM named WHERE s = 9),
 state AS (SELECT n.doc_id, {_ENTITY} AS entity_id, n.type = 'DOC_ID' AND n.doc_id % 4 = 3 AS off, g.switch_off
  FROM named n LEFT JOIN targets g ON g.doc_id = n.doc_id AND g.source = n.source)
@@ -336,7 +373,9 @@ SELECT doc_id, entity_id FROM state WHERE coalesce(switch_off, off)""",
     "export_pairs": pipeline(DOCS) + f", {_PAIRS}" + """ SELECT doc_id, '{"schemaVersion":"2.0","generatedAt":"2024-01-01T00:00:00.000Z","total":' || count(*) || ',"rules":[' ||
  string_agg('{"entityType":"' || entity_type || '","origin":"system","source":' || CAST(to_json(source) AS STRING) || ',"replacement":"' || replacement || '"'
  || CASE WHEN region IS NULL THEN '' ELSE ',"region":"' || region || '"' END || ',"ruleId":"' || rule_id || '"}', ',' ORDER BY entity_type, source, replacement, region NULLS FIRST, rule_id) || ']}' AS rules_json
-FROM pairs GROUP BY doc_id""",
+FROM pairs GROUP BY doc_id
+UNION ALL SELECT doc_id, '{"schemaVersion":"2.0","generatedAt":"2024-01-01T00:00:00.000Z","total":0,"rules":[]}' FROM docs
+WHERE doc_id NOT IN (SELECT doc_id FROM pairs)""",
     "import_pairs": pipeline(DOCS) + f", {_PAIRS}" + """ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, source, replacement, region NULLS FIRST, rule_id) - 1 AS ord,
  entity_type, origin, source, replacement, region, rule_id FROM pairs""",
     "apply_list_forward": f"""WITH n AS ({NOTES}) SELECT n.doc_id, 'order ' || n.doc_id || ' of ' || coalesce('<C' || a.c_custkey || '>', 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0'))
@@ -344,6 +383,21 @@ FROM pairs GROUP BY doc_id""",
  CAST((a.c_custkey IS NOT NULL)::INT + (b.c_custkey IS NOT NULL)::INT AS BIGINT) AS applied,
  (SELECT count(*) FROM customer) - (a.c_custkey IS NOT NULL)::INT - (b.c_custkey IS NOT NULL AND coalesce(a.c_custkey, -1) <> b.c_custkey)::INT AS skipped
 FROM n LEFT JOIN customer a ON a.c_custkey = n.o_custkey LEFT JOIN customer b ON b.c_custkey = (n.o_custkey * 7) % 100""",
+    "imported_mapping": f"""{_IMPORTED} SELECT doc_id, 'IMPORTED_' || i AS entity_id, 'USER' AS type, CAST(NULL AS VARCHAR) AS region, name AS source,
+ '<C' || k || '>' AS replacement, 'imported.' || CASE WHEN k % 2 = 0 THEN 'user' ELSE 'system' END AS rule_id, CAST(1 AS DOUBLE) AS confidence,
+ s AS start, s + 18 AS "end", true AS enabled FROM numbered""",
+    "imported_switches": f"""{_IMPORTED} SELECT n.doc_id, 'order ' || n.doc_id || ' of ' || CASE WHEN x.i > 1 THEN '<C' || x.k || '>' ELSE 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') END
+ || ', copy to ' || CASE WHEN y.i > 1 THEN '<C' || y.k || '>' ELSE 'Customer#' || lpad(CAST((o_custkey * 7) % 100 AS STRING), 9, '0') END || '; not Customer#' || o_custkey AS masked_text
+FROM n LEFT JOIN numbered x ON x.doc_id = n.doc_id AND x.slot = 1 LEFT JOIN numbered y ON y.doc_id = n.doc_id AND y.slot = 2""",
+    "pairs_order": pipeline(_FORMS2) + f", {_PAIRS}" + """ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, source, replacement, region NULLS FIRST, rule_id) - 1 AS ord,
+ entity_type, origin, source, replacement, region, rule_id FROM pairs""",
+    "import_refusals": "SELECT o_orderkey, o_orderkey % 9 > 1 AS refused FROM orders",
+    "extended_profile_forms": f"""SELECT doc_id, regexp_extract(text, '45 11 [0-9]+') AS source FROM ({FORMS}) WHERE kind = 'ru'""",
+    "registered_rule": f"""WITH n AS ({NOTES})
+SELECT doc_id, length('order ' || doc_id || ' of ') AS start, 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS source, 'custom.quoted' AS rule_id FROM n
+UNION ALL SELECT doc_id, length('order ' || doc_id || ' of ') + 28, 'Customer#' || lpad(CAST((o_custkey * 7) % 100 AS STRING), 9, '0'), 'custom.quoted' FROM n""",
+    "blank_texts": "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || ' ' END AS masked_text, CAST(0 AS BIGINT) AS n FROM orders",
+    "span_ids": f"""SELECT doc_id, CAST(ord AS BIGINT) AS ord, CASE WHEN ord % 2 = 0 THEN 'GIVEN_' || ord ELSE 'USER_' || s || '_' || e END AS entity_id FROM ({_RAW_SPANS})""",
     "apply_list_summary": f"""SELECT count(*) AS documents, CAST(sum((length(text) - length(replace(text, 'Customer#', ''))) // 9) AS BIGINT) AS applied,
  count(*) FILTER (WHERE contains(text, 'Customer#')) AS documents_changed FROM ({NOTES})""",
     "apply_scoped_reverse": pipeline(_FORMS2)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.catalogue import ALL_RULES, active_rules
+from cloakwork.catalogue import ALL_RULES, Rule, register_rule
 from cloakwork.functions import replacements as R
 from cloakwork.functions import text as X
 from cloakwork.functions import validators as V
@@ -21,7 +21,7 @@ from cloakwork.plans import corpus, profile, roundtrip
 from cloakwork.plans.masking import detect, explode_spans, find_candidates, mapping, mask
 from cloakwork.sources import rule_pairs
 from cloakwork.streaming import masking_stream
-from workload.inputs import documents, forms, notes, table
+from workload.inputs import documents, forms, mail_notes, notes, table
 
 ID = ["doc_id"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,14 +184,26 @@ def _rules(spark):
     return spark.createDataFrame(rows, "source string, type string, ord int")
 
 
-def _merged(spark, sf):
-    return U.with_user_rules(mask(documents(spark, sf)), _rules(spark), ID)
+def _merged(spark, sf, strategy="constant"):
+    return U.with_user_rules(mask(documents(spark, sf)), _rules(spark), ID, strategy=strategy)
 
 
 def user_rules_merge(spark, sf):
     return _merged(spark, sf).select("doc_id", "masked_text")
 
 
+def user_rules_merge_joined(spark, sf):
+    return _merged(spark, sf, "join").select("doc_id", "masked_text")
+
+
+def _without_some_ids(strategy: str) -> Query:
+    def run(spark, sf):
+        docs = documents(spark, sf).withColumn("doc_id", F.expr("CASE WHEN doc_id % 5 <> 0 THEN doc_id - doc_id % 2 END"))
+        return U.with_user_rules(mask(docs), _rules(spark), ID, strategy=strategy).select("doc_id", "masked_text")
+
+    return run
+
+
 def user_rules_spans(spark, sf):
     spans = explode_spans(_merged(spark, sf), *ID)
     return _long(spans.select("doc_id", "entity_id", "type", "start", "end", "source", "rule_id", "replacement"))
@@ -199,8 +211,7 @@ def user_rules_spans(spark, sf):
 
 def user_rules_long_list(spark, sf):
     customers = table(spark, sf, "customer").selectExpr("c_name AS source", "'USER' AS type")
-    masked = mask(notes(spark, sf), rules=[r for r in active_rules() if r.type == "EMAIL"])
-    return U.with_user_rules(masked, customers, ID).select("doc_id", "masked_text")
+    return U.with_user_rules(mask(mail_notes(spark, sf)), customers, ID).select("doc_id", "masked_text")
 
 
 def rule_table_edits(spark, sf):
@@ -245,7 +256,7 @@ def review_filter(spark, sf):
 
 
 def total_detections(spark, sf):
-    return W.total_detections(_doc_spans(spark, sf), ID)
+    return W.detections_per_document(mask(documents(spark, sf)), ID)
 
 
 def switch_local(spark, sf):
@@ -256,7 +267,7 @@ def switch_local(spark, sf):
 
 
 def switch_everywhere(spark, sf):
-    spans = explode_spans(mask(forms(spark, sf).where("kind = 'ids'").select("doc_id", "text")), *ID)
+    spans = explode_spans(mask(forms(spark, sf).select("doc_id", "text")), *ID)
     ask = spans.where("start = 9").select("doc_id", "entity_id")
     off = spans.where("type = 'DOC_ID' AND doc_id % 4 = 3").select("doc_id", "entity_id")
     return W.toggle_everywhere(spans, off, ask, ID)
@@ -276,8 +287,7 @@ _AT = "2024-01-01T00:00:00.000Z"
 
 
 def export_pairs(spark, sf):
-    out = rule_pairs.export_envelopes(mask(documents(spark, sf)), ID, _AT)
-    return out.where("get_json_object(rules_json, '$.total') <> '0'")
+    return rule_pairs.export_envelopes(mask(documents(spark, sf)), ID, _AT)
 
 
 def import_pairs(spark, sf):
@@ -298,12 +308,80 @@ def apply_list_forward(spark, sf):
     return out.select("doc_id", "masked_text", "applied", "skipped")
 
 
+def _imported(spark, sf):
+    return corpus.apply_rule_list(notes(spark, sf), _list_pairs(spark, sf), ID)
+
+
+def imported_mapping(spark, sf):
+    m = mapping(_imported(spark, sf), *ID)
+    return m.select(
+        "doc_id", "entity_id", "type", "region", "source", "replacement", "rule_id", "confidence",
+        F.col("position.start").cast("bigint").alias("start"), F.col("position.end").cast("bigint").alias("end"), "enabled",
+    )
+
+
+def imported_switches(spark, sf):
+    applied = _imported(spark, sf)
+    off = explode_spans(applied, *ID).where("entity_id = 'IMPORTED_1'").select("doc_id", "entity_id")
+    return W.apply_switches(applied, off, ID, "text").select("doc_id", "masked_text")
+
+
+def pairs_order(spark, sf):
+    pairs = P.collect_pairs(explode_spans(mask(forms(spark, sf).select("doc_id", "text")), *ID), ID)
+    return pairs.select("doc_id", "ord", *P.PAIR_FIELDS)
+
+
+# Envelopes made of orders, one kind of fault for each remainder; the first two are sound.
+_FAULTS = (
+    """'{"schemaVersion":"2.0","rules":[{"entityType":"EMAIL","origin":"system","source":"a","replacement":"b"}]}'""",
+    """'{"schemaVersion":"2.0","rules":[]}'""",
+    """'{"schemaVersion":"1.0","rules":[]}'""",
+    """'{"schemaVersion":"2.0","rules":{}}'""",
+    """concat('{"schemaVersion":"2.0","rules":[{"entityType":"EMAIL","origin":"system","source":', o_custkey, ',"replacement":"b"}]}')""",
+    """'{"schemaVersion":"2.0","rules":[{"entityType":"EMAIL","origin":"system","source":" ","replacement":"b"}]}'""",
+    """'{"schemaVersion":"2.0","rules":[{"entityType":"EMAIL","origin":"other","source":"a","replacement":"b"}]}'""",
+    """concat('{"schemaVersion":"2.0","rules":[{"entityType":"KIND', o_custkey, '","origin":"user","source":"a","replacement":"b"}]}')""",
+    """concat('no json ', o_custkey)""",
+)
+
+
+def import_refusals(spark, sf):
+    whens = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(_FAULTS))
+    files = table(spark, sf, "orders").selectExpr("o_orderkey", f"CASE o_orderkey % {len(_FAULTS)} {whens} END AS j")
+    return rule_pairs.parse_envelopes(files, "j").select("o_orderkey", (~F.col("valid")).alias("refused"))
+
+
+def extended_profile_forms(spark, sf):
+    found = detect(forms(spark, sf).select("doc_id", "text"), profile="extended")
+    return explode_spans(found, *ID).where("region = 'RU' AND rule_id LIKE 'ru.passport%'").select("doc_id", "source")
+
+
+def registered_rule(spark, sf):
+    """A rule of the caller with both quote marks, a validator and a context."""
+    rule = Rule("custom.quoted", "DOC_ID", "[\"']?Customer#[0-9]+[\"']?", 99, "format",
+                validator=lambda v: F.length(v) >= 18, context=lambda w: F.contains(w, F.lit("order")))
+    found = detect(notes(spark, sf), rules=register_rule([], rule))
+    return explode_spans(found, *ID).select("doc_id", F.col("start").cast("bigint").alias("start"), "source", "rule_id")
+
+
+def blank_texts(spark, sf):
+    """Texts without any character or any word pass through."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey AS doc_id", "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' \\n ' END AS text")
+    return mask(rows).select("doc_id", "masked_text", F.coalesce(F.array_size("spans"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def span_ids(spark, sf):
+    spans = _raw_spans(spark, sf).selectExpr("*", "CASE WHEN ord % 2 = 0 THEN concat('GIVEN_', ord) END AS given")
+    made = W.entity_id(F.lit("USER"), F.col("start"), F.col("end"), F.col("given"))
+    return spans.select("doc_id", F.col("ord").cast("bigint").alias("ord"), made.alias("entity_id"))
+
+
 def apply_list_summary(spark, sf):
     pairs = spark.createDataFrame(
         [(0, "USER", "user", "Customer#00000000", "<few>", None, None), (1, "USER", "system", "Customer#", "<any>", None, None)],
         "ord int, entity_type string, origin string, source string, replacement string, region string, rule_id string",
     )
-    return corpus.rule_list_summary(corpus.apply_rule_list(notes(spark, sf), pairs, ID))
+    return corpus.rule_list_summary(corpus.apply_rule_list(notes(spark, sf), pairs, ID, strategy="constant"))
 
 
 def apply_scoped_reverse(spark, sf):
@@ -337,22 +415,22 @@ def documents_with_pii(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A shared folder: the one the cluster names, or a temporary one in local mode."""
+    """The shared folder that the session names."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="cloakwork-")
+    return named.rstrip("/")
 
 
 def corpus_pseudonyms(spark, sf):
-    found = detect(documents(spark, sf))
+    path = f"{_scratch(spark)}/detected-{uuid.uuid4().hex}"  # detection runs once; both passes read what it found
+    detect(documents(spark, sf)).select("doc_id", "clean_text", "spans").write.parquet(path)
+    found = spark.read.parquet(path)
     return corpus.corpus_pseudonyms(found, "doc_id", checkpoint_dir=_scratch(spark)).select("doc_id", "masked_text")
 
 
 def stream_mask(spark, sf):
-    out = f"{_scratch(spark)}/stream-{spark.sql('SELECT uuid()').first()[0]}"
+    out = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
     masking_stream.write_masked_stream(masking_stream.mask_stream(stream), f"{out}/data", f"{out}/log").awaitTermination()
@@ -369,14 +447,17 @@ QUERIES: dict[str, Query] = {
     "mask_documents_synthetic": _masked(documents, "synthetic"),
     "mask_forms_tag": _masked(lambda s, d: forms(s, d).select("doc_id", "text"), "tag"),
     "mask_forms_synthetic": _masked(lambda s, d: forms(s, d).select("doc_id", "text"), "synthetic"),
+    "user_rules_null_ids_joined": _without_some_ids("join"),
+    "user_rules_null_ids_constant": _without_some_ids("constant"),
     **{
         f.__name__: f
         for f in (
             normalise_text, detect_documents, detect_forms, detect_forms_ru_only, mask_conversations, mask_pages, mapping_table,
             validators, replacement_templates, literal_occurrences, resolve_overlaps_table, resolve_overlaps_array, gap_fill,
-            user_rules_merge, user_rules_spans, user_rules_long_list, rule_table_edits, review_groups, frequencies,
+            user_rules_merge, user_rules_merge_joined, user_rules_spans, user_rules_long_list, rule_table_edits, review_groups, frequencies,
             present_types_and_regions, review_filter, total_detections, switch_local, switch_everywhere, masked_with_switches,
-            collect_pairs, export_pairs, import_pairs, apply_list_forward, apply_list_summary, apply_scoped_reverse,
+            collect_pairs, pairs_order, export_pairs, import_pairs, import_refusals, apply_list_forward, apply_list_summary,
+            imported_mapping, imported_switches, extended_profile_forms, registered_rule, blank_texts, span_ids, apply_scoped_reverse,
             restore_documents, roundtrip_audit, pii_profile, pii_rollup, documents_with_pii, corpus_pseudonyms, stream_mask,
         )
     },
