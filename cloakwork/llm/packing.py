@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences by cutting-stock column generation.
 
 1. Tasks tokenise whole documents and cut them into pieces of at most the sequence length.
-2. Piece lengths are counted into a histogram of ``length / GRID`` classes (256 at most); only that
+2. Piece lengths are counted into a histogram of ``length / GRID`` classes (512 at most); only that
    histogram reaches the driver.
 3. A linear program over patterns (how many pieces of each class share a sequence) is solved by
    column generation: the simplex method holds the patterns in use, an unbounded knapsack by dynamic
@@ -29,7 +29,7 @@ from cloakwork.llm.common import cut, table, text_or_empty
 from cloakwork.llm.tokens import encoder
 
 SEQUENCE = 2048
-GRID = 8
+GRID = 4
 BUCKETS = 1024
 TOLERANCE = 1e-3  # of the number of sequences
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -70,11 +70,28 @@ def _best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]
     return float(best[capacity]), pattern
 
 
+def _greedy(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """First fit decreasing by patterns: each fills up with the largest classes left and is used as often as the rest allows."""
+    left, out = demand.astype(np.int64).copy(), []
+    while left.any():
+        room, pattern = len(left), np.zeros(len(left), np.int64)
+        for k in np.flatnonzero(left)[::-1]:
+            if (take := min(room // (k + 1), left[k])) > 0:
+                pattern[k] = take
+                room -= take * (k + 1)
+        hold = pattern > 0
+        times = int((left[hold] // pattern[hold]).min())
+        out.append((pattern, times))
+        left -= times * pattern
+    return out
+
+
 def solve_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> list[tuple[np.ndarray, float]]:
     """Patterns over the classes with demand, and how often the linear program uses each.
 
     Minimises the number of sequences subject to meeting ``demand`` exactly.  ``demand[k - 1]`` pieces
-    fill ``k`` units of ``len(demand)``.  Starts from one pattern per class, repeated as it fits.
+    fill ``k`` units of ``len(demand)``.  Starts from one pattern per class, repeated as it fits, takes in
+    the greedy patterns that gain, and then the ones that the knapsack finds.
     """
     capacity = len(demand)
     used = np.flatnonzero(demand)
@@ -83,28 +100,37 @@ def solve_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> list[tup
     fit = capacity // (used + 1)
     basis = np.diag(fit).astype(float)
     inverse, x = np.diag(1 / fit), demand[used] / fit
-    for _ in range(50 * len(used) + 100):
-        prices = np.zeros(capacity)
-        duals = inverse.sum(axis=0)
-        prices[used] = duals
-        value, pattern = _best_pattern(prices, capacity)
-        # No solution uses fewer than x.sum() / value sequences.
-        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= tolerance * max(x.sum(), 1):
-            break
-        column = pattern[used].astype(float)
+
+    def enter(column: np.ndarray) -> bool:
+        """Take a pattern into the basis; another leaves."""
+        nonlocal x
         d = inverse @ column
-        grows = d > 1e-9
-        if not grows.any():
-            break
-        ratio = np.where(grows, x / np.where(grows, d, 1), np.inf)
+        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            return False
         basis[:, out] = column
         step = ratio[out]
         x = np.maximum(x - step * d, 0)
         x[out] = step
         row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
+        inverse[:] -= np.outer(d, row)
         inverse[out] = row
+        return True
+
+    for pattern, _ in _greedy(demand):
+        column = pattern[used].astype(float)
+        if inverse.sum(axis=0) @ column > 1 + 1e-9:
+            enter(column)
+    for _ in range(50 * len(used) + 100):
+        prices = np.zeros(capacity)
+        prices[used] = inverse.sum(axis=0)
+        value, pattern = _best_pattern(prices, capacity)
+        # No solution uses fewer than x.sum() / value sequences.
+        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= tolerance * max(x.sum(), 1):
+            break
+        if not enter(pattern[used].astype(float)):
+            break
     patterns = []
     for j in range(len(used)):
         if x[j] > 0:
@@ -124,17 +150,7 @@ def plan_sequences(demand: np.ndarray, tolerance: float = TOLERANCE) -> list[tup
         if whole > 0:
             plan.append((pattern, whole))
             left -= whole * pattern
-    while left.any():  # each round fills one pattern greedily and uses it as often as the rest allows
-        room, pattern = len(left), np.zeros(len(left), np.int64)
-        for k in np.flatnonzero(left)[::-1]:
-            if (take := min(room // (k + 1), left[k])) > 0:
-                pattern[k] = take
-                room -= take * (k + 1)
-        hold = pattern > 0
-        whole = int((left[hold] // pattern[hold]).min())
-        plan.append((pattern, whole))
-        left -= whole * pattern
-    return plan
+    return plan + _greedy(left)
 
 
 def _slots(plan: Iterable[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, ...]]:
