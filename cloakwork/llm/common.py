@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import string
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_cloakwork_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = f"{tempfile.mkdtemp(prefix='cloakwork-')}/cloakwork"
+        sc.addPyFile(shutil.make_archive(archive, "zip", root, "cloakwork"))
+        sc._cloakwork_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  One of our own is set only where none is set and Spark runs in one process."""
     sc = spark.sparkContext

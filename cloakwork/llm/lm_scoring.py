@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import remainder, table, text_or_empty, written
+from cloakwork.llm.common import remainder, ship, table, text_or_empty, written
 
 ORDER = 2
 MU, DELTA = 300.0, 0.3
@@ -217,6 +217,7 @@ def traverse(arcs: list[list[float]], fails: list[list[float]], known: list[bool
 
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row; ``training`` marks the rows to learn from."""
+    ship(docs.sparkSession)
     packed = written(blocks(docs, training, id_col, text_col), "lm-blocks")
     size = packed.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(16, -(-size // SHARD_BYTES))

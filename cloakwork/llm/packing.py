@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import cut, table, text_or_empty
+from cloakwork.llm.common import cut, ship, table, text_or_empty
 from cloakwork.llm.tokens import encoder
 
 SEQUENCE = 2048
@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint"), text_or_empty(text_col)).mapInArrow(run, PIECES)
 
 

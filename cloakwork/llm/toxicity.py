@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import remainder, table, text_or_empty
+from cloakwork.llm.common import remainder, ship, table, text_or_empty
 
 BUCKETS = 1 << 18
 RANK = 8
@@ -155,6 +155,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label_col: str = "toxic", id_col: str = "doc_id",
           text_col: str = "text", per_class: int = PER_CLASS) -> Machine:
     """Fit on at most ``per_class`` documents of each label among those that ``learnable`` allows."""
+    ship(docs.sparkSession)
     known = (
         labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .groupBy(F.col(id_col).alias("id"))
@@ -186,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label_col: str
 def scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` per row."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Terms()
@@ -203,6 +205,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", thresh
     """The rows of ``docs``, with all their columns, that score below the threshold."""
     names, schema = docs.columns, docs.schema
     at = names.index(text_col)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Terms()
