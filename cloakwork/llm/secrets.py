@@ -144,7 +144,11 @@ def digest(spans: Column) -> Column:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets."""
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind, *_ in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind, *_ in BASE]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
