@@ -30,10 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import cut, table
+from cloakwork.llm.common import cut, ship, table
 
 K = 20
-LEAF = 48
+LEAF = 512
 BLOCK_ROWS = 4096
 EXACT = 2.0**53
 
@@ -69,12 +69,12 @@ def cover_tree(points: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Node:
         return node
     nearest, owner, reach = distance, np.zeros(len(rows), np.int64), radius / 2
     centres = 1
-    while (far := int(nearest.argmax())) is not None and nearest[far] > reach and centres < len(rows):
+    while nearest[far := int(nearest.argmax())] > reach:
         away = np.sqrt(((points[rows] - points[rows[far]]) ** 2).sum(axis=1))
         closer = away < nearest
         nearest, owner = np.where(closer, away, nearest), np.where(closer, centres, owner)
         centres += 1
-        if centres > 64:  # in many dimensions points are far from each other: go on with the radius reached
+        if centres >= max(8, 2 * len(rows) // leaf):  # in many dimensions points are far from each other: go on with the radius reached
             break
     for c in range(centres):
         below = rows[owner == c]
@@ -103,13 +103,13 @@ class _Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def dual_tree(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int = K) -> _Best:
+def dual_tree(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int = K, leaf: int = LEAF) -> _Best:
     """Exact k best points per query by inner product, ties to the smaller id, without the query's own id."""
     best = _Best(len(queries), k)
     if not len(queries) or not len(points):
         return best
-    q_tree = cover_tree(queries, np.arange(len(queries)))
-    x_tree = cover_tree(points, np.arange(len(points)))
+    q_tree = cover_tree(queries, np.arange(len(queries)), leaf)
+    x_tree = cover_tree(points, np.arange(len(points)), leaf)
 
     def bound(q: Node, x: Node) -> float:
         # A hair more than the bound, for what rounding may take from it.
@@ -121,10 +121,14 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, id
             return
         if not q.children and not x.children:
             score = queries[q.rows] @ points[x.rows].T
-            own = np.broadcast_to(ids[x.rows], score.shape).copy()
-            score[query_ids[q.rows][:, None] == own] = -np.inf
-            own[score == -np.inf] = np.iinfo(np.int64).max
-            best.offer(q.rows, score, own)
+            score[query_ids[q.rows][:, None] == ids[x.rows]] = -np.inf
+            # Only what may enter a list goes on; equal scores may, by a smaller id.
+            hope = (score >= best.score[q.rows, -1:]) & (score > -np.inf)
+            some, which = hope.any(axis=1), hope.any(axis=0)
+            if some.any():
+                part = np.where(hope, score, -np.inf)[some][:, which]
+                own = np.where(part > -np.inf, ids[x.rows][which], np.iinfo(np.int64).max)
+                best.offer(q.rows[some], part, own)
             return
         if x.children and (not q.children or x.radius >= q.radius):
             for _, child in sorted(((bound(q, c), n) for n, c in enumerate(x.children)), reverse=True):
@@ -149,6 +153,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = BL
 
     ``is_query`` is a condition on ``id``.
     """
+    ship(vectors.sparkSession)
     vectors = cut(vectors.withColumn("dim", F.size("vec")).withColumn("vec", F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), ",")))
     # Equal vectors: the k + 1 smallest ids, found without bringing all copies together.
     by_vector = Window.partitionBy("vec", "salt").orderBy("id", "copy")
@@ -179,7 +184,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = BL
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         dim = int(pdf["dim"].iloc[0])
-        found = []
         sides = []
         for side in (0, 1):
             part = pdf[pdf["side"] == side]

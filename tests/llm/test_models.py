@@ -227,7 +227,7 @@ def near_fixture():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("small", [1024, 4])
+@pytest.mark.parametrize("small", [1024, 24])
 def test_near_components(spark, monkeypatch, small):
     texts = near_fixture()
     monkeypatch.setattr(near_dedup, "SMALL", small)
@@ -320,6 +320,25 @@ def test_top_k(spark, dim):
     assert topk_search.top_k(topk_search.usable(df.limit(0)), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 16])
+def test_dual_tree_prunes_and_is_exact(dim):
+    rng = np.random.default_rng(dim)
+    points = rng.integers(-40, 40, (3000, dim)).astype(float)
+    queries = points[::50]
+    best = topk_search.dual_tree(queries, np.arange(0, 3000, 50), points, np.arange(3000), 5, leaf=16)
+    for n, q in enumerate(queries):
+        order = sorted((-(points[i] @ q), i) for i in range(3000) if i != 50 * n)[:5]
+        assert [(-s, i) for s, i in order] == list(zip(best.score[n], best.id[n], strict=True))
+
+    def spans(node):
+        assert np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1)).max() <= node.radius + 1e-9
+        assert not node.children or sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+        for c in node.children:
+            spans(c)
+
+    spans(topk_search.cover_tree(points, np.arange(3000), 16))
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-2.0]), (20, [3.0])], "vec_id bigint, embedding array<float>")
     got = topk_search.top_k(topk_search.usable(df), F.col("id") % 20 == 0).collect()
