@@ -392,7 +392,7 @@ FROM n LEFT JOIN numbered x ON x.doc_id = n.doc_id AND x.slot = 1 LEFT JOIN numb
     "pairs_order": pipeline(_FORMS2) + f", {_PAIRS}" + """ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, source, replacement, region NULLS FIRST, rule_id) - 1 AS ord,
  entity_type, origin, source, replacement, region, rule_id FROM pairs""",
     "import_refusals": "SELECT o_orderkey, o_orderkey % 9 > 1 AS refused FROM orders",
-    "extended_profile_forms": f"""SELECT doc_id, regexp_extract(text, '45 11 [0-9]+') AS source FROM ({FORMS}) WHERE kind = 'ru'""",
+    "extended_profile_forms": f"""SELECT doc_id, unnest([regexp_extract(text, '45 11 [0-9]+'), regexp_extract(text, 'ИНН ([0-9]+)', 1)]) AS source FROM ({FORMS}) WHERE kind = 'ru'""",
     "registered_rule": f"""WITH n AS ({NOTES})
 SELECT doc_id, length('order ' || doc_id || ' of ') AS start, 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS source, 'custom.quoted' AS rule_id FROM n
 UNION ALL SELECT doc_id, length('order ' || doc_id || ' of ') + 28, 'Customer#' || lpad(CAST((o_custkey * 7) % 100 AS STRING), 9, '0'), 'custom.quoted' FROM n""",

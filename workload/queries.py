@@ -359,7 +359,7 @@ def extended_profile_forms(spark, sf):
 def registered_rule(spark, sf):
     """A rule of the caller with both quote marks, a validator and a context."""
     rule = Rule("custom.quoted", "DOC_ID", "[\"']?Customer#[0-9]+[\"']?", 99, "format",
-                validator=lambda v: F.length(v) >= 18, context=lambda w: F.contains(w, F.lit("order")))
+                validator=lambda v: F.length(v) >= 18, context=lambda w: F.contains(w, F.lit("Customer#")))
     found = detect(notes(spark, sf), rules=register_rule([], rule))
     return explode_spans(found, *ID).select("doc_id", F.col("start").cast("bigint").alias("start"), "source", "rule_id")
 
