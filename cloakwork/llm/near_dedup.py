@@ -8,11 +8,13 @@ permutation after shifting the ring by k.  So two permutations make all ``COORDI
 Equal sets are one class from the start.  Buckets are worked through without writing down all pairs of
 any bucket:
 
-1. every member of a bucket is compared with the bucket's smallest member only; links join components;
-2. buckets that still hold several components are searched for pairs between components, by signature:
-   in one small task where the bucket has at most ``SMALL`` rows, else after it is split further by each of
-   the other bands (a pair at the threshold shares about ten), and so on.  What is still large
-   after ``DEPTH`` bands agrees on so many coordinates that comparing with the smallest member is enough.
+1. every member of a bucket is compared with one member only, at first the smallest, then the one with the
+   most links so far, where their components differ; links join components;
+2. buckets that still hold several components are cut by set size, as sets of a pair differ by a
+   quarter at most, and searched for pairs between components, by signature: in one small task
+   where at most ``SMALL`` rows are left, else after they are split further by each of the other bands (a
+   pair at the threshold shares about ten), and so on.  What is still large after ``DEPTH`` bands
+   agrees on so many coordinates that comparing with the smallest member is enough.
 
 Every link is confirmed on the full sets.  Components come from alternating large and small stars.
 
@@ -25,6 +27,7 @@ Only the id and text columns are read, so clashing names of others do not matter
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakwork.llm.common import cut, fresh, table, text_or_empty, written
+from cloakwork.llm.common import cut, fresh, ship, table, text_or_empty, written
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 THRESHOLD = 75  # percent
-GUESS = 0.55  # least share of equal coordinates: more than five deviations below the threshold
-SMALL = 200
+GUESS = 0.6  # least share of equal coordinates: four deviations below the threshold
+STARS = 2  # rounds of the first kind
+SMALL = 2048
 DEPTH = 4
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,7 +62,7 @@ class _Words(dict):
     """Word to 64-bit hash; bounded, as it only saves time."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -203,39 +207,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs_inside(rows: DataFrame) -> DataFrame:
-    """``key, node, component, sig``, with few rows a key, to pairs between components with like signatures."""
+def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
+    """Rows with few of a ``key`` to pairs between components with like signatures.
+
+    ``first_only``: a pair is reported in the first of its buckets alone, that is in the first band where
+    the signatures agree (``band``) and in the larger of the two size classes (``klass`` is the
+    row's own, ``label`` the bucket's).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, component = pdf["node"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+        node, component, klass = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass"))
+        band, label = int(pdf["band"].iloc[0]), int(pdf["label"].iloc[0])
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        a, b = [], []
-        for i in range(len(pdf) - 1):
-            rest = np.flatnonzero(component[i + 1 :] != component[i]) + i + 1
-            like = rest[(sig[rest] == sig[i]).mean(axis=1) >= GUESS]
-            a.append(np.minimum(node[i], node[like]))
-            b.append(np.maximum(node[i], node[like]))
+        a, b, step = [], [], max(1, (1 << 23) // sig.size)
+        for i in range(0, len(pdf), step):
+            like = np.count_nonzero(sig[i : i + step, None] == sig[None, i:], axis=2) >= GUESS * sig.shape[1]
+            like &= component[i : i + step, None] != component[None, i:]
+            x, y = np.nonzero(np.triu(like, 1))
+            x, y = x + i, y + i
+            if first_only:
+                x, y = (z[np.maximum(klass[x], klass[y]) == label] for z in (x, y))
+                agree = (sig[x] == sig[y]).reshape(len(x), sig.shape[1] // ROWS, ROWS).all(axis=2)
+                x, y = (z[agree.argmax(axis=1) == band] for z in (x, y)) if len(x) else (x, y)
+            a.append(np.minimum(node[x], node[y]))
+            b.append(np.maximum(node[x], node[y]))
         return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
 
     return rows.groupBy("key").applyInPandas(run, "a bigint, b bigint")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the number of the bucket's rows."""
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(stats.where("low < high").select("key", "rows"), "key")
+
+
+def _star(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Pairs of each bucket's centre with the members of other components; ``rows``: ``key, node, component``."""
+    if links is None:
+        rows = rows.withColumn("degree", F.lit(0))
+    else:
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        rows = rows.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    best = F.min(F.struct((-F.col("degree")).alias("d"), "node", "component"))
+    centre = rows.groupBy("key").agg(best.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("of"))
+    pairs = rows.join(centre, "key").where(F.col("component") != F.col("of"))
+    return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
 def _between(rows: DataFrame, nodes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Candidate pairs between components inside the same bucket; ``rows``: ``key, node, component``."""
+    """Candidate pairs between components inside the same bucket; ``rows``: ``key, band, node, component`` of mixed buckets."""
+    # Sets of a linked pair lie in the same class of sizes or in neighbours; a class is a hair wider than the threshold asks for.
+    klass = F.floor(F.log("n") / (1.001 * math.log(100 / THRESHOLD)))
+    sized = rows.join(nodes.select("node", klass.alias("klass")), "node").withColumn("label", F.explode(F.array(F.col("klass"), F.col("klass") + 1)))
+    rows = sized.withColumn("key", F.xxhash64("key", "label"))
+    columns = ["key", "node", "component", "band", "klass", "label"]
     found = None
     for level in range(depth):
-        stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
-        stats = stats.where("low < high").select("key", "rows")
-        mixed = cut(rows.join(stats, "key"))
-        tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig"), "node").select("key", "node", "component", "sig")
-        pairs = _pairs_inside(tight)
+        mixed = cut(_mixed(rows.select(*columns)))
+        tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig"), "node").select(*columns, "sig")
+        pairs = _pairs_inside(tight, level == 0)
         found = pairs if found is None else found.unionByName(pairs)
-        hot = mixed.where(F.col("rows") > small).select("key", "node", "component")
+        hot = mixed.where(F.col("rows") > small).select(*columns)
         if hot.isEmpty():
             return found.distinct()
+        # A pair of a hot bucket shares another band as well, be that band's own bucket hot or not.
         split = hot.join(nodes.select("node", F.explode("bands").alias("other")), "node")
-        # A band that made the key already would give the same bucket again: it is harmless and stays within the star below.
-        rows = split.select(F.xxhash64("key", "other").alias("key"), "node", "component").distinct()
+        rows = split.withColumn("key", F.xxhash64("key", "other")).select(*columns).distinct()
     low = rows.groupBy("key").agg(F.min("node").alias("a"))
     star = rows.join(low, "key").where("node > a").select("a", F.col("node").alias("b"))
     return found.unionByName(star).distinct()
@@ -245,6 +283,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Profiles of all rows (``id, n, print``), and classes of equal sets with their component:
     ``print, id, component_id, first`` (``first`` marks the class that has the component's smallest id).
     """
+    ship(docs.sparkSession)
     rows = written(profiles(docs, id_col, text_col), "near-profiles")
     full = rows.where("n > 0")
 
@@ -257,18 +296,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut(full.groupBy("print").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     # One row per class, found by print and id together, so that many copies of a text are spread.
     named = classes.select(F.col("print").alias("p"), F.col("id").alias("i"), "node")
-    own = full.join(named, (F.col("print") == F.col("p")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "bands", "sig").dropDuplicates(["node"])
+    own = full.join(named, (F.col("print") == F.col("p")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "n", "bands", "sig").dropDuplicates(["node"])
     nodes = written(own, "near-nodes")
 
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    low = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = cut(keyed.join(low, "key").select("key", "node", "a"))
-    star = shared.where("node > a").select("a", F.col("node").alias("b")).distinct()
-    links = confirm(_alike(star, nodes))
-    joined = components(links)
-
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    shared = cut(keyed.join(several, "key").select("key", "band", "node"))
     label = F.coalesce("component", "node").alias("component")
-    rest = shared.select("key", "node").join(joined, "node", "left").select("key", "node", label)
+    links = joined = None
+    for _ in range(STARS):
+        rest = shared.withColumn("component", F.col("node")) if joined is None else _mixed(shared.join(joined, "node", "left").select("key", "band", "node", label))
+        more = confirm(_alike(_star(rest, links), nodes))
+        links = more if links is None else links.unionByName(more)
+        joined = components(links)
+    rest = cut(_mixed(shared.join(joined, "node", "left").select("key", "band", "node", label)).drop("rows"))
     more = confirm(_between(rest, nodes))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
