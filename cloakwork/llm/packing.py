@@ -128,7 +128,7 @@ def solve_patterns(demand: np.ndarray, tolerance: float = TOLERANCE) -> list[tup
         prices[used] = inverse.sum(axis=0)
         value, pattern = _best_pattern(prices, capacity)
         # No solution uses fewer than x.sum() / value sequences.
-        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= tolerance * max(x.sum(), 1):
+        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= max(tolerance * x.sum(), 0.5):
             break
         if not enter(pattern[used].astype(float)):
             break

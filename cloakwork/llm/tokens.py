@@ -19,7 +19,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-CACHE = 500_000  # parts kept per worker: the first that come, so the frequent ones
+CACHE = 200_000  # parts kept per worker: the first that come, so the frequent ones
 LONG_PART = 200  # characters; longer parts are encoded each time
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
