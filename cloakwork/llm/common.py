@@ -42,8 +42,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per context, so that they can import it wherever they run."""
+    """Send this package to the Python workers, once per context, so that they can import it wherever they run.
+
+    Also bounds the rows that a worker gets at once, in this session: texts may be long, and Spark's default of
+    10,000 of them can outgrow an executor.
+    """
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if not getattr(sc, "_cloakwork_shipped", False):
         root = Path(__file__).resolve().parents[2]
