@@ -14,7 +14,9 @@ out in turn).  Only the id and text columns are read, so clashing names of other
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakwork.llm.common import shared_dir, table, text_or_empty
@@ -102,27 +104,20 @@ def placed(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
 
     Positions come from counts per slot and ranks inside slots, so no task ranks a whole shard.
     """
-    before = F.sum("rows").over(_by("shard").rowsBetween(-(1 << 31), -1))
+    in_shard = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("rows").over(in_shard)
     starts = sizes.join(F.broadcast(slot_map), "virtual_slot").select(
         "virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("start")
     )
-    rank = F.row_number().over(_by("virtual_slot", "id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size"))
     ranked = rows.withColumn("rank", rank)
     return ranked.join(F.broadcast(starts), "virtual_slot").select(
         *rows.columns, "shard", (F.col("start") + F.col("rank") - 1).cast("bigint").alias("slot")
     )
 
 
-def _by(key: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*(order or ("virtual_slot",)))
-
-
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes; the map is stored as version 1 in the shared folder."""
-    import uuid
-
     rows = records(table(spark, sf_dir, "documents"))
     folder = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     sizes = slot_bytes(rows)
