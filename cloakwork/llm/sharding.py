@@ -7,7 +7,7 @@ bytes, so most records stay where they are.
 
 The map has one row per slot, whatever the data, so it is sorted in one row and broadcast.
 
-Defined cases: a null text has no bytes; a null id counts as empty text; repeated rows are placed each
+Defined cases: a null text has no bytes; a null id is hashed like any other; repeated rows are placed each
 by itself, in the same slot; an empty table gives an empty result (and a map that deals empty slots
 out in turn).  Only the id and text columns are read, so clashing names of others do not matter.
 """
