@@ -3,7 +3,8 @@
 A document's set holds its distinct five-word shingles, as 64-bit hashes.  One permutation scatters the
 set over a ring of 2**32 places; coordinate k of the signature is the smallest value of a second
 permutation after shifting the ring by k.  So two permutations make all ``COORDINATES``.  They are banded by
-``ROWS``; a pair at the threshold shares no band with probability 5e-6.
+``ROWS``; a pair at the threshold shares no band with probability 5e-6, and has fewer equal coordinates than
+``GUESS`` asks for with probability below 1e-6.
 
 Equal sets are one class from the start.  Buckets are worked through without writing down all pairs of
 any bucket:
@@ -44,7 +45,7 @@ SHINGLE = 5
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 THRESHOLD = 75  # percent
-GUESS = 0.6  # least share of equal coordinates: four deviations below the threshold
+GUESS = 0.55  # least share of equal coordinates: five deviations below the threshold
 STARS = 2  # rounds of the first kind
 SMALL = 2048
 DEPTH = 4
@@ -210,14 +211,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
     """Rows with few of a ``key`` to pairs between components with like signatures.
 
-    ``first_only``: a pair is reported in the first of its buckets alone, that is in the first band where
-    the signatures agree (``band``) and in the larger of the two size classes (``klass`` is the
-    row's own, ``label`` the bucket's).
+    ``first_only``: a pair is reported in the first of its buckets alone, that is in the first band whose keys
+    agree (``earlier`` holds the row's full keys of the bands before this one; the low bytes of the signature
+    may agree where the keys do not) and in the larger of the two size classes (``klass`` is the row's own,
+    ``label`` the bucket's).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, component, klass = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass"))
-        band, label = int(pdf["band"].iloc[0]), int(pdf["label"].iloc[0])
+        label = int(pdf["label"].iloc[0])
+        earlier = np.stack(pdf["earlier"].to_list()) if first_only else None
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         a, b, step = [], [], max(1, (1 << 23) // sig.size)
         for i in range(0, len(pdf), step):
@@ -227,8 +230,8 @@ def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
             x, y = x + i, y + i
             if first_only:
                 x, y = (z[np.maximum(klass[x], klass[y]) == label] for z in (x, y))
-                agree = (sig[x] == sig[y]).reshape(len(x), sig.shape[1] // ROWS, ROWS).all(axis=2)
-                x, y = (z[agree.argmax(axis=1) == band] for z in (x, y)) if len(x) else (x, y)
+                later = (earlier[x] == earlier[y]).any(axis=1)
+                x, y = x[~later], y[~later]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
@@ -265,7 +268,8 @@ def _between(rows: DataFrame, nodes: DataFrame, small: int = SMALL, depth: int =
     found = None
     for level in range(depth):
         mixed = cut(_mixed(rows.select(*columns)))
-        tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig"), "node").select(*columns, "sig")
+        before = F.slice("bands", 1, F.col("band") if level == 0 else F.lit(0)).alias("earlier")
+        tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig", "bands"), "node").select(*columns, "sig", before)
         pairs = _pairs_inside(tight, level == 0)
         found = pairs if found is None else found.unionByName(pairs)
         hot = mixed.where(F.col("rows") > small).select(*columns)

@@ -246,6 +246,25 @@ def test_near_on_documents(spark, sf):
     assert sorted(r["doc_id"] for r in kept.collect()) == [w[0] for w in want if w[3]]
 
 
+def near_rows(spark, coordinates, keyed):
+    """Nodes of 100 shingles with these signatures, and their buckets of the bands in ``keyed``."""
+    keys = [near_dedup.band_keys(c).tolist() for c in coordinates]
+    nodes = [(k, 100, b, bytearray(c.astype(np.uint8).tobytes())) for k, (b, c) in enumerate(zip(keys, coordinates, strict=True))]
+    rows = [(b[band], band, k, k) for k, b in enumerate(keys) for band in keyed]
+    return (spark.createDataFrame(rows, "key bigint, band int, node bigint, component bigint"),
+            spark.createDataFrame(nodes, "node bigint, n bigint, bands array<bigint>, sig binary"))
+
+
+def test_near_pair_whose_low_bytes_agree_in_an_earlier_band(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**32, near_dedup.COORDINATES, dtype=np.uint32)
+    b = a.copy()
+    b[:8] ^= np.uint32(1 << 20)  # the first two bands differ, in their high bytes only
+    c = rng.integers(0, 2**32, near_dedup.COORDINATES, dtype=np.uint32)
+    rows, nodes = near_rows(spark, [a, b, c], range(near_dedup.BANDS))
+    assert [tuple(r) for r in near_dedup._between(rows, nodes).collect()] == [(0, 1)]
+
+
 def test_near_edges(spark):
     df = clash(spark, EDGES)
     got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_groups(df).collect()}
