@@ -12,10 +12,12 @@ any bucket:
 1. every member of a bucket is compared with one member only, at first the smallest, then the one with the
    most links so far, where their components differ; links join components;
 2. buckets that still hold several components are cut by set size, as sets of a pair differ by a
-   quarter at most, and searched for pairs between components, by signature: in one small task
-   where at most ``SMALL`` rows are left, else after they are split further by each of the other bands (a
-   pair at the threshold shares about ten), and so on.  What is still large after ``DEPTH`` bands
-   agrees on so many coordinates that comparing with the smallest member is enough.
+   quarter at most, and searched for pairs between components, by signature, in one small task
+   where at most ``SMALL`` rows are left;
+3. larger ones that overlap are taken together, so that a pair is not met once a band, and dealt into blocks of at
+   most ``DEPTH * SMALL`` rows and ``BLOCK`` bytes of sets; every two blocks are compared in one task,
+   which confirms on full sets and so writes links only.  All pairs are compared, so the work
+   grows with the square of such a group.
 
 Every link is confirmed on the full sets.  Components come from alternating large and small stars.
 
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,7 +50,8 @@ THRESHOLD = 75  # percent
 GUESS = 0.55  # least share of equal coordinates: five deviations below the threshold
 STARS = 2  # rounds of the first kind
 SMALL = 2048
-DEPTH = 4
+DEPTH = 4  # rows of a block, in SMALL
+BLOCK = 1 << 24
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -191,6 +194,11 @@ def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= threshold * (len(x) + len(y) - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs ``a, b`` whose full sets reach the threshold.  ``sets``: ``node, items``."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("ia"))
@@ -200,18 +208,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ia"), batch.column("ib"), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+                keep.append(_linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
+def _pairs_inside(rows: DataFrame) -> DataFrame:
     """Rows with few of a ``key`` to pairs between components with like signatures.
 
-    ``first_only``: a pair is reported in the first of its buckets alone, that is in the first band whose keys
+    A pair is reported in the first of its buckets alone, that is in the first band whose keys
     agree (``earlier`` holds the row's full keys of the bands before this one; the low bytes of the signature
     may agree where the keys do not) and in the larger of the two size classes (``klass`` is the row's own,
     ``label`` the bucket's).
@@ -220,7 +226,7 @@ def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, component, klass = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass"))
         label = int(pdf["label"].iloc[0])
-        earlier = np.stack(pdf["earlier"].to_list()) if first_only else None
+        earlier = np.stack(pdf["earlier"].to_list())
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
         a, b, step = [], [], max(1, (1 << 23) // sig.size)
         for i in range(0, len(pdf), step):
@@ -228,10 +234,9 @@ def _pairs_inside(rows: DataFrame, first_only: bool) -> DataFrame:
             like &= component[i : i + step, None] != component[None, i:]
             x, y = np.nonzero(np.triu(like, 1))
             x, y = x + i, y + i
-            if first_only:
-                x, y = (z[np.maximum(klass[x], klass[y]) == label] for z in (x, y))
-                later = (earlier[x] == earlier[y]).any(axis=1)
-                x, y = x[~later], y[~later]
+            x, y = (z[np.maximum(klass[x], klass[y]) == label] for z in (x, y))
+            later = (earlier[x] == earlier[y]).any(axis=1)
+            x, y = x[~later], y[~later]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
@@ -258,29 +263,76 @@ def _star(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def _between(rows: DataFrame, nodes: DataFrame, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """Candidate pairs between components inside the same bucket; ``rows``: ``key, band, node, component`` of mixed buckets."""
+def _across_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of two blocks (``p``, ``q``) of a ``cluster`` to links between components, by signature and then on full sets.
+
+    A pair is compared in the larger of its two size classes alone, and not where links found before in the same task
+    join its components already.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, component, klass, part, n = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass", "part", "n"))
+        p, q, label = (int(pdf[c].iloc[0]) for c in ("p", "q", "label"))
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        sets = [np.frombuffer(x, "<u8") for x in pdf["items"]]
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        a, b, step = [], [], max(1, (1 << 23) // max(1, sig[right].size))
+        for at in range(0, len(left), step):
+            x, y = left[at : at + step, None], right[None, at if p == q else 0 :]
+            like = np.count_nonzero(sig[x] == sig[y], axis=2) >= GUESS * sig.shape[1]
+            like &= (component[x] != component[y]) & (np.maximum(klass[x], klass[y]) == label)
+            like &= 100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
+            i, j = np.nonzero(like)
+            for u, v in zip(x[i, 0].tolist(), y[0, j].tolist(), strict=True):
+                cu, cv = top(int(component[u])), top(int(component[v]))
+                if cu != cv and _linked(sets[u], sets[v], THRESHOLD):
+                    root[max(cu, cv)] = min(cu, cv)
+                    a.append(min(node[u], node[v]))
+                    b.append(max(node[u], node[v]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return rows.groupBy("cluster", "label", "p", "q").applyInPandas(run, "a bigint, b bigint")
+
+
+def _between(rows: DataFrame, nodes: DataFrame, small: int = SMALL, depth: int = DEPTH, *, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Candidate pairs between components inside the same bucket; ``rows``: ``key, band, node, component`` of mixed buckets.
+
+    ``sets`` gives the full sets of a frame of nodes; it is asked only where a bucket has more than ``small`` rows.
+    """
     # Sets of a linked pair lie in the same class of sizes or in neighbours; a class is a hair wider than the threshold asks for.
-    klass = F.floor(F.log("n") / (1.001 * math.log(100 / THRESHOLD)))
-    sized = rows.join(nodes.select("node", klass.alias("klass")), "node").withColumn("label", F.explode(F.array(F.col("klass"), F.col("klass") + 1)))
-    rows = sized.withColumn("key", F.xxhash64("key", "label"))
+    width = 1.001 * math.log(100 / THRESHOLD)
+    sized = rows.join(nodes.select("node", F.floor(F.log("n") / width).alias("klass")), "node")
+    sized = sized.withColumn("label", F.explode(F.array(F.col("klass"), F.col("klass") + 1)))
     columns = ["key", "node", "component", "band", "klass", "label"]
-    found = None
-    for level in range(depth):
-        mixed = cut(_mixed(rows.select(*columns)))
-        before = F.slice("bands", 1, F.col("band") if level == 0 else F.lit(0)).alias("earlier")
-        tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig", "bands"), "node").select(*columns, "sig", before)
-        pairs = _pairs_inside(tight, level == 0)
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = mixed.where(F.col("rows") > small).select(*columns)
-        if hot.isEmpty():
-            return found.distinct()
-        # A pair of a hot bucket shares another band as well, be that band's own bucket hot or not.
-        split = hot.join(nodes.select("node", F.explode("bands").alias("other")), "node")
-        rows = split.withColumn("key", F.xxhash64("key", "other")).select(*columns).distinct()
-    low = rows.groupBy("key").agg(F.min("node").alias("a"))
-    star = rows.join(low, "key").where("node > a").select("a", F.col("node").alias("b"))
-    return found.unionByName(star).distinct()
+    mixed = cut(_mixed(sized.withColumn("key", F.xxhash64("key", "label")).select(*columns)))
+    before = F.slice("bands", 1, F.col("band")).alias("earlier")
+    tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig", "bands"), "node").select(*columns, "sig", before)
+    found = _pairs_inside(tight)
+    hot = mixed.where(F.col("rows") > small).select("key", "node", "component", "klass", "label")
+    if hot.isEmpty():
+        return found
+
+    low = hot.groupBy("key").agg(F.min("node").alias("b"))
+    star = hot.join(low, "key").where("node > b").select(F.col("node").alias("a"), "b")
+    clusters = components(star).withColumnRenamed("component", "cluster")
+    members = hot.drop("key").distinct().join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    members = cut(members)
+    largest = 8 * F.exp(width * (F.col("label") + 1))  # bytes of a set
+    per = F.greatest(F.lit(1), F.least(F.lit(small * depth), F.floor(BLOCK / largest)))
+    blocks = members.groupBy("cluster", "label").agg(F.ceil(F.count(F.lit(1)) / F.first(per)).alias("blocks"))
+    dealt = members.join(blocks, ["cluster", "label"]).withColumn("part", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("blocks", "other")
+    full = sets(members.select("node").distinct())
+    links = _across_blocks(dealt.join(nodes.select("node", "n", "sig"), "node").join(full, "node"))
+    return found.unionByName(links).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -291,11 +343,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = written(profiles(docs, id_col, text_col), "near-profiles")
     full = rows.where("n > 0")
 
+    def sets(ends: DataFrame) -> DataFrame:
+        return written(item_sets(docs, classes.join(ends, "node"), id_col, text_col), "near-sets")
+
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(item_sets(docs, classes.join(ends, "node"), id_col, text_col), "near-sets")
-        return cut(confirmed(pairs, sets))
+        return cut(confirmed(pairs, sets(ends)))
 
     classes = cut(full.groupBy("print").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     # One row per class, found by print and id together, so that many copies of a text are spread.
@@ -314,7 +368,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = more if links is None else links.unionByName(more)
         joined = components(links)
     rest = cut(_mixed(shared.join(joined, "node", "left").select("key", "band", "node", label)).drop("rows"))
-    more = confirm(_between(rest, nodes))
+    more = confirm(_between(rest, nodes, sets=sets))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     labelled = classes.join(joined, "node", "left").select("print", "id", "node", label)

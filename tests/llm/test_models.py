@@ -265,6 +265,24 @@ def test_near_pair_whose_low_bytes_agree_in_an_earlier_band(spark):
     assert [tuple(r) for r in near_dedup._between(rows, nodes).collect()] == [(0, 1)]
 
 
+def test_near_pairs_of_large_buckets(spark):
+    """A pair that shares only the group's band, and of which neither is the smallest node, is found whatever the blocks."""
+    rng = np.random.default_rng(6)
+    coordinates = rng.integers(0, 2**32, (12, near_dedup.COORDINATES), dtype=np.uint32)
+    coordinates[:, : near_dedup.ROWS] = coordinates[0, : near_dedup.ROWS]
+    for a, b in ((5, 8), (9, 11)):  # alike, and one coordinate of every other band differs
+        coordinates[b] = coordinates[a]
+        coordinates[b, near_dedup.ROWS :: near_dedup.ROWS] += np.uint32(1)
+    rows, nodes = near_rows(spark, coordinates, [0])
+    items = {k: rng.integers(0, 2**63, 100, dtype=np.uint64) for k in range(12)}
+    for a, b in ((5, 8), (9, 11)):
+        items[b] = np.concatenate([items[a][:90], items[b][:10]])
+    full = spark.createDataFrame([(k, bytearray(np.sort(x).astype("<u8").tobytes())) for k, x in items.items()], "node bigint, items binary")
+    for depth in (1, 3):
+        got = near_dedup._between(rows, nodes, 2, depth, sets=lambda ends: full.join(ends, "node")).collect()
+        assert sorted(map(tuple, got)) == [(5, 8), (9, 11)]
+
+
 def test_near_edges(spark):
     df = clash(spark, EDGES)
     got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_groups(df).collect()}
