@@ -5,7 +5,7 @@ mixed: lower case, upper case and digits together); others are no candidates.  A
 characters slides over the candidate; counts per character are updated by the character that comes
 and the one that goes, and with them the sum of ``c * log2(c)`` that gives the Shannon entropy.  The span runs
 from the first window above the threshold of its class to the last.  Candidates that an allow-list
-pattern matches as a whole are left out.
+pattern matches as a whole are left out; the patterns for paths and examples count only if all parts are words.
 
 Everything happens inside the row, on native columns, so nothing is shuffled.  Offsets are in code points.
 
@@ -44,6 +44,12 @@ ALLOWED = (
     r"ABCDEFGHIJKLMNOPQRSTUVWXYZ.*",
 )
 
+# These two say little of a run that holds a random part, so they count only where every part between
+# '/', '_' and '-' is a word, a short number or a placeholder.
+LOOSE = ALLOWED[1:3]
+_WORD = r"(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})[0-9]{0,4}|[0-9]{1,8}|[A-Za-z0-9]{0,8}(?i:example|sample|placeholder|changeme)[A-Za-z0-9]{0,8})"
+WORDS = rf"^[/_-]*+(?:{_WORD}(?:[/_-]++|$))++$"
+
 
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """``array<struct<start, order, kind, end, found>>`` of matches whose group is long enough."""
@@ -115,8 +121,10 @@ def entropy_spans(text: Column, order: int, allowed: tuple[str, ...] = ALLOWED)
     runs = _spans(text, "entropy", order, pattern, 0, WINDOW)
     is_hex = lambda c: c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & c.rlike("[a-fA-F]") & c.rlike("[0-9]")
     mixed = lambda c: c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
-    listed = "^(?:" + "|".join(allowed) + ")$" if allowed else "^$"
-    runs = F.filter(runs, lambda r: (is_hex(r["found"]) | mixed(r["found"])) & ~r["found"].rlike(listed))
+    whole = lambda patterns: "^(?:" + "|".join(patterns) + ")$" if patterns else "^$"
+    strict, loose = ([a for a in allowed if (a in LOOSE) == kind] for kind in (False, True))
+    listed = lambda c: c.rlike(whole(strict)) | (c.rlike(whole(loose)) & c.rlike(WORDS))
+    runs = F.filter(runs, lambda r: (is_hex(r["found"]) | mixed(r["found"])) & ~listed(r["found"]))
     hulls = F.transform(runs, lambda r: F.struct(
         r.alias("run"),
         window_hull(r["found"], F.when(is_hex(r["found"]), THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])).alias("hull")))

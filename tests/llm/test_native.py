@@ -1,7 +1,9 @@
 """Exact dedup, URL filter, sharding and secret scan against plain models."""
 
+import base64
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -145,3 +147,19 @@ def test_secrets(spark, tmp_path):
         base = ",".join(x for x in r["spans"].split(",") if not x.startswith("entropy"))
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(base.count(k + ":") for k in ("assign", "access", "hex"))
+
+
+def entropy_hits(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return sum("entropy" in r["digest"] for r in scan_secrets(df).withColumn("digest", digest(F.col("spans"))).collect())
+
+
+def test_secrets_recall_of_random_base64(spark):
+    rng = random.Random(8)
+    for encode, size, pad in ((base64.urlsafe_b64encode, 32, True), (base64.urlsafe_b64encode, 96, False), (base64.b64encode, 32, True)):
+        keys = [encode(rng.randbytes(size)).decode() for _ in range(200)]
+        assert entropy_hits(spark, [k if pad else k.rstrip("=") for k in keys]) >= 198
+    keys = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(200)]
+    assert entropy_hits(spark, ["AWS_SECRET_ACCESS_KEY=" + k for k in keys]) >= 198
+    assert entropy_hits(spark, ["sample_key_" + k for k in keys]) >= 198
+    assert entropy_hits(spark, ["path/To/Some/File9/name/Here", "src/Example_Config/v2/Sample-Settings"]) == 0
