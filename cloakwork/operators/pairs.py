@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.catalogue import IMPORTED_BASIS, MANUAL_RULE
-from cloakwork.functions.arrays import let, lookup, sorted_distinct
-from cloakwork.functions.text import positions, trim_space
+from cloakwork.functions.arrays import let, lookup, scan, sorted_distinct
+from cloakwork.functions.text import positions, slice_blocks, trim_space
 from cloakwork.operators.literals import RULES, attach_rules, join_same, literal_hits
 from cloakwork.operators.overlaps import sort_key, sweep
-from cloakwork.operators.rewrite import mask_text
+from cloakwork.operators.rewrite import BLOCKS, mask_text
 from cloakwork.operators.settle import settle
 
 PAIR_FIELDS = ("entity_type", "origin", "source", "replacement", "region", "rule_id")
@@ -173,3 +173,47 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
     )
     joined = settle(joined, "_known", known).drop("_pairs", "_tags", "_at")
     return mask_text(joined, text_col=text_col, spans_col="_known", out_col=out_col).drop("_known")
+
+
+def _shifted(records: Column) -> Column:
+    """Where each replacement stands in the masked text: its place in the original, moved by what those before it changed.
+
+    ``records`` are distinct, by start.  Two that overlap cannot be of one text, so they fail the query.
+    """
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("source"), F.lit("").alias("replacement"), F.lit(0).alias("past"))
+    refuse = F.raise_error(F.lit("spans of the mapping overlap: its ids repeat")).cast("int")
+
+    def step(st: Column, r: Column) -> Column:
+        start = F.when(r.start >= st.past, st.end + r.start - st.past).otherwise(refuse)
+        return F.struct(
+            start.alias("start"), (start + F.length(r.replacement)).alias("end"), r.source.alias("source"),
+            r.replacement.alias("replacement"), r.end.alias("past"),
+        )
+
+    return scan(records, zero, step)
+
+
+def _checked_source(span: Column) -> Column:
+    """The source of a span, where its replacement is what the text has there."""
+    there = slice_blocks(F.col(BLOCKS), span.start, span.end) == span.replacement
+    refuse = F.raise_error(F.lit("the text does not have the replacement that the mapping names")).cast("string")
+    return F.when(there, span.source).otherwise(refuse)
+
+
+def restore_positions(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text_col: str = "masked_text",
+                      out_col: str = "restored_text") -> DataFrame:
+    """Put the sources back by position, from a mapping table scoped by document.
+
+    Replacements are not looked up, so this restores synthetic values too, which repeat, and texts that held
+    something like ``[EMAIL_1]`` before.  The text must be the masking result as it was written: one that differs at
+    a replacement fails the query, and so does a mapping whose spans overlap, as where documents share an id.  Records with
+    ``enabled`` false show their source in the text and are left out.  Null ids are equal.
+
+    Mapping and documents meet in one equi-join, or in none if both are bucketed by the id.
+    """
+    place = F.col("position")
+    kept = mapping.where(F.coalesce(F.col("enabled"), F.lit(True))) if "enabled" in mapping.columns else mapping
+    record = F.struct(place["start"].cast("int").alias("start"), place["end"].cast("int").alias("end"), "source", "replacement")
+    per_doc = kept.groupBy(*id_cols).agg(F.array_sort(F.collect_set(record)).alias("_records"))
+    joined = settle(join_same(df, per_doc, id_cols), "_known", F.when(F.size("_records") > 0, _shifted(F.col("_records"))))
+    return mask_text(joined.drop("_records"), text_col, "_known", out_col, _checked_source).drop("_known")

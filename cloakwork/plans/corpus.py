@@ -12,7 +12,7 @@ from cloakwork.functions.replacements import replacement
 from cloakwork.operators.literals import join_same
 from cloakwork.operators.pairs import apply_pairs
 from cloakwork.operators.rewrite import mask_text
-from cloakwork.operators.settle import settle
+from cloakwork.operators.settle import ensure_checkpoint_dir, settle
 from cloakwork.plans.masking import explode_spans
 
 HOT_SHARE = 1000
@@ -35,19 +35,6 @@ def rule_list_summary(applied: DataFrame) -> DataFrame:
     )
 
 
-def ensure_checkpoint_dir(df: DataFrame, fallback: str | None) -> None:
-    """The cluster names its shared checkpoint folder; set one only where it did not."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured or fallback:
-        sc.setCheckpointDir(configured or fallback)
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-
-
 def corpus_numbers(spans: DataFrame, id_col: str, checkpoint_dir: str | None = None) -> DataFrame:
     """Number the distinct values of each type over the whole corpus: ``(type, region_key, source, n, uses)``.
 

@@ -32,15 +32,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores * 4, *keys)
 
 
+def apart(path: str, mapping_path: str) -> None:
+    """Refuse a mapping path inside the masked output or around it."""
+    a, b = path.rstrip("/") + "/", mapping_path.rstrip("/") + "/"
+    if a.startswith(b) or b.startswith(a):
+        raise ValueError("write the mapping outside the masked output: it holds the raw values")
+
+
 def write_masked(df: DataFrame, path: str, mapping: DataFrame | None = None, mapping_path: str | None = None,
                  fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Write masked documents; the mapping holds the raw values and goes to a path of its own."""
     if mapping is not None:
         if not mapping_path:
             raise ValueError("a mapping needs its own path")
-        a, b = path.rstrip("/") + "/", mapping_path.rstrip("/") + "/"
-        if a.startswith(b) or b.startswith(a):
-            raise ValueError("write the mapping outside the masked output: it holds the raw values")
+        apart(path, mapping_path)
     df.write.format(fmt).mode(mode).save(path)
     if mapping is not None:
         mapping.write.format(fmt).mode(mode).save(mapping_path)

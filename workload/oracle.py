@@ -423,3 +423,13 @@ named AS (SELECT r.*, '[' || r.type || '_' || k.n || ']' AS replacement FROM res
     ) + " SELECT doc_id, masked_text FROM masked",
     "stream_mask": pipeline(DOCS) + " SELECT doc_id, masked_text FROM masked",
 }
+
+ORACLE |= {
+    "restore_synthetic": ORACLE["restore_documents"],
+    "restore_forms_synthetic": f"SELECT doc_id, replace(replace(text, chr(160), ' '), chr(13) || chr(10), chr(10)) AS restored_text FROM ({_FORMS2})",
+    "roundtrip_audit_positions": "SELECT count(*) AS documents, count(*) AS equal, CAST(0 AS BIGINT) AS different FROM orders",
+    # Every note holds an address, so its old [EMAIL_1] is taken for the new one.
+    "roundtrip_audit_tags": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS equal, count(*) AS different FROM orders",
+    "stream_mapping": ORACLE["mapping_table"],
+    "stream_restore": ORACLE["restore_documents"],
+}

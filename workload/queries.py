@@ -82,14 +82,17 @@ def mask_pages(spark, sf):
     return mask(pages, text_col="html").select("page_id", "masked_text")
 
 
-def mapping_table(spark, sf):
-    m = mapping(mask(documents(spark, sf)), *ID)
+def _mapping_rows(m):
     return m.select(
         "doc_id", "entity_id", "type", "region", "source", "replacement", "rule_id", "confidence",
         F.col("position.start").cast("bigint").alias("start"), F.col("position.end").cast("bigint").alias("end"), "enabled",
     )
 
 
+def mapping_table(spark, sf):
+    return _mapping_rows(mapping(mask(documents(spark, sf)), *ID))
+
+
 def validators(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     v = orders.selectExpr(
@@ -313,11 +316,7 @@ def _imported(spark, sf):
 
 
 def imported_mapping(spark, sf):
-    m = mapping(_imported(spark, sf), *ID)
-    return m.select(
-        "doc_id", "entity_id", "type", "region", "source", "replacement", "rule_id", "confidence",
-        F.col("position.start").cast("bigint").alias("start"), F.col("position.end").cast("bigint").alias("end"), "enabled",
-    )
+    return _mapping_rows(mapping(_imported(spark, sf), *ID))
 
 
 def imported_switches(spark, sf):
@@ -400,6 +399,32 @@ def roundtrip_audit(spark, sf):
     return roundtrip.roundtrip_audit(mask(documents(spark, sf)), ID)
 
 
+def restore_synthetic(spark, sf):
+    """Synthetic values repeat (IP, cards, dates), so they are put back by position."""
+    return roundtrip.restored(mask(documents(spark, sf), mode="synthetic"), ID, by="positions").select("doc_id", "restored_text")
+
+
+def restore_forms_synthetic(spark, sf):
+    masked = mask(forms(spark, sf).select("doc_id", "text"), mode="synthetic")
+    return roundtrip.restored(masked, ID, by="positions").select("doc_id", "restored_text")
+
+
+def _with_old_tags(spark, sf):
+    """Notes that hold texts like tags before they are masked."""
+    return mail_notes(spark, sf).selectExpr("CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id",
+                                            "doc_id AS nr", "concat('[EMAIL_1] and [IP_', doc_id % 3, ']: ', text) AS text")
+
+
+def roundtrip_audit_positions(spark, sf):
+    """Texts that hold tags already, some ids null: ids and numbers identify them together."""
+    return roundtrip.roundtrip_audit(mask(_with_old_tags(spark, sf)), ["doc_id", "nr"], by="positions")
+
+
+def roundtrip_audit_tags(spark, sf):
+    """The same by tags, where an old tag that is also a new one cannot be told apart."""
+    return roundtrip.roundtrip_audit(mask(_with_old_tags(spark, sf)), ["doc_id", "nr"])
+
+
 def pii_profile(spark, sf):
     docs = documents(spark, sf, "lang", "source").withColumnRenamed("source", "origin")
     return profile.pii_profile(explode_spans(mask(docs), *ID, "lang", "origin"), ["lang", "type", "rule_id"])
@@ -437,6 +462,26 @@ def stream_mask(spark, sf):
     return spark.read.parquet(f"{out}/data").select("doc_id", "masked_text")
 
 
+def _published(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Masked documents and their mapping, both written by a stream and read back."""
+    out = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
+    paths = f"{out}/masked", f"{out}/vault"
+    masking_stream.write_stream_with_mapping(masking_stream.mask_stream(stream), ID, *paths, f"{out}/log").awaitTermination()
+    return tuple(masking_stream.read_published(spark, p) for p in paths)
+
+
+def stream_mapping(spark, sf):
+    _, records = _published(spark, sf)
+    return _mapping_rows(records)
+
+
+def stream_restore(spark, sf):
+    masked, records = _published(spark, sf)
+    return roundtrip.restored(masked, ID, records, by="positions").select("doc_id", "restored_text")
+
+
 QUERIES: dict[str, Query] = {
     **{f"rule_{r.rule_id.replace('.', '_')}": _rule_query(r.rule_id, forms) for r in ALL_RULES},
     **{
@@ -458,7 +503,8 @@ QUERIES: dict[str, Query] = {
             present_types_and_regions, review_filter, total_detections, switch_local, switch_everywhere, masked_with_switches,
             collect_pairs, pairs_order, export_pairs, import_pairs, import_refusals, apply_list_forward, apply_list_summary,
             imported_mapping, imported_switches, extended_profile_forms, registered_rule, blank_texts, span_ids, apply_scoped_reverse,
-            restore_documents, roundtrip_audit, pii_profile, pii_rollup, documents_with_pii, corpus_pseudonyms, stream_mask,
+            restore_documents, restore_synthetic, restore_forms_synthetic, roundtrip_audit, roundtrip_audit_positions, roundtrip_audit_tags, pii_profile, pii_rollup, documents_with_pii, corpus_pseudonyms, stream_mask,
+            stream_mapping, stream_restore,
         )
     },
 }
