@@ -65,6 +65,13 @@ NOTE_TEXT = (
 MAIL_NOTE_TEXT = f"concat({NOTE_TEXT}, '; mail c', CAST({_C} AS STRING), '@shop.example.com, host 10.0.0.', CAST({_K} % 256 AS STRING))"
 
 
+# Entries of a register with what the extended profile adds: a street and a town at word edges, a double colon inside an address, a passport.
+REGISTER_PARTS = (
+    "'адрес: '", f"concat('ул. Ленина, д. ', CAST(1 + {_C} % 200 AS STRING))", "'; индекс '", f"concat({_n(f'{_C} % 1000000', 6)}, ' г. Москва')",
+    "'; узел '", f"concat('2001:db8::', CAST({_K} % 10000 AS STRING))", "'; паспорт '", f"concat('45 11 ', {_n(f'{_K} % 1000000', 6)})",
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,3 +93,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return orders.selectExpr("o_orderkey AS doc_id", f"{MAIL_NOTE_TEXT} AS text")
+
+
+def register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.selectExpr("o_orderkey AS doc_id", f"concat({', '.join(REGISTER_PARTS)}) AS text")

@@ -6,7 +6,7 @@ texts they run on (forms, and documents without labels or colons) that makes no
 
 from __future__ import annotations
 
-from workload.inputs import FORM_KIND, FORM_TEXT, MAIL_NOTE_TEXT, NOTE_TEXT
+from workload.inputs import FORM_KIND, FORM_TEXT, MAIL_NOTE_TEXT, NOTE_TEXT, REGISTER_PARTS
 
 # Rule number, id, type, region, priority, basis, pattern.
 _RU, _LAT = r"[А-ЯЁ][а-яё-]{2,}", r"[A-Z][a-z-]{2,}"
@@ -228,9 +228,9 @@ masked AS (SELECT d.doc_id, d.t, CASE WHEN j.doc_id IS NULL THEN d.t ELSE j.head
   FROM docs d LEFT JOIN joined j ON j.doc_id = d.doc_id)"""
 
 
-def pipeline(docs: str, *, mode: str = "tag", regions: str = "RU AM EU", **clean: str) -> str:
+def pipeline(docs: str, *, mode: str = "tag", regions: str = "RU AM EU", catalogue: list = RULES, **clean: str) -> str:
     """WITH clause up to ``masked`` over a source of documents."""
-    rules = [r for r in RULES if r[3] is None or r[3] in regions.split()]
+    rules = [r for r in catalogue if r[3] is None or r[3] in regions.split()]
     return "WITH RECURSIVE " + ", ".join(
         [_clean(docs, **clean), _candidates(rules), _sweep("resolved", "cand"), _numbered("resolved", mode), _rewritten()]
     )
@@ -252,6 +252,14 @@ def _rule(number: int, docs: str) -> str:
     return f'{head} SELECT doc_id, s AS start, e AS "end", source, confidence FROM cand'
 
 
+def _extended(rule: tuple) -> tuple:
+    """Rules of the extended profile; its Cyrillic addresses want a word's edge, which forms do not have, so they are left out."""
+    if rule[0] == 10:
+        return (*rule[:6], rf"(?i)(?:{_H}{{1,4}}(?::{_H}{{1,4}}){{0,6}})?::(?:{_H}{{1,4}}(?::{_H}{{1,4}}){{0,6}})?")
+    return (*rule[:4], 86, *rule[5:]) if rule[0] == 23 else rule
+
+
+_EXTENDED = [_extended(r) for r in RULES if r[0] not in (11, 15)]
 _FORMS2 = f"SELECT doc_id, text FROM ({FORMS})"
 _TYPES = "['USER','EMAIL','PHONE','IP','ADDRESS','CARD','IBAN','SWIFT_BIC','ACCOUNT','DOC_ID','PERSON','ORG','DATE','OTHER']"
 _RAW_SPANS = """SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_partkey % 40 AS s, l_partkey % 40 + 1 + l_suppkey % 15 AS e,
@@ -392,7 +400,7 @@ FROM n LEFT JOIN numbered x ON x.doc_id = n.doc_id AND x.slot = 1 LEFT JOIN numb
     "pairs_order": pipeline(_FORMS2) + f", {_PAIRS}" + """ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY entity_type, source, replacement, region NULLS FIRST, rule_id) - 1 AS ord,
  entity_type, origin, source, replacement, region, rule_id FROM pairs""",
     "import_refusals": "SELECT o_orderkey, o_orderkey % 9 > 1 AS refused FROM orders",
-    "extended_profile_forms": f"""SELECT doc_id, unnest([regexp_extract(text, '45 11 [0-9]+'), regexp_extract(text, 'ИНН ([0-9]+)', 1)]) AS source FROM ({FORMS}) WHERE kind = 'ru'""",
+    "extended_profile_forms": pipeline(_FORMS2, catalogue=_EXTENDED) + f" SELECT {_SPAN_FIELDS} FROM resolved",
     "registered_rule": f"""WITH n AS ({NOTES})
 SELECT doc_id, length('order ' || doc_id || ' of ') AS start, 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS source, 'custom.quoted' AS rule_id FROM n
 UNION ALL SELECT doc_id, length('order ' || doc_id || ' of ') + 28, 'Customer#' || lpad(CAST((o_custkey * 7) % 100 AS STRING), 9, '0'), 'custom.quoted' FROM n""",
@@ -433,3 +441,36 @@ ORACLE |= {
     "stream_mapping": ORACLE["mapping_table"],
     "stream_restore": ORACLE["restore_documents"],
 }
+
+# The parts of a register entry that the extended profile detects: place in REGISTER_PARTS, type, region, rule, priority, basis, confidence.
+_REGISTER = [(1, "ADDRESS", None, "universal.address.ru.street_house", 86, "strict-structure", 0.86),
+             (3, "ADDRESS", None, "universal.address.ru.postcode_city", 80, "postcode+locality+context", 0.8),
+             (5, "IP", None, "universal.ipv6.compressed", 87, "format+validator", 0.87),
+             (7, "DOC_ID", "RU", "ru.passport.series_number", 86, "format+context", 0.91)]
+
+
+def _register() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT o_orderkey AS doc_id, '{kind}' AS type, length(concat({', '.join(REGISTER_PARTS[:at])})) AS s, {REGISTER_PARTS[at]} AS source, "
+        f"'{rule}' AS rule_id, {'NULL' if region is None else repr(region)}::VARCHAR AS region, {sure}::DOUBLE AS confidence, '{basis}' AS basis, {priority} AS priority FROM orders"
+        for at, kind, region, rule, priority, basis, sure in _REGISTER
+    )
+    return f"SELECT {_SPAN_FIELDS} FROM (SELECT *, s + length(source) AS e FROM ({rows}))"
+
+
+_NULLED = "CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS doc_id, doc_id AS nr"
+ORACLE |= {
+    "extended_profile_register": _register(),
+    "switch_sequence": pipeline(_FORMS2)
+    + f""", x AS (SELECT doc_id, {_ENTITY} AS entity_id, source, s, min(s) OVER d AS low, max(s) OVER d AS high, arg_min(source, s) OVER d AS first_source,
+ type = 'DOC_ID' AND doc_id % 4 = 3 AS off, arg_min(type = 'DOC_ID', s) OVER d AND doc_id % 4 = 3 AS first_off FROM named WINDOW d AS (PARTITION BY doc_id)),
+y AS (SELECT *, CASE WHEN source <> first_source THEN off WHEN s = low AND doc_id % 2 = 1 THEN first_off ELSE NOT first_off END AS then_off FROM x)
+SELECT {_NULLED}, entity_id FROM y WHERE then_off <> (s = high AND s <> low)""",
+    "masked_with_null_ids": "WITH RECURSIVE " + ", ".join(
+        [_clean(_FORMS2), _candidates(RULES), _sweep("resolved", "cand"), _numbered("resolved", "tag"),
+         _rewritten(value="CASE WHEN type IN ('DOC_ID', 'DATE') THEN source ELSE replacement END")]
+    ) + f" SELECT {_NULLED}, masked_text FROM masked",
+    "imported_user_rules": _user_rules() + " SELECT DISTINCT doc_id, trim(source) AS source, type FROM filled WHERE rule_id = 'manual.selection'",
+    "export_after_reverse": """SELECT DISTINCT 'USER' AS entity_type, c_name AS source, '<C' || c_custkey || '>' AS replacement
+FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders UNION ALL SELECT o_custkey * 7 % 100 FROM orders)""",
+}

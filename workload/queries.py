@@ -21,7 +21,7 @@ from cloakwork.plans import corpus, profile, roundtrip
 from cloakwork.plans.masking import detect, explode_spans, find_candidates, mapping, mask
 from cloakwork.sources import rule_pairs
 from cloakwork.streaming import masking_stream
-from workload.inputs import documents, forms, mail_notes, notes, table
+from workload.inputs import documents, forms, mail_notes, notes, register, table
 
 ID = ["doc_id"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 USER_RULES = [("thing", "USER"), ("ing th", "ORG"), ("example.com", "ORG"), ("er", "PERSON"), ("tion on", "USER"), ("absent!", "USER")]
 
 
+def _scratch(spark) -> str:
+    """The shared folder that the session names."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return named.rstrip("/")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = f"{_scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if c in ("start", "end", "priority") else F.col(c) for c in df.columns])
 
@@ -188,7 +203,10 @@ def _rules(spark):
 
 
 def _merged(spark, sf, strategy="constant"):
-    return U.with_user_rules(mask(documents(spark, sf)), _rules(spark), ID, strategy=strategy)
+    masked = mask(documents(spark, sf))
+    if strategy == "join":  # which reads the texts more than once: detection runs once, and its result is read
+        masked = _kept(masked, "masked")
+    return U.with_user_rules(masked, _rules(spark), ID, strategy=strategy)
 
 
 def user_rules_merge(spark, sf):
@@ -202,7 +220,8 @@ def user_rules_merge_joined(spark, sf):
 def _without_some_ids(strategy: str) -> Query:
     def run(spark, sf):
         docs = documents(spark, sf).withColumn("doc_id", F.expr("CASE WHEN doc_id % 5 <> 0 THEN doc_id - doc_id % 2 END"))
-        return U.with_user_rules(mask(docs), _rules(spark), ID, strategy=strategy).select("doc_id", "masked_text")
+        masked = _kept(mask(docs), "masked") if strategy == "join" else mask(docs)
+        return U.with_user_rules(masked, _rules(spark), ID, strategy=strategy).select("doc_id", "masked_text")
 
     return run
 
@@ -214,7 +233,7 @@ def user_rules_spans(spark, sf):
 
 def user_rules_long_list(spark, sf):
     customers = table(spark, sf, "customer").selectExpr("c_name AS source", "'USER' AS type")
-    return U.with_user_rules(mask(mail_notes(spark, sf)), customers, ID).select("doc_id", "masked_text")
+    return U.with_user_rules(_kept(mask(mail_notes(spark, sf)), "masked"), customers, ID).select("doc_id", "masked_text")
 
 
 def rule_table_edits(spark, sf):
@@ -276,6 +295,57 @@ def switch_everywhere(spark, sf):
     return W.toggle_everywhere(spans, off, ask, ID)
 
 
+def _form_spans(spark, sf):
+    """Spans of forms, some of which have no number; the order's key stays beside it."""
+    return _masked_forms(spark, sf).select("doc_id", "nr", F.explode("spans").alias("_s")).select("doc_id", "nr", "_s.*")
+
+
+def _masked_forms(spark, sf):
+    return mask(forms(spark, sf).selectExpr("CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS doc_id", "doc_id AS nr", "text"))
+
+
+# Requests on the first span of each form, in order: everywhere, itself, in every other form everywhere again; on the last one, itself.
+_LOG = """explode(CASE WHEN start = low THEN filter(array(struct(nr * 10 + 1 AS seq, true AS everywhere), struct(nr * 10 + 2 AS seq, false AS everywhere),
+ struct(nr * 10 + 3 AS seq, true AS everywhere)), (x, i) -> i < 2 OR nr % 2 = 0) WHEN start = high THEN array(struct(nr * 10 + 4 AS seq, false AS everywhere)) END) AS r"""
+
+
+def switch_sequence(spark, sf):
+    ids = ["doc_id", "nr"]
+    spans = _form_spans(spark, sf)
+    ends = spans.groupBy("nr").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    log = spans.join(ends, "nr").selectExpr(*ids, "entity_id", _LOG).select(*ids, "entity_id", "r.*")
+    off = spans.where("type = 'DOC_ID' AND nr % 4 = 3").select(*ids, "entity_id")
+    rules = spark.createDataFrame([("none", "USER")], "source string, type string")
+    return W.switch_sequence(spans, off, rules, log, ids)[0]
+
+
+def masked_with_null_ids(spark, sf):
+    """Switches of forms without a number are kept apart by the other key, and found although the number is null."""
+    masked = _masked_forms(spark, sf)
+    off = masked.select("doc_id", "nr", F.explode("spans").alias("s")).where("s.type IN ('DOC_ID', 'DATE')").select("doc_id", "nr", "s.entity_id")
+    return W.apply_switches(masked, off, ["doc_id", "nr"]).select("doc_id", "nr", "masked_text")
+
+
+def imported_user_rules(spark, sf):
+    """Pairs of user origin become user rules, which are then found in other texts (with the mail notes' detections)."""
+    envelopes = rule_pairs.export_envelopes(_merged(spark, sf), ID, _AT)
+    pairs = rule_pairs.import_envelopes(envelopes, "rules_json", ID)
+    return P.user_rules_of(pairs, ID).select("doc_id", "source", "type")
+
+
+def export_after_reverse(spark, sf):
+    """Pairs imported in reverse are exported swapped, so files keep their direction."""
+    restored = corpus.apply_rule_list(_coded_notes(spark, sf), _list_pairs(spark, sf), ID, direction="reverse")
+    swap = P.swap_on_export("imported", "reverse")
+    return P.collect_pairs(explode_spans(restored, *ID), swap=swap).select("entity_type", "source", "replacement")
+
+
+def _coded_notes(spark, sf):
+    """Notes in which the stand-ins of the list stand for the customers."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return orders.selectExpr("o_orderkey AS doc_id", "concat('order of <C', o_custkey, '>, copy to <C', o_custkey * 7 % 100, '>') AS text")
+
+
 def masked_with_switches(spark, sf):
     masked = mask(documents(spark, sf))
     off = explode_spans(masked, *ID).where("type IN ('CARD', 'IP')").select("doc_id", "entity_id")
@@ -352,7 +422,11 @@ def import_refusals(spark, sf):
 
 def extended_profile_forms(spark, sf):
     found = detect(forms(spark, sf).select("doc_id", "text"), profile="extended")
-    return explode_spans(found, *ID).where("region = 'RU' AND rule_id LIKE 'ru.passport%'").select("doc_id", "source")
+    return _spans_of(found)
+
+
+def extended_profile_register(spark, sf):
+    return _spans_of(detect(register(spark, sf), profile="extended"))
 
 
 def registered_rule(spark, sf):
@@ -439,18 +513,8 @@ def documents_with_pii(spark, sf):
     return profile.documents_with_pii(mask(documents(spark, sf, "lang")), "lang")
 
 
-def _scratch(spark) -> str:
-    """The shared folder that the session names."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return named.rstrip("/")
-
-
 def corpus_pseudonyms(spark, sf):
-    path = f"{_scratch(spark)}/detected-{uuid.uuid4().hex}"  # detection runs once; both passes read what it found
-    detect(documents(spark, sf)).select("doc_id", "clean_text", "spans").write.parquet(path)
-    found = spark.read.parquet(path)
+    found = _kept(detect(documents(spark, sf)).select("doc_id", "clean_text", "spans"), "detected")  # detection runs once; both passes read it
     return corpus.corpus_pseudonyms(found, "doc_id", checkpoint_dir=_scratch(spark)).select("doc_id", "masked_text")
 
 
@@ -500,9 +564,10 @@ QUERIES: dict[str, Query] = {
             normalise_text, detect_documents, detect_forms, detect_forms_ru_only, mask_conversations, mask_pages, mapping_table,
             validators, replacement_templates, literal_occurrences, resolve_overlaps_table, resolve_overlaps_array, gap_fill,
             user_rules_merge, user_rules_merge_joined, user_rules_spans, user_rules_long_list, rule_table_edits, review_groups, frequencies,
-            present_types_and_regions, review_filter, total_detections, switch_local, switch_everywhere, masked_with_switches,
+            present_types_and_regions, review_filter, total_detections, switch_local, switch_everywhere, switch_sequence, masked_with_switches, masked_with_null_ids,
+            imported_user_rules, export_after_reverse,
             collect_pairs, pairs_order, export_pairs, import_pairs, import_refusals, apply_list_forward, apply_list_summary,
-            imported_mapping, imported_switches, extended_profile_forms, registered_rule, blank_texts, span_ids, apply_scoped_reverse,
+            imported_mapping, imported_switches, extended_profile_forms, extended_profile_register, registered_rule, blank_texts, span_ids, apply_scoped_reverse,
             restore_documents, restore_synthetic, restore_forms_synthetic, roundtrip_audit, roundtrip_audit_positions, roundtrip_audit_tags, pii_profile, pii_rollup, documents_with_pii, corpus_pseudonyms, stream_mask,
             stream_mapping, stream_restore,
         )
