@@ -137,7 +137,7 @@ def _gram_reader(sizes: Sequence[int]) -> Callable[..., Iterator[tuple[int, np.n
     return read
 
 
-def _places(words: int) -> Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def bit_places(words: int) -> Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function from size and values of grams to their word in a bit table and their three bits there."""
 
     def places(size: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _places(words: int) -> Callable[[int, np.ndarray], tuple[np.ndarray, np.ndar
     return places
 
 
-def _bit_table(grams: DataFrame, how_many: int) -> bytes:
+def bit_table(grams: DataFrame, how_many: int) -> bytes:
     """A blocked bit table of all grams (``_size, _gram``), sized by their number up to :data:`MAX_WORDS`.
 
     It is put together in rows of bounded size; at most 64 MB in all reach the driver, whatever the length of the list.
@@ -159,7 +159,7 @@ def _bit_table(grams: DataFrame, how_many: int) -> bytes:
     words, per_row = 64, WORDS_PER_ROW
     while words < MAX_WORDS and words * 64 < how_many * BITS_PER_GRAM:
         words *= 2
-    places = _places(words)
+    places = bit_places(words)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,7 @@ def _bit_table(grams: DataFrame, how_many: int) -> bytes:
 def _text_grams(texts: DataFrame, keys: Sequence[str], text_col: str, sizes: Sequence[int], bits: bytes, counted: bool) -> DataFrame:
     """Grams of texts that the bit table lets through: each once a text with its keys, or ``counted``: with the number of texts, by batch."""
     held = texts.sparkSession.sparkContext.broadcast(bits)
-    read, places, names = _gram_reader(sizes), _places(len(bits) // 8), list(keys)
+    read, places, names = _gram_reader(sizes), bit_places(len(bits) // 8), list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(held.value, np.uint64)
@@ -233,7 +233,7 @@ def _by_gram(df: DataFrame, rules: DataFrame, keys: Sequence[str], text_col: str
     filed = shared_checkpoint(sources.mapInArrow(file, "source string, _size int, _gram bigint"))
     listed = filed.groupBy(*gram).agg(F.count(F.lit(1)).alias("_n"))
     sizes = {r["_size"]: r["n"] for r in listed.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}  # eight rows at most
-    every = _bit_table(listed, sum(sizes.values()))
+    every = bit_table(listed, sum(sizes.values()))
     counts = _text_grams(df, [], text_col, list(sizes), every, True).groupBy(*gram).agg(F.sum("_texts").alias("_texts"))
     known = filed.join(listed, gram).join(counts, gram, "left").withColumn("_texts", F.coalesce("_texts", F.lit(0)))
     best = F.min_by(F.struct(*gram, "_texts"), F.struct("_texts", "_n", *gram)).alias("_a")
@@ -241,7 +241,7 @@ def _by_gram(df: DataFrame, rules: DataFrame, keys: Sequence[str], text_col: str
     used = anchor.groupBy(*gram).agg(F.max("_texts").alias("_texts"))
     total = used.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_texts"), F.lit(0)).alias("hits")).first()
     hot = F.col("_texts") > max(total["hits"] // HOT_SHARE, HOT_LEAST)  # of at most HOT_SHARE grams
-    met = _text_grams(df, keys, text_col, list(sizes), _bit_table(used, total["n"]), False)
+    met = _text_grams(df, keys, text_col, list(sizes), bit_table(used, total["n"]), False)
     marks = used.where(hot).select(*gram, F.lit(True).alias("_hot"))
     salted = met.join(F.broadcast(marks), gram, "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*keys), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
