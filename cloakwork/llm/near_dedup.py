@@ -3,26 +3,26 @@
 A document's set holds its distinct five-word shingles, as 64-bit hashes.  One permutation scatters the
 set over a ring of 2**32 places; coordinate k of the signature is the smallest value of a second
 permutation after shifting the ring by k.  So two permutations make all ``COORDINATES``.  They are banded by
-``ROWS``; a pair at the threshold shares no band with probability 5e-6, and has fewer equal coordinates than
-``GUESS`` asks for with probability below 1e-6.
-
-Equal sets are one class from the start.  Buckets are worked through without writing down all pairs of
-any bucket:
-
-1. every member of a bucket is compared with one member only, at first the smallest, then the one with the
-   most links so far, where their components differ; links join components;
-2. buckets that still hold several components are cut by set size, as sets of a pair differ by a
-   quarter at most, and searched for pairs between components, by signature, in one small task
-   where at most ``SMALL`` rows are left;
-3. larger ones that overlap are taken together, so that a pair is not met once a band, and dealt into blocks of at
-   most ``DEPTH * SMALL`` rows and ``BLOCK`` bytes of sets; every two blocks are compared in one task,
-   which confirms on full sets and so writes links only.  All pairs are compared, so the work
-   grows with the square of such a group.
+``ROWS``; a pair at the threshold shares no band with probability 5e-6.
 
+Equal sets are one class from the start.  Buckets are worked through without writing down pairs of their members:
+
+1. every member of a bucket is compared with the bucket's smallest one; links join components;
+2. buckets that still hold several components are put together where they overlap, and each such cluster goes to one task, small
+   ones several at a time, large ones as every two of their blocks of at most ``BLOCK`` bytes of sets;
+3. such a task finds all its links exactly.  Shingles are put in order, from the rarest to the most frequent in the
+   task.  A set files its first ``n - ceil(6n/7) + 1`` shingles, and every set at least as large looks up its first
+   ``n - ceil(3n/4) + 1``: a pair at the threshold meets there, early enough for the rest to suffice.  Texts that share only a core below 6/7 of
+   their sets do not meet, since the core comes last.  Those that meet between components are compared on full sets; only links
+   leave the task.
+
+All buckets take this one way, whatever their size.  The work of a cluster grows with the square of its blocks.
 Every link is confirmed on the full sets.  Components come from alternating large and small stars.
 
+Texts are not moved: a task that reads them makes the sets that are wanted, which a bit table of at most 64 MB tells it.
+
 Defined cases: a document without words (or null) has an empty set and is linked with nothing; one with
-fewer than five words has one shingle; rows that share an id are told apart by their sets; a null id is
+fewer than five words has one shingle; rows that share an id are told apart by their texts; a null id is
 never the smallest of a component unless it has no other; an empty table gives an empty result.
 Only the id and text columns are read, so clashing names of others do not matter.
 """
@@ -30,11 +30,9 @@ Only the id and text columns are read, so clashing names of others do not matter
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -42,16 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakwork.llm.common import cut, fresh, ship, table, text_or_empty, written
+from cloakwork.operators.literals import bit_places, bit_table
 
 SHINGLE = 5
 COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 THRESHOLD = 75  # percent
-GUESS = 0.55  # least share of equal coordinates: five deviations below the threshold
-STARS = 2  # rounds of the first kind
-SMALL = 2048
-DEPTH = 4  # rows of a block, in SMALL
-BLOCK = 1 << 24
+GUESS = 0.55  # least share of equal coordinates for the first step, which only saves work for the others
+BLOCK = 1 << 24  # bytes of sets
+MEETINGS = 1 << 20  # pairs looked at together
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -114,7 +111,7 @@ def _fingerprint(found: np.ndarray) -> bytes:
 
 
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n, print, bands, sig`` per row: set size, fingerprint of the set, band keys, low bytes of the signature."""
+    """``id, text_hash, n, print, bands, sig`` per row: set size, fingerprint of the set, band keys, low bytes of the signature."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,31 +128,42 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     bands.append(band_keys(sig).tolist() if len(found) else [])
                     sigs.append(sig.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+                    [part.column("id"), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
                      pa.array(sigs, pa.binary())],
-                    names=["id", "n", "print", "bands", "sig"])
+                    names=["id", "text_hash", "n", "print", "bands", "sig"])
 
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(run, f"id {id_type}, n bigint, print binary, bands array<bigint>, sig binary")
+    text = text_or_empty(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    return texts.mapInArrow(run, f"id {id_type}, text_hash bigint, n bigint, print binary, bands array<bigint>, sig binary")
 
 
 def item_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Full sets of the classes in ``wanted`` (``node, id, print``), from the texts: ``node, items``."""
+    """Full sets of the classes in ``wanted`` (``node, id, text_hash, print``), from the texts: ``node, items``.
+
+    A bit table of ids and texts drops almost all other rows before their sets are made; the print decides.
+    """
+    marks = wanted.select(F.lit(0).alias("_size"), F.xxhash64("id", "text_hash").alias("_gram"))
+    bits = bit_table(marks, wanted.count())
+    held, places = docs.sparkSession.sparkContext.broadcast(bits), bit_places(len(bits) // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, done, table_ = _Words(), set(), np.frombuffer(held.value, np.uint64)
         for batch in batches:
-            node, items = [], []
-            for which, text, mark in zip(batch.column("node"), batch.column("text"), batch.column("print"), strict=True):
-                found = shingles(text.as_py(), known)
-                if _fingerprint(found) == mark.as_py():  # else another text with the same id
-                    node.append(which.as_py())
+            word, bit = places(0, batch.column("mark").to_numpy().view(np.uint64))
+            prints, items = [], []
+            for k in np.flatnonzero((table_[word] & bit) == bit).tolist():
+                found = shingles(batch.column("text")[k].as_py(), known)
+                mark = _fingerprint(found)
+                if mark not in done:  # repeated rows of a class; at most as many marks as wanted sets, and a few chance ones
+                    done.add(mark)
+                    prints.append(mark)
                     items.append(found.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(items, pa.binary())], names=["p", "items"])
 
-    texts = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).cast("binary").alias("text"))
-    chosen = texts.join(wanted, texts["i"].eqNullSafe(wanted["id"])).select("node", "text", "print")
-    return chosen.mapInArrow(run, "node bigint, items binary").dropDuplicates(["node"])
+    text = text_or_empty(text_col)
+    texts = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(text)).alias("mark"), text.cast("binary").alias("text"))
+    made = texts.mapInArrow(run, "p binary, items binary")
+    return made.join(wanted.select("node", "print"), F.col("p") == F.col("print")).select("node", "items").dropDuplicates(["node"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,68 +222,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ia", "ib").mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs_inside(rows: DataFrame) -> DataFrame:
-    """Rows with few of a ``key`` to pairs between components with like signatures.
-
-    A pair is reported in the first of its buckets alone, that is in the first band whose keys
-    agree (``earlier`` holds the row's full keys of the bands before this one; the low bytes of the signature
-    may agree where the keys do not) and in the larger of the two size classes (``klass`` is the row's own,
-    ``label`` the bucket's).
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, component, klass = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass"))
-        label = int(pdf["label"].iloc[0])
-        earlier = np.stack(pdf["earlier"].to_list())
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        a, b, step = [], [], max(1, (1 << 23) // sig.size)
-        for i in range(0, len(pdf), step):
-            like = np.count_nonzero(sig[i : i + step, None] == sig[None, i:], axis=2) >= GUESS * sig.shape[1]
-            like &= component[i : i + step, None] != component[None, i:]
-            x, y = np.nonzero(np.triu(like, 1))
-            x, y = x + i, y + i
-            x, y = (z[np.maximum(klass[x], klass[y]) == label] for z in (x, y))
-            later = (earlier[x] == earlier[y]).any(axis=1)
-            x, y = x[~later], y[~later]
-            a.append(np.minimum(node[x], node[y]))
-            b.append(np.maximum(node[x], node[y]))
-        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-
-    return rows.groupBy("key").applyInPandas(run, "a bigint, b bigint")
-
-
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, with the number of the bucket's rows."""
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return rows.join(stats.where("low < high").select("key", "rows"), "key")
-
-
-def _star(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Pairs of each bucket's centre with the members of other components; ``rows``: ``key, node, component``."""
-    if links is None:
-        rows = rows.withColumn("degree", F.lit(0))
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-        rows = rows.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    best = F.min(F.struct((-F.col("degree")).alias("d"), "node", "component"))
-    centre = rows.groupBy("key").agg(best.alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.component").alias("of"))
-    pairs = rows.join(centre, "key").where(F.col("component") != F.col("of"))
-    return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-
-
-def _across_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of two blocks (``p``, ``q``) of a ``cluster`` to links between components, by signature and then on full sets.
-
-    A pair is compared in the larger of its two size classes alone, and not where links found before in the same task
-    join its components already.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, component, klass, part, n = (pdf[c].to_numpy(np.int64) for c in ("node", "component", "klass", "part", "n"))
-        p, q, label = (int(pdf[c].iloc[0]) for c in ("p", "q", "label"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        sets = [np.frombuffer(x, "<u8") for x in pdf["items"]]
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+    """Rows of the buckets that hold several components."""
+    stats = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(stats.where("low < high").select("key"), "key")
+
+
+def _star(rows: DataFrame) -> DataFrame:
+    """Pairs of each bucket's smallest member with the others; ``rows``: ``key, node``."""
+    least = rows.groupBy("key").agg(F.min("node").alias("a"))
+    return rows.join(least, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
+def meetings(sets: list[np.ndarray], component: np.ndarray, threshold: int = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of sets of different components that may reach the threshold, repeated ones among them; none that does is missing."""
+    n = np.array([len(x) for x in sets], np.int64)
+    value, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((shingle, times[shingle], owner))
+    shingle, owner = shingle[order], owner[order]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    # Shingles whose holders are all of one component bring nothing new, which covers those that one set has alone.
+    low, high = np.full(len(value), np.iinfo(np.int64).max), np.full(len(value), -1)
+    np.minimum.at(low, shingle, component[owner])
+    np.maximum.at(high, shingle, component[owner])
+    useful = (low < high)[shingle]
+    files = np.flatnonzero(useful & (place <= n[owner] + (-2 * threshold * n[owner]) // (100 + threshold)))
+    looks = np.flatnonzero(useful & (place <= n[owner] + (-threshold * n[owner]) // 100))
+    files = files[np.argsort(shingle[files], kind="stable")]
+    first, last = (np.searchsorted(shingle[files], shingle[looks], side) for side in ("left", "right"))
+    many = last - first
+    bounds = np.append(0, np.cumsum(many))
+    at = 0
+    while at < len(looks):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + MEETINGS, "right")) - 1)
+        y = np.repeat(looks[at:to], many[at:to])
+        x = files[np.arange(len(y)) - np.repeat(bounds[at:to] - bounds[at] - first[at:to], many[at:to])]
+        a, b = owner[x], owner[y]
+        na, nb = n[a], n[b]
+        fits = (component[a] != component[b]) & ((na < nb) | (na == nb) & (a < b)) & (100 * na >= threshold * nb)
+        # If this is their first common shingle, all their common ones are from here on in either.
+        fits &= (100 + threshold) * np.minimum(na - place[x], nb - place[y]) >= threshold * (na + nb)
+        yield a[fits], b[fits]
+        at = to
+
+
+def _links_inside(threshold: int = THRESHOLD) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        node, component, part = (rows.column(c).to_numpy() for c in ("node", "component", "part"))
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("items")]
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
         root: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -283,56 +279,46 @@ def _across_blocks(rows: DataFrame) -> DataFrame:
                 c = root[c]
             return c
 
-        a, b, step = [], [], max(1, (1 << 23) // max(1, sig[right].size))
-        for at in range(0, len(left), step):
-            x, y = left[at : at + step, None], right[None, at if p == q else 0 :]
-            like = np.count_nonzero(sig[x] == sig[y], axis=2) >= GUESS * sig.shape[1]
-            like &= (component[x] != component[y]) & (np.maximum(klass[x], klass[y]) == label)
-            like &= 100 * np.minimum(n[x], n[y]) >= THRESHOLD * np.maximum(n[x], n[y])
-            i, j = np.nonzero(like)
-            for u, v in zip(x[i, 0].tolist(), y[0, j].tolist(), strict=True):
-                cu, cv = top(int(component[u])), top(int(component[v]))
-                if cu != cv and _linked(sets[u], sets[v], THRESHOLD):
-                    root[max(cu, cv)] = min(cu, cv)
-                    a.append(min(node[u], node[v]))
-                    b.append(max(node[u], node[v]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return rows.groupBy("cluster", "label", "p", "q").applyInPandas(run, "a bigint, b bigint")
-
-
-def _between(rows: DataFrame, nodes: DataFrame, small: int = SMALL, depth: int = DEPTH, *, sets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Candidate pairs between components inside the same bucket; ``rows``: ``key, band, node, component`` of mixed buckets.
-
-    ``sets`` gives the full sets of a frame of nodes; it is asked only where a bucket has more than ``small`` rows.
+        out: list[tuple[int, int]] = []
+        failed: set[int] = set()
+        for a, b in meetings(sets, component, threshold):
+            across = (part[a] != part[b]) | (p == q)
+            for k in np.unique(a[across] * len(sets) + b[across]).tolist():
+                x, y = divmod(k, len(sets))
+                cx, cy = top(int(component[x])), top(int(component[y]))
+                if cx == cy or k in failed:
+                    continue
+                if _linked(sets[x], sets[y], threshold):
+                    root[max(cx, cy)] = min(cx, cy)
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                elif len(failed) < MEETINGS:
+                    failed.add(k)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def links_between(rows: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> DataFrame:
+    """Links between components of the same bucket, enough to join them; ``rows``: ``key, node, component`` of mixed buckets.
+
+    ``sets`` gives the full sets of a frame of nodes.
     """
-    # Sets of a linked pair lie in the same class of sizes or in neighbours; a class is a hair wider than the threshold asks for.
-    width = 1.001 * math.log(100 / THRESHOLD)
-    sized = rows.join(nodes.select("node", F.floor(F.log("n") / width).alias("klass")), "node")
-    sized = sized.withColumn("label", F.explode(F.array(F.col("klass"), F.col("klass") + 1)))
-    columns = ["key", "node", "component", "band", "klass", "label"]
-    mixed = cut(_mixed(sized.withColumn("key", F.xxhash64("key", "label")).select(*columns)))
-    before = F.slice("bands", 1, F.col("band")).alias("earlier")
-    tight = mixed.where(F.col("rows") <= small).join(nodes.select("node", "sig", "bands"), "node").select(*columns, "sig", before)
-    found = _pairs_inside(tight)
-    hot = mixed.where(F.col("rows") > small).select("key", "node", "component", "klass", "label")
-    if hot.isEmpty():
-        return found
-
-    low = hot.groupBy("key").agg(F.min("node").alias("b"))
-    star = hot.join(low, "key").where("node > b").select(F.col("node").alias("a"), "b")
+    low = rows.groupBy("key").agg(F.min("node").alias("b"))
+    star = rows.join(low, "key").where("node > b").select(F.col("node").alias("a"), "b")
     clusters = components(star).withColumnRenamed("component", "cluster")
-    members = hot.drop("key").distinct().join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-    members = cut(members)
-    largest = 8 * F.exp(width * (F.col("label") + 1))  # bytes of a set
-    per = F.greatest(F.lit(1), F.least(F.lit(small * depth), F.floor(BLOCK / largest)))
-    blocks = members.groupBy("cluster", "label").agg(F.ceil(F.count(F.lit(1)) / F.first(per)).alias("blocks"))
-    dealt = members.join(blocks, ["cluster", "label"]).withColumn("part", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("blocks", "other")
-    full = sets(members.select("node").distinct())
-    links = _across_blocks(dealt.join(nodes.select("node", "n", "sig"), "node").join(full, "node"))
-    return found.unionByName(links).distinct()
+    members = rows.select("node", "component").distinct().join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    members = cut(members.join(nodes.select("node", "n"), "node"))
+    volume = members.groupBy("cluster").agg((8 * F.sum("n")).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block))
+    little = volume.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+    tasks = 1 + 4 * little // block  # small clusters share tasks of a quarter of a block
+    alone = F.col("blocks") > 1
+    placed = members.join(volume.select("cluster", "blocks"), "cluster")
+    placed = placed.withColumn("part", F.when(alone, F.pmod(F.xxhash64("node"), "blocks")).otherwise(0).cast("bigint"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    share = F.when(alone, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(tasks)))
+    dealt = placed.select("node", "component", "part", share.alias("share"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    full = sets(members.select("node"))
+    return dealt.join(full, "node").groupBy("share", "p", "q").applyInArrow(_links_inside(), "a bigint, b bigint").distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -351,24 +337,23 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return cut(confirmed(pairs, sets(ends)))
 
-    classes = cut(full.groupBy("print").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
-    # One row per class, found by print and id together, so that many copies of a text are spread.
-    named = classes.select(F.col("print").alias("p"), F.col("id").alias("i"), "node")
-    own = full.join(named, (F.col("print") == F.col("p")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "n", "bands", "sig").dropDuplicates(["node"])
+    # The class's row: the smallest id, a null one only where there is no other.
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row")
+    classes = cut(full.groupBy("print").agg(row).select("print", "row.id", "row.text_hash", F.monotonically_increasing_id().alias("node")))
+    # One row per class, found by print, id and text together, so that many copies of a text are spread.
+    named = classes.select(F.col("print").alias("p"), F.col("id").alias("i"), F.col("text_hash").alias("t"), "node")
+    same = (F.col("print") == F.col("p")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t"))
+    own = full.join(named, same).select("node", "n", "bands", "sig").dropDuplicates(["node"])
     nodes = written(own, "near-nodes")
 
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    shared = cut(keyed.join(several, "key").select("key", "band", "node"))
+    shared = cut(keyed.join(several, "key").select("key", "node"))
     label = F.coalesce("component", "node").alias("component")
-    links = joined = None
-    for _ in range(STARS):
-        rest = shared.withColumn("component", F.col("node")) if joined is None else _mixed(shared.join(joined, "node", "left").select("key", "band", "node", label))
-        more = confirm(_alike(_star(rest, links), nodes))
-        links = more if links is None else links.unionByName(more)
-        joined = components(links)
-    rest = cut(_mixed(shared.join(joined, "node", "left").select("key", "band", "node", label)).drop("rows"))
-    more = confirm(_between(rest, nodes, sets=sets))
+    links = confirm(_alike(_star(shared), nodes))
+    joined = components(links)
+    rest = cut(_mixed(shared.join(joined, "node", "left").select("key", "node", label)))
+    more = cut(links_between(rest, nodes, sets))
     if not more.isEmpty():
         joined = components(links.unionByName(more))
     labelled = classes.join(joined, "node", "left").select("print", "id", "node", label)

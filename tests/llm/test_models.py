@@ -227,11 +227,10 @@ def near_fixture():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("small", [1024, 24])
-def test_near_components(spark, monkeypatch, small):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 6_000])
+def test_near_components(spark, monkeypatch, block):
     texts = near_fixture()
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup._between, "__defaults__", (small, near_dedup.DEPTH))
+    monkeypatch.setattr(near_dedup.links_between, "__defaults__", (block,))
     got = near_dedup.near_groups(clash(spark, texts)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == plain_components(texts)
 
@@ -246,41 +245,70 @@ def test_near_on_documents(spark, sf):
     assert sorted(r["doc_id"] for r in kept.collect()) == [w[0] for w in want if w[3]]
 
 
-def near_rows(spark, coordinates, keyed):
-    """Nodes of 100 shingles with these signatures, and their buckets of the bands in ``keyed``."""
-    keys = [near_dedup.band_keys(c).tolist() for c in coordinates]
-    nodes = [(k, 100, b, bytearray(c.astype(np.uint8).tobytes())) for k, (b, c) in enumerate(zip(keys, coordinates, strict=True))]
-    rows = [(b[band], band, k, k) for k, b in enumerate(keys) for band in keyed]
-    return (spark.createDataFrame(rows, "key bigint, band int, node bigint, component bigint"),
-            spark.createDataFrame(nodes, "node bigint, n bigint, bands array<bigint>, sig binary"))
-
-
-def test_near_pair_whose_low_bytes_agree_in_an_earlier_band(spark):
-    rng = np.random.default_rng(5)
-    a = rng.integers(0, 2**32, near_dedup.COORDINATES, dtype=np.uint32)
-    b = a.copy()
-    b[:8] ^= np.uint32(1 << 20)  # the first two bands differ, in their high bytes only
-    c = rng.integers(0, 2**32, near_dedup.COORDINATES, dtype=np.uint32)
-    rows, nodes = near_rows(spark, [a, b, c], range(near_dedup.BANDS))
-    assert [tuple(r) for r in near_dedup._between(rows, nodes).collect()] == [(0, 1)]
-
-
-def test_near_pairs_of_large_buckets(spark):
-    """A pair that shares only the group's band, and of which neither is the smallest node, is found whatever the blocks."""
-    rng = np.random.default_rng(6)
-    coordinates = rng.integers(0, 2**32, (12, near_dedup.COORDINATES), dtype=np.uint32)
-    coordinates[:, : near_dedup.ROWS] = coordinates[0, : near_dedup.ROWS]
-    for a, b in ((5, 8), (9, 11)):  # alike, and one coordinate of every other band differs
-        coordinates[b] = coordinates[a]
-        coordinates[b, near_dedup.ROWS :: near_dedup.ROWS] += np.uint32(1)
-    rows, nodes = near_rows(spark, coordinates, [0])
-    items = {k: rng.integers(0, 2**63, 100, dtype=np.uint64) for k in range(12)}
-    for a, b in ((5, 8), (9, 11)):
-        items[b] = np.concatenate([items[a][:90], items[b][:10]])
-    full = spark.createDataFrame([(k, bytearray(np.sort(x).astype("<u8").tobytes())) for k, x in items.items()], "node bigint, items binary")
-    for depth in (1, 3):
-        got = near_dedup._between(rows, nodes, 2, depth, sets=lambda ends: full.join(ends, "node")).collect()
-        assert sorted(map(tuple, got)) == [(5, 8), (9, 11)]
+def random_sets(rng, groups, size):
+    """Sets that share cores of all shares, and small ones; hashes are sorted and distinct."""
+    sets = []
+    for _ in range(groups):
+        core = rng.integers(0, 2**63, size)
+        for _ in range(rng.integers(1, 9)):
+            keep = core[: int(size * rng.choice([0.3, 0.7, 0.8, 0.85, 0.9, 1.0]))]
+            own = rng.integers(0, 2**63, rng.integers(0, max(2, size // 4)))
+            sets.append(np.unique(np.concatenate([keep, own])).astype(np.uint64))
+    return [x for x in sets if len(x)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 60])
+@pytest.mark.parametrize("meetings", [3, 1 << 20])
+def test_meetings_hold_every_link_between_components(monkeypatch, size, meetings):
+    monkeypatch.setattr(near_dedup, "MEETINGS", meetings)
+    rng = np.random.default_rng(size)
+    sets = random_sets(rng, 25, size)
+    component = rng.integers(0, len(sets) // 2, len(sets))
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if component[a] != component[b] and near_dedup._linked(sets[a], sets[b], 75)}
+    met = {tuple(sorted(p)) for x, y in near_dedup.meetings(sets, component) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert want <= met and (want or size < 8)
+    assert all(component[a] != component[b] for a, b in met)
+    assert size < 8 or len(met) < 2 * len(want) + 40
+
+
+def test_texts_that_share_a_core_hardly_meet():
+    """3,000 texts at a similarity of 0.61: no pair of them is looked at."""
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 2**63, 76)
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 2**63, 24)])).astype(np.uint64) for _ in range(3_000)]
+    assert sum(len(x) for x, _ in near_dedup.meetings(sets, np.arange(3_000))) == 0
+
+
+def test_near_group_of_one_core(spark):
+    """Texts at 0.61 to each other, some of which are near copies of another: components as all pairs have them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    core, texts = [word() for _ in range(150)], []
+    for k in range(400):
+        own = [word() for _ in range(46)]
+        texts.append((k, " ".join(core + own)))
+        if k % 20 == 0:
+            own[rng.randrange(46)] = word()
+            texts.append((1_000 + k, " ".join(core + own)))
+    got = near_dedup.near_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert rows == plain_components(texts)
+    assert sum(r[3] for r in rows) == 400
+
+
+def test_near_many_rows_without_an_id(spark):
+    """Rows are told apart by their texts: 3,000 null ids do not multiply."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [(None, " ".join([*words[:50], str(k % 7), *words[50:]])) for k in range(3_000)] + [(5, " ".join(words))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    ends = docs.select(F.lit(0).cast("bigint").alias("node"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id IS NULL").limit(1)
+    mark = near_dedup._fingerprint(near_dedup.shingles(ends.first()["text"].encode(), near_dedup._Words()))
+    near_dedup.ship(spark)
+    made = near_dedup.item_sets(docs, ends.drop("text").withColumn("print", F.lit(mark)), "doc_id", "text")
+    assert made.count() == 1
+    got = near_dedup.near_groups(docs).collect()
+    assert len(got) == 3_001 and {r["component_id"] for r in got} == {5}
+    assert near_dedup.drop_near(docs).count() == 1
 
 
 def test_near_edges(spark):
