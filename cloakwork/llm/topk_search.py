@@ -1,28 +1,28 @@
 """Exact top-k search by integer inner product, with a dual-tree search over cover trees.
 
-Vectors become ``floor(64 * x)``.  Data and queries are dealt into blocks by hash.  A block is packed
-into bytes once; every pair of a query block and a data block is one small task, in which both sides are
-indexed by a cover tree (centres of a level lie within half the radius of the level above) and
-searched together: a pair of nodes is pruned when
+Vectors become ``floor(64 * x)``.  Data and queries are dealt into blocks by hash, and each block is indexed
+once by a cover tree (centres of a level lie within half the radius of the level above).  A query block meets the data
+blocks ``WAVE`` at a time; a task searches their trees together with its own, the most promising first, and carries the kth
+scores from one to the next.  A pair of nodes is pruned when
 
     <q, x>  <=  <qc, xc> + rq * |xc| + rx * |qc| + rq * rx
 
-is below the worst kth score of the query node's queries.  Each task returns k rows per query,
+is below the worst kth score of the query node's queries.  Each task returns at most k rows per query,
 and a window merges them.  The queries are a stated set, so the work is queries times rows.
 
-Equal vectors are searched once: ids of a vector are cut to the k + 1 smallest before the search, as
-no other can be among the k best (ties go to the smaller id, and a query skips itself).
+Equal vectors are cut before the search to the k + 1 smallest ids, at most k rows of each: no other can
+be among the k best, as ties go to the smaller id and only a query's own id is skipped.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id,
-take no part; vectors of another length than a query's are no candidates of it; ids that repeat are
-candidates each; an empty table gives an empty result.  Components must stay below 2**20 or so in
+take no part; vectors of another length than a query's are no candidates of it; rows of an id that repeats are
+candidates each, but not of a query with that id; an empty table gives an empty result.  Components must stay below 2**20 or so in
 magnitude, so that products are exact in double precision; a larger one raises.  Only the id and
 vector columns are read, so clashing names of others do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +35,7 @@ from cloakwork.llm.common import cut, ship, table
 K = 20
 LEAF = 512
 BLOCK_ROWS = 4096
+WAVE = 8  # data blocks of a task
 EXACT = 2.0**53
 
 
@@ -103,18 +104,28 @@ class _Best:
         self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def dual_tree(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int = K, leaf: int = LEAF) -> _Best:
-    """Exact k best points per query by inner product, ties to the smaller id, without the query's own id."""
-    best = _Best(len(queries), k)
-    if not len(queries) or not len(points):
-        return best
-    q_tree = cover_tree(queries, np.arange(len(queries)), leaf)
-    x_tree = cover_tree(points, np.arange(len(points)), leaf)
+@dataclass
+class Indexed:
+    """The vectors of a block, their ids, and their cover tree."""
+
+    ids: np.ndarray
+    points: np.ndarray
+    tree: Node
+
+
+def indexed(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Indexed:
+    return Indexed(ids, points, cover_tree(points, np.arange(len(points)), leaf))
+
+
+def bound(q: Node, x: Node) -> float:
+    """The largest product of any two points below, and a hair more for what rounding may take from it."""
+    b = float(q.centre @ x.centre) + q.radius * x.norm + x.radius * q.norm + q.radius * x.radius
+    return b + 1e-9 * (abs(b) + 1)
 
-    def bound(q: Node, x: Node) -> float:
-        # A hair more than the bound, for what rounding may take from it.
-        b = float(q.centre @ x.centre) + q.radius * x.norm + x.radius * q.norm + q.radius * x.radius
-        return b + 1e-9 * (abs(b) + 1)
+
+def dual_tree(wanted: Indexed, data: Indexed, best: _Best) -> None:
+    """Offer to ``best`` all points that belong to the exact k best by inner product, ties to the smaller id, without a query's own id."""
+    queries, query_ids, points, ids = wanted.points, wanted.ids, data.points, data.ids
 
     def search(q: Node, x: Node) -> None:
         if bound(q, x) < best.worst(q.rows):
@@ -137,17 +148,24 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, id
             for child in q.children:
                 search(child, x)
 
-    search(q_tree, x_tree)
-    return best
+    search(wanted.tree, data.tree)
 
 
-def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
-    out = np.frombuffer(b"".join(blobs), np.float64).reshape(-1, dim)
-    if len(out) and dim * float(np.abs(out).max()) ** 2 >= EXACT:
+def _matrix(vectors: list[str], dim: int) -> np.ndarray:
+    out = np.array([v.split(",") for v in vectors], np.float64) if dim else np.zeros((len(vectors), 0))
+    if out.size and dim * float(np.abs(out).max()) ** 2 >= EXACT:
         raise ValueError("components are too large for exact products in double precision")
     return out
 
 
+def _merged(wanted: Indexed, blocks: list[Indexed], k: int) -> _Best:
+    """The k best of all blocks, those with the highest bound first."""
+    best = _Best(len(wanted.ids), k)
+    for data in sorted(blocks, key=lambda x: -bound(wanted.tree, x.tree)):
+        dual_tree(wanted, data, best)
+    return best
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``vectors`` (``id, vec``; see :func:`usable`) to ``query_id, rank, vec_id, score``.
 
@@ -156,46 +174,46 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, block_rows: int = BL
     ship(vectors.sparkSession)
     vectors = cut(vectors.withColumn("dim", F.size("vec")).withColumn("vec", F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), ",")))
     # Equal vectors: the k + 1 smallest ids, found without bringing all copies together.
-    by_vector = Window.partitionBy("vec", "salt").orderBy("id", "copy")
     salted = vectors.withColumn("copy", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
-    few = salted.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
-    again = Window.partitionBy("vec").orderBy("id", "copy")
-    data = few.withColumn("r", F.row_number().over(again)).where(F.col("r") <= k + 1).select("id", "dim", "vec")
+    nth = F.row_number().over(Window.partitionBy("vec", "salt", "id").orderBy("copy"))
+    few = salted.withColumn("c", nth).where(F.col("c") <= k)
+    for same in (["vec", "salt"], ["vec"]):
+        few = few.withColumn("r", F.dense_rank().over(Window.partitionBy(*same).orderBy("id"))).where(F.col("r") <= k + 1)
+    data = few.select("id", "dim", "vec")
     queries = vectors.where(is_query).select("id", "dim", "vec").dropDuplicates(["id", "vec"])
     n_data, n_query = vectors.count(), queries.count()
     data_blocks, query_blocks = max(1, -(-n_data // block_rows)), max(1, -(-n_query // block_rows))
 
     def packed(frame: DataFrame, blocks: int, key: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for (block, dim), part in batch.groupby(["block", "dim"], sort=False):
-                    matrix = np.array([np.array(v.split(","), np.float64) if v else np.zeros(0) for v in part["vec"]])
-                    yield pd.DataFrame({key: [block], "dim": [dim], "ids": [part["id"].to_numpy(np.int64).tobytes()], "blob": [matrix.tobytes()]})
+        """Blocks with their trees, built once."""
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            block, dim = int(pdf["block"].iloc[0]), int(pdf["dim"].iloc[0])
+            whole = indexed(pdf["id"].to_numpy(np.int64), _matrix(list(pdf["vec"]), dim))
+            return pd.DataFrame({key: [block], "dim": [dim], "blob": [pickle.dumps(whole, protocol=5)]})
 
         dealt = frame.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int"))
-        return dealt.select("block", "dim", "id", "vec").mapInPandas(run, f"{key} int, dim int, ids binary, blob binary")
+        return dealt.select("block", "dim", "id", "vec").groupBy("block", "dim").applyInPandas(run, f"{key} int, dim int, blob binary")
 
-    # Packed blocks meet in pairs: each data part is sent to every query block, each query part to every data block.
+    # Indexed blocks meet: each data block is sent to every query block, each query block to every wave of data blocks.
+    waves = -(-data_blocks // WAVE)
     d = packed(data, data_blocks, "db").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(0).alias("side"))
+        F.pmod("db", F.lit(waves)).alias("wave"), "dim", "blob", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(0).alias("side"))
     q = packed(queries, query_blocks, "qb").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db"), F.lit(1).alias("side"))
-    columns = ["db", "qb", "dim", "side", "ids", "blob"]
+        "qb", "dim", "blob", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))).alias("wave"), F.lit(1).alias("side"))
+    columns = ["wave", "qb", "dim", "side", "blob"]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        dim = int(pdf["dim"].iloc[0])
-        sides = []
-        for side in (0, 1):
-            part = pdf[pdf["side"] == side]
-            ids = np.frombuffer(b"".join(part["ids"]), np.int64)
-            sides.append((ids, _matrix(list(part["blob"]), dim) if dim else np.zeros((len(ids), 0))))
-        (ids, points), (query_ids, wanted) = sides
-        best = dual_tree(wanted, query_ids, points, ids, k)
-        row, at = np.nonzero(best.id != np.iinfo(np.int64).max)
-        found = {"query_id": query_ids[row], "vec_id": best.id[row, at], "score": best.score[row, at].astype(np.int64)}
-        return pd.DataFrame(found)
-
-    partial = d.select(*columns).unionByName(q.select(*columns)).groupBy("db", "qb", "dim").applyInPandas(
+        blocks, wanted = ([pickle.loads(x) for x in pdf["blob"][pdf["side"] == side]] for side in (0, 1))
+        rows: list[tuple] = []
+        for one in wanted:  # one at most
+            best = _merged(one, blocks, k)
+            row, at = np.nonzero(best.id != np.iinfo(np.int64).max)
+            rows.append((one.ids[row], best.id[row, at], best.score[row, at].astype(np.int64)))
+        query_id, vec_id, score = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+        return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "score": score})
+
+    partial = d.select(*columns).unionByName(q.select(*columns)).groupBy("wave", "qb", "dim").applyInPandas(
         search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
