@@ -1,10 +1,15 @@
 """URL filter: a rule list, and an empirical-Bayes reputation of hosts for what no rule decides.
 
-Labelled outcomes (good or bad pages) are counted per host.  A host's bad rate is shrunk towards
+Page outcomes (good or bad) are counted per host.  A host's bad rate is shrunk towards
 its registered domain's, that towards its suffix's, and that towards the rate of all pages, each
-step a beta-binomial prior whose strength is fitted by moments to how much the children differ.  A
+step a beta-binomial prior whose strength is fitted by moments to how much the children differ.  A strength that
+``k`` children suggest is no surer than ``k``, so it is cut there: a few suffixes cannot make one sure of another.  A
 page is blocked where the lower bound of its host's posterior (mean less ``z`` deviations) is above
-``threshold``; a host with few or no outcomes keeps a wide posterior and is allowed.
+``threshold``; a host with few or no outcomes keeps a wide posterior and is allowed, and so is every host
+of a suffix without any outcome.
+
+Outcomes are a label column of the caller.  Without one, the rules are the labels: a page that a rule blocks is bad, and every other page
+of a host is a trial that is not, since a list of rules names what is bad and is silent on the rest.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; such pages share the
 empty host.  Null labels are no outcomes.  Without any outcome the rate of all pages is one half
@@ -19,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import LOWER, UPPER, lower_az, table
+from cloakwork.llm.common import LOWER, UPPER, cut, lower_az, table
 
 STRENGTH = (1.0, 1000.0)  # bounds of a prior's strength, in pages
 
@@ -69,49 +74,68 @@ def _strength(children: DataFrame, name: str) -> DataFrame:
     p = F.col("bad") / F.col("n")
     within = p * (1 - p)
     spread = (F.col("q") - p * F.col("bad") - (F.col("k") - 1) * within) / (F.col("n") - F.col("nn") / F.col("n"))
-    low, high = STRENGTH
+    low, high = F.lit(STRENGTH[0]), F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.col("k").cast("double")))
     fitted = F.when((F.col("n") > F.col("nn") / F.col("n")) & (spread > 0), within / spread - 1).otherwise(high)
-    return s.select(F.coalesce(F.least(F.greatest(fitted, F.lit(low)), F.lit(high)), F.lit(high)).alias(name))
+    return s.select(F.coalesce(F.least(F.greatest(fitted, low), high), low).alias(name))
+
+
+def domain_and_suffix(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """Registered domain and suffix: the longest of ``suffixes`` (such as ``co.uk``) that the host ends with, else its last label,
+    and one label more.  The list is a constant of the plan: for short lists.
+    """
+    labels = F.lit(1)
+    for suffix in sorted(suffixes, key=lambda x: (x.count("."), x)):
+        labels = F.when((host == suffix) | host.endswith("." + suffix), F.lit(suffix.count(".") + 1)).otherwise(labels)
+    last = F.element_at(F.split(host, r"\."), -1)
+    if not suffixes:
+        return F.substring_index(host, ".", -2), last
+    parts = F.split(host, r"\.")
+
+    def tail(n: Column) -> Column:
+        return F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - n + 1), n), ".")
+
+    return tail(labels + 1), tail(labels)
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """``outcomes`` (host, bad 0/1/null; every host of interest at least once) to one row per host:
-    ``host, n, bad, mean, lower`` of the posterior of its bad rate.
+    ``host, n, bad, known, mean, lower`` of the posterior of its bad rate.  ``known``: outcomes in its suffix.
     """
-    hosts = (
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    # Written once, as every level and strength reads it: a row per host.
+    hosts = cut(
         outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("bad"))
-        .withColumn("domain", F.substring_index("host", ".", -2))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
+        .withColumns({"domain": domain, "suffix": suffix})
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    every = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("rate"))
+    ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    every = ends.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("rate"))
     # Each of these frames is a single row by construction.
     scalars = (
-        every.crossJoin(_strength(suffixes, "k_suffix")).crossJoin(_strength(domains, "k_domain"))
+        every.crossJoin(_strength(ends, "k_suffix")).crossJoin(_strength(domains, "k_domain"))
         .crossJoin(_strength(hosts, "k_host"))
     )
-    s = suffixes.crossJoin(F.broadcast(scalars)).select(
-        "suffix", "k_domain", "k_host",
+    s = ends.crossJoin(F.broadcast(scalars)).select(
+        "suffix", "k_domain", "k_host", F.col("n").alias("known"),
         ((F.col("bad") + F.col("k_suffix") * F.col("rate")) / (F.col("n") + F.col("k_suffix"))).alias("p_suffix"),
     )
     d = domains.join(s, "suffix").select(
-        "domain", "k_host",
+        "domain", "suffix", "k_host", "known",
         ((F.col("bad") + F.col("k_domain") * F.col("p_suffix")) / (F.col("n") + F.col("k_domain"))).alias("p_domain"),
     )
     a = F.col("bad") + F.col("k_host") * F.col("p_domain")
     total = F.col("n") + F.col("k_host")
-    h = hosts.join(d, "domain").select("host", "n", "bad", (a / total).alias("mean"), total.alias("total"))
+    h = hosts.join(d, ["domain", "suffix"]).select("host", "n", "bad", "known", (a / total).alias("mean"), total.alias("total"))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("total") + 1))
-    return h.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("lower"))
+    return h.select("host", "n", "bad", "known", "mean", (F.col("mean") - z * sd).alias("lower"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], bad: Column | None = None, id_col: str = "page_id",
-               url_col: str = "url", threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+               url_col: str = "url", threshold: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = ()) -> DataFrame:
     """``id_col, host, path, rule, verdict, lower`` per page.
 
-    ``bad``: a 0/1/null column of ``pages`` with the labelled outcomes; by default the verdicts of
-    the rules are the labels.
+    ``bad``: a 0/1/null column of ``pages`` with the labelled outcomes; by default pages that a rule blocks are bad
+    and all others are not.
     """
     label = F.lit(None).cast("int") if bad is None else bad.cast("int")
     urls = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), label.alias("label"))
@@ -119,16 +143,16 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], bad: Column | None = Non
     parsed = urls.select("id", "label", host.alias("host"), path.alias("path"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     ruled = parsed.select("id", "label", "host", "path", name.alias("rule"), verdict.alias("by_rule"))
-    outcome = F.col("label") if bad is not None else (F.col("by_rule") == "block").cast("int")
-    known = reputations(ruled.select("host", outcome.alias("bad")), z).select("host", "lower")
-    by_method = F.when(F.col("lower") > threshold, "block").otherwise("allow")
-    return ruled.join(known, "host", "left").select(
+    outcome = F.col("label") if bad is not None else F.coalesce(F.col("by_rule") == "block", F.lit(False)).cast("int")
+    found = reputations(ruled.select("host", outcome.alias("bad")), z, suffixes).select("host", "known", "lower")
+    by_method = F.when((F.col("known") > 0) & (F.col("lower") > threshold), "block").otherwise("allow")
+    return ruled.join(found, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "lower"
     )
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page url judged; pages that a rule decides are the labelled outcomes."""
+    """Every page url judged; pages that a rule blocks are the bad outcomes of their host, all others the good ones."""
     return judge_urls(table(spark, sf_dir, "pages"), RULES).drop("lower")
 
 
@@ -137,11 +161,12 @@ def _oracle() -> str:
     fits = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '" for r in rules]
     name = "CASE " + " ".join(f"{f}{r.name}'" for f, r in zip(fits, rules, strict=True)) + " END"
     verdict = "CASE " + " ".join(f"{f}{r.verdict}'" for f, r in zip(fits, rules, strict=True)) + " END"
-    low, high = STRENGTH
+    low = STRENGTH[0]
+    high = f"greatest({low}, least({STRENGTH[1]}, k))"
 
     def strength(level: str) -> str:
         return f"""(SELECT coalesce(CASE WHEN n > nn / n AND (q - p * bad - (k - 1) * p * (1 - p)) / (n - nn / n) > 0
- THEN least(greatest(p * (1 - p) / ((q - p * bad - (k - 1) * p * (1 - p)) / (n - nn / n)) - 1, {low}), {high}) ELSE {high} END, {high})
+ THEN least(greatest(p * (1 - p) / ((q - p * bad - (k - 1) * p * (1 - p)) / (n - nn / n)) - 1, {low}), {high}) ELSE {high} END, {low})
  FROM (SELECT *, bad / n AS p FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS k,
  sum(bad * bad / n) AS q, sum(n * n)::DOUBLE AS nn FROM {level} WHERE n > 0)))"""
 
@@ -152,7 +177,7 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{L
  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 ruled AS (SELECT *, {name} AS rule, {verdict} AS by_rule FROM p),
 hosts AS (SELECT host, regexp_extract(host, '[^.]*(\\.[^.]*)?$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
- count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad FROM ruled GROUP BY ALL),
+ count(*) AS n, count(*) FILTER (by_rule = 'block') AS bad FROM ruled GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 s AS (SELECT suffix, (bad + ks * rate) / (n + ks) AS p_suffix
