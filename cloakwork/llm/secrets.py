@@ -1,12 +1,17 @@
 """Secret scan: three fixed patterns, and sliding-window entropy of candidate strings.
 
-Candidates are runs of base64-like characters.  Each belongs to a character class (hexadecimal, or
-mixed: lower case, upper case and digits together); others are no candidates.  A window of ``WINDOW``
-characters slides over the candidate; counts per character are updated by the character that comes
+Candidates are runs of base64-like characters.  Each belongs to a character class, by the kinds of letters and
+digits in it: hexadecimal, mixed (lower case, upper case and digits), lower case or upper case with digits (which holds
+base32), letters of both cases, letters of one case, digits.  A window of ``WINDOW``
+characters slides over the candidate; counts per character, packed into a few numbers, are updated by the character that comes
 and the one that goes, and with them the sum of ``c * log2(c)`` that gives the Shannon entropy.  The span runs
-from the first window above the threshold of its class to the last.  Candidates that an allow-list
+from the first window above the threshold of its class to the last.  A candidate with fewer different
+characters than any such window needs is not walked through.  Candidates that an allow-list
 pattern matches as a whole are left out; the patterns for paths and examples count only if all parts are words.
 
+Letters of one case are what ordinary long words are made of, so their threshold is one that few random strings reach either;
+digits alone carry too little to tell a secret from a number, and have none.
+
 Everything happens inside the row, on native columns, so nothing is shuffled.  Offsets are in code points.
 
 Defined cases: a null or empty text has no spans; a text may be of any length; repeated rows are
@@ -21,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.functions.arrays import let
 from cloakwork.llm.common import table, text_or_empty
 from cloakwork.operators.settle import settle
 
@@ -36,7 +42,7 @@ LONG_RUNS = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
 
 WINDOW = 20
 ALPHABET = "A-Za-z0-9+/_=-"
-THRESHOLDS = {"hex": 2.9, "mixed": 3.75}  # bits a character
+THRESHOLDS = {"hex": 2.9, "mixed": 3.75, "lower_digits": 3.6, "upper_digits": 3.6, "letters": 3.85, "one_case": 4.05}  # bits a character
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
     r".*(?i:example|sample|placeholder|changeme).*",
@@ -47,6 +53,7 @@ ALLOWED = (
 # These two say little of a run that holds a random part, so they count only where every part between
 # '/', '_' and '-' is a word, a short number or a placeholder.
 LOOSE = ALLOWED[1:3]
+HEX = "^(?:[0-9a-f]+|[0-9A-F]+)$"
 _WORD = r"(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})[0-9]{0,4}|[0-9]{1,8}|[A-Za-z0-9]{0,8}(?i:example|sample|placeholder|changeme)[A-Za-z0-9]{0,8})"
 WORDS = rf"^[/_-]*+(?:{_WORD}(?:[/_-]++|$))++$"
 
@@ -82,27 +89,65 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def char_class(run: Column) -> Column:
+    """The class of a run, or null where it has no threshold.  Written for SQL too (see :func:`_class_sql`)."""
+    lower, upper, digit = run.rlike("[a-z]"), run.rlike("[A-Z]"), run.rlike("[0-9]")
+    return (
+        F.when(run.rlike(HEX) & digit & (lower | upper), "hex")
+        .when(lower & upper & digit, "mixed")
+        .when(lower & digit, "lower_digits")
+        .when(upper & digit, "upper_digits")
+        .when(lower & upper, "letters")
+        .when(lower | upper, "one_case")
+    )
+
+
+def _class_sql(run: str) -> str:
+    def has(pattern: str) -> str:
+        return f"regexp_matches({run}, '{pattern}')"
+
+    lower, upper, digit = has("[a-z]"), has("[A-Z]"), has("[0-9]")
+    return (f"CASE WHEN {has(HEX)} AND {digit} AND ({lower} OR {upper}) THEN 'hex' WHEN {lower} AND {upper} AND {digit} THEN 'mixed' WHEN {lower} AND {digit} THEN 'lower_digits' "
+            f"WHEN {upper} AND {digit} THEN 'upper_digits' WHEN {lower} AND {upper} THEN 'letters' WHEN {lower} OR {upper} THEN 'one_case' END")
+
+
 def window_hull(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """``struct<first, last>``: start of the first and end of the last window whose entropy reaches the threshold, or nulls."""
-    letters = F.split(candidate, "")
-    low, size = 43, 80  # '+' to 'z'
+    """``struct<first, last>``: start of the first and end of the last window whose entropy reaches the threshold, or nulls.
+
+    Counts are packed, twelve to a number, so a step rewrites seven numbers whatever the window.
+    """
+    if window >= 32:
+        raise ValueError("a count has five bits")
+    low, packs, per = 43, 7, 12  # '+' to 'z'
     weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
     start = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
+        F.array_repeat(F.lit(0).cast("bigint"), packs).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
 
-    def step(s: Column, ch: Column) -> Column:
-        come = F.ascii(ch) - low
-        gone = F.when(s["i"] >= window, F.ascii(F.get(letters, s["i"] - window)) - low).otherwise(-1)
-        same = come == gone
-        more, less = F.get(s["counts"], come), F.get(s["counts"], gone)
+    def pack(ch: Column) -> Column:
+        return F.floor(ch / per).cast("int")
+
+    def count(counts: Column, ch: Column) -> Column:
+        shifted = F.call_function("shiftright", F.get(counts, pack(ch)), 5 * F.pmod(ch, F.lit(per)))
+        return shifted.bitwiseAND(F.lit(31).cast("bigint"))
+
+    def one(ch: Column, k: Column) -> Column:
+        unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), 5 * F.pmod(ch, F.lit(per)))
+        return F.when(pack(ch) == k, unit).otherwise(F.lit(0).cast("bigint"))
+
+    def step(s: Column, x: Column) -> Column:
+        come = F.ascii(x["come"]) - low
+        leaves = s["i"] >= window
+        gone = F.when(leaves, F.ascii(x["gone"]) - low).otherwise(0)
+        same = leaves & (come == gone)
+        more, less = count(s["counts"], come), count(s["counts"], gone)
         change = F.when(same, 0.0).otherwise(
-            weight(more + 1) - weight(more) + F.when(gone >= 0, weight(less - 1) - weight(less)).otherwise(0.0)
+            weight(more + 1) - weight(more) + F.when(leaves, weight(less - 1) - weight(less)).otherwise(0.0)
         )
         total = s["sum"] + change
         counts = F.when(same, s["counts"]).otherwise(
-            F.transform(s["counts"], lambda c, k: c + F.when(k == come, 1).when(k == gone, -1).otherwise(0))
+            F.transform(s["counts"], lambda c, k: c + one(come, k) - F.when(leaves, one(gone, k)).otherwise(F.lit(0).cast("bigint")))
         )
         full = s["i"] + 1 >= window
         high = full & (F.lit(math.log2(window)) - total / window >= threshold)
@@ -112,22 +157,34 @@ def window_hull(candidate: Column, threshold: Column, window: int = WINDOW) -> C
             F.when(high, s["i"] + 1).otherwise(s["last"]).alias("last"),
         )
 
-    return F.aggregate(letters, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def walk(letters: Column) -> Column:
+        # Each character beside the one that leaves the window when it comes.
+        behind = F.concat(F.array_repeat(F.lit(""), window), letters)
+        items = F.slice(F.arrays_zip(letters.alias("come"), behind.alias("gone")), F.lit(1), F.size(letters))
+        return F.aggregate(items, start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    return let(F.split(candidate, ""), walk)
 
 
 def entropy_spans(text: Column, order: int, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Spans of kind ``entropy``."""
     pattern = rf"(?<![{ALPHABET}])[{ALPHABET}]{{{WINDOW},}}+"
     runs = _spans(text, "entropy", order, pattern, 0, WINDOW)
-    is_hex = lambda c: c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & c.rlike("[a-fA-F]") & c.rlike("[0-9]")
-    mixed = lambda c: c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
     whole = lambda patterns: "^(?:" + "|".join(patterns) + ")$" if patterns else "^$"
     strict, loose = ([a for a in allowed if (a in LOOSE) == kind] for kind in (False, True))
     listed = lambda c: c.rlike(whole(strict)) | (c.rlike(whole(loose)) & c.rlike(WORDS))
-    runs = F.filter(runs, lambda r: (is_hex(r["found"]) | mixed(r["found"])) & ~listed(r["found"]))
-    hulls = F.transform(runs, lambda r: F.struct(
-        r.alias("run"),
-        window_hull(r["found"], F.when(is_hex(r["found"]), THRESHOLDS["hex"]).otherwise(THRESHOLDS["mixed"])).alias("hull")))
+
+    def least(run: Column) -> Column:
+        kind, out = char_class(run), F.lit(None).cast("double")
+        for name, bits in THRESHOLDS.items():
+            out = F.when(kind == name, bits).otherwise(out)
+        return out
+
+    # A window of n bits holds 2**n different characters at least.
+    rich = lambda c, bits: F.size(F.array_distinct(F.split(c, ""))) >= F.pow(F.lit(2.0), bits)
+    classed = F.transform(runs, lambda r: F.struct(r.alias("run"), least(r["found"]).alias("bits")))
+    classed = F.filter(classed, lambda x: rich(x["run"]["found"], x["bits"]) & ~listed(x["run"]["found"]))
+    hulls = F.transform(classed, lambda x: F.struct(x["run"].alias("run"), window_hull(x["run"]["found"], x["bits"]).alias("hull")))
     hulls = F.filter(hulls, lambda h: h["hull"]["first"].isNotNull())
     spans = F.transform(hulls, lambda h: F.struct(
         (h["run"]["start"] + h["hull"]["first"]).alias("start"), F.lit(order).alias("order"), F.lit("entropy").alias("kind"),
@@ -171,19 +228,19 @@ def _oracle() -> str:
             f"(SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS m, regexp_split_to_array(t, '{p}') AS g, "
             f"regexp_extract_all(t, '{p}', {group}) AS c FROM d)"
         )
-    allowed = "|".join(ALLOWED).replace("'", "''")
+    strict, loose = ("|".join(a for a in ALLOWED if (a in LOOSE) == kind).replace("'", "''") for kind in (False, True))
+    words = WORDS.replace("*+", "*").replace("++", "+")  # nothing that a possessive loop takes could be given back
+    bits = " ".join(f"WHEN '{name}' THEN {least}" for name, least in THRESHOLDS.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 hits AS ({' UNION ALL '.join(parts)}),
 placed AS (SELECT doc_id, o, kind, m[i] AS found,
  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
  FROM hits WHERE length(c[i]) >= least),
-cand AS (SELECT *, (regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+') AND regexp_matches(found, '[a-fA-F]') AND regexp_matches(found, '[0-9]')) AS hex,
- (regexp_matches(found, '[a-z]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[0-9]')) AS mixed
- FROM placed WHERE kind = 'run'),
+cand AS (SELECT *, CASE {_class_sql('found')} {bits} END AS bits FROM placed WHERE kind = 'run'),
 wins AS (SELECT doc_id, s, list_filter(range(0, length(found) - {WINDOW} + 1),
- lambda k: list_aggregate(string_split(substr(found, k + 1, {WINDOW}), ''), 'entropy') >= CASE WHEN hex THEN {THRESHOLDS['hex']} ELSE {THRESHOLDS['mixed']} END) AS w
- FROM cand WHERE (hex OR mixed) AND NOT regexp_full_match(found, '{allowed}')),
+ lambda k: list_aggregate(string_split(substr(found, k + 1, {WINDOW}), ''), 'entropy') >= bits) AS w
+ FROM cand WHERE bits IS NOT NULL AND NOT regexp_full_match(found, '{strict}') AND NOT (regexp_full_match(found, '{loose}') AND regexp_matches(found, '{words}'))),
 spans AS (SELECT doc_id, o, kind, s, s + length(found) AS e FROM placed WHERE kind <> 'run'
  UNION ALL SELECT doc_id, 3, 'entropy', s + w[1], s + w[-1] + {WINDOW} FROM wins WHERE len(w) > 0),
 agg AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
