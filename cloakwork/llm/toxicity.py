@@ -2,16 +2,18 @@
 
 A text is the set of its lower-cased words without outer punctuation, hashed into ``BUCKETS`` terms.
 The score is ``sigmoid(bias + sum of weights + sum over pairs of <v_i, v_j>)``, so two terms can mean
-more together than apart, such as an insult with a group.  Terms are first screened by a sparse linear
-fit (FTRL with an L1 penalty); pair vectors are learned for the terms that survive.
+more together than apart, such as an insult with a group.  Pair vectors are learned for two kinds of terms: those that
+survive a sparse linear fit (FTRL with an L1 penalty), and those of pairs whose presence together changes the label by more than
+``PAIR_Z`` deviations, whatever either says alone.  For the second, all pairs of the ``PAIR_TERMS`` terms of largest variance
+in the training rows are tried.
 
 Training reads at most ``per_class`` labelled rows of each class, those whose hashed ids are smallest,
 weighted so that the classes keep their shares; the hashed terms of these rows are all that reaches
 the driver.  Scoring is a map over all rows, with whole texts.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias; null labels and ids
-are not trained on; repeated labels of an id count once, as the larger; repeated documents are scored
-each; without labelled rows every score is 0.  Only the id and text columns are read, so clashing
+are not trained on; repeated labels of an id count once, as the larger; of documents that share an id the one with the smallest terms
+is learned from; repeated documents are scored each; without labelled rows every score is 0.  Only the id and text columns are read, so clashing
 names of others do not matter.
 """
 
@@ -32,6 +34,7 @@ BUCKETS = 1 << 18
 RANK = 8
 PER_CLASS = 10_000
 THRESHOLD = 0.7
+PAIR_TERMS, PAIR_Z, PAIR_SUPPORT = 1_500, 6.0, 20
 _OUTER = b" .,;:!?\"'()[]{}<>*_#$%&|/\\-"
 
 
@@ -113,6 +116,31 @@ def _screen(rows: list[np.ndarray], y: np.ndarray, c: np.ndarray, rng: np.random
     return bias, w
 
 
+def interactions(rows: list[np.ndarray], y: np.ndarray, size: int = PAIR_TERMS, least: float = PAIR_Z) -> list[tuple[int, int, float]]:
+    """Pairs of buckets with their deviations, the strongest first: how far labels differ from their mean where both occur or both lack."""
+    counts = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64), minlength=BUCKETS)
+    share = counts / max(1, len(rows))
+    often = np.flatnonzero((counts >= PAIR_SUPPORT) & (len(rows) - counts >= PAIR_SUPPORT))
+    chosen = often[np.lexsort((often, -(share * (1 - share))[often]))][:size]
+    if len(chosen) < 2:
+        return []
+    place = np.full(BUCKETS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    p, off = share[chosen], y - y.mean()
+    together = np.zeros((len(chosen), len(chosen)))
+    for at in range(0, len(rows), 2_000):
+        part = rows[at : at + 2_000]
+        x = np.tile(-p.astype(np.float32), (len(part), 1))
+        for k, row in enumerate(part):
+            have = place[row]
+            x[k, have[have >= 0]] += 1
+        together += x.T @ (x * off[at : at + len(part), None].astype(np.float32))
+    z = np.triu(together / np.sqrt(len(rows) * np.outer(p * (1 - p), p * (1 - p)) * max(y.var(), 1e-12)), 1)
+    a, b = np.nonzero(np.abs(z) >= least)
+    order = np.argsort(-np.abs(z[a, b]), kind="stable")
+    return [(int(chosen[i]), int(chosen[j]), float(z[i, j])) for i, j in zip(a[order], b[order], strict=True)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None = None, rank: int = RANK,
         epochs: int = 30, rate: float = 0.5, l2: float = 1e-3, seed: int = 7) -> Machine:
     """Train on sets of buckets and 0/1 labels."""
@@ -124,11 +152,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | None =
         bias = -40.0 if not len(y) or y.max() == 0 else 40.0
         return Machine(bias, index, np.zeros(1), np.zeros((1, rank)))
     bias, w = _screen(rows, y, c, rng)
-    active = np.flatnonzero(w)
+    found = interactions(rows, y)
+    active = np.union1d(np.flatnonzero(w), np.array([t for a, b, _ in found for t in (a, b)], np.int64))
     m = len(active)
     index[:] = m
     index[active] = np.arange(m)
     weights_, pairs = np.concatenate([w[active], [0.0]]), np.concatenate([rng.normal(0, 0.05, (m, rank)), np.zeros((1, rank))])
+    for k, (a, b, z) in enumerate(found[:rank]):  # the strongest begin on their side
+        pairs[index[a], k % rank] += 0.3
+        pairs[index[b], k % rank] += 0.3 * np.sign(z)
     kept = [index[r] for r in rows]
     kept = [k[k < m] for k in kept]
     gw, gv, gb = np.full(m + 1, 1e-2), np.full((m + 1, rank), 1e-2), 1.0
@@ -177,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label_col: str
     chosen = texts.join(F.broadcast(sample), "id")  # twice ``per_class`` ids at most
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = chosen.select("id", "label", "text").mapInArrow(run, f"id {id_type}, label int, terms binary")
-    found = sorted(rows.dropDuplicates(["id"]).collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    one = rows.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("r")).select("id", "r.label", "r.terms")
+    found = sorted(one.collect(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     y = np.array([r["label"] for r in found], float)
     share = {k: n / max(1, (y == k).sum()) for k, n in counts.items()}
     c = np.array([share[int(v)] for v in y])

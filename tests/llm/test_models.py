@@ -330,6 +330,41 @@ def test_circulant_minhash_estimates_jaccard():
         assert abs(np.mean(agree) - share) < 0.03
 
 
+def pair_rows(rng, n, label, noise=300):
+    rows, y = [], []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.unique(np.concatenate([rng.integers(100, 100 + noise, 12), [11] * a, [22] * b])).astype(np.int32))
+        y.append(int(label(a, b)))
+    return rows, np.array(y)
+
+
+def logits_of(machine, rows):
+    return machine.logits(np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a == b, lambda a, b: a != b])
+def test_pairs_of_neutral_terms_are_learned(label):
+    """Neither term says anything alone, so no additive weight could find them."""
+    rng = np.random.default_rng(1)
+    rows, y = pair_rows(rng, 4_000, label)
+    assert max(abs(np.mean([v for r, v in zip(rows, y, strict=True) if t in r]) - y.mean()) for t in (11, 22)) < 0.05
+    machine = toxicity.fit(rows[:3_000], y[:3_000])
+    assert ((logits_of(machine, rows[3_000:]) > 0) == (y[3_000:] == 1)).mean() > 0.95
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    rows, y = pair_rows(rng, 600, lambda a, b: a and b)
+    machine = toxicity.fit(rows, y)
+    assert len(machine.weights) > 2
+    for row, got in zip(rows[:50], logits_of(machine, rows[:50]), strict=True):
+        at = [machine.index[t] for t in row]
+        want = machine.bias + sum(machine.weights[i] for i in at) + sum(machine.pairs[i] @ machine.pairs[j] for i, j in combinations(at, 2))
+        assert abs(got - want) < 1e-8
+    assert toxicity.interactions(rows[:10], y[:10]) == [] and toxicity.interactions([], np.zeros(0)) == []
+
+
 def test_pairs_of_terms_are_learned():
     rng = np.random.default_rng(0)
     insult, group = 11, 22  # toxic only together
@@ -390,7 +425,9 @@ def test_dual_tree_prunes_and_is_exact(dim):
     rng = np.random.default_rng(dim)
     points = rng.integers(-40, 40, (3000, dim)).astype(float)
     queries = points[::50]
-    best = topk_search.dual_tree(queries, np.arange(0, 3000, 50), points, np.arange(3000), 5, leaf=16)
+    wanted = topk_search.indexed(np.arange(0, 3000, 50), queries, 16)
+    blocks = [topk_search.indexed(np.arange(3000)[part], points[part], 16) for part in np.array_split(rng.permutation(3000), 4)]
+    best = topk_search._merged(wanted, blocks, 5)
     for n, q in enumerate(queries):
         order = sorted((-(points[i] @ q), i) for i in range(3000) if i != 50 * n)[:5]
         assert [(-s, i) for s, i in order] == list(zip(best.score[n], best.id[n], strict=True))
@@ -404,6 +441,20 @@ def test_dual_tree_prunes_and_is_exact(dim):
     spans(topk_search.cover_tree(points, np.arange(3000), 16))
 
 
+def test_repeated_rows_of_an_id_take_no_place(spark):
+    """Id 0 ten times and ids 1 to 39, all with one vector, then others: nobody is lost to copies of the query."""
+    rows = [(0, [1.0, 2.0])] * 10 + [(i, [1.0, 2.0]) for i in range(1, 40)] + [(i, [0.5, 0.25]) for i in range(100, 140)]
+    rows += [(20, [1.0, 2.0])] * 30  # more copies of one id than places
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = topk_search.top_k(topk_search.usable(df), F.col("id") % 20 == 0, block_rows=16)
+    by = defaultdict(list)
+    for r in got.orderBy("query_id", "rank").collect():
+        by[r["query_id"]].append((r["vec_id"], r["score"]))
+    same = 64 * 64 + 128 * 128
+    assert by[0] == [(i, same) for i in range(1, 20)] + [(20, same)]
+    assert by[20] == [(0, same)] * 10 + [(i, same) for i in range(1, 11)]
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-2.0]), (20, [3.0])], "vec_id bigint, embedding array<float>")
     got = topk_search.top_k(topk_search.usable(df), F.col("id") % 20 == 0).collect()

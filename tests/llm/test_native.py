@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows_of
 from cloakwork.llm.exact_dedup import drop_exact, exact_groups
-from cloakwork.llm.secrets import ALLOWED, BASE, THRESHOLDS, WINDOW, digest, op5_secrets, scan_secrets
+from cloakwork.llm.secrets import ALLOWED, BASE, LOOSE, ORACLE, THRESHOLDS, WINDOW, WORDS, digest, op5_secrets, scan_secrets
 from cloakwork.llm.sharding import edited_map, first_map, load_map, placed, records, slot_bytes, store_map
-from cloakwork.llm.url_filter import RULES, judge_urls, reputations
+from cloakwork.llm.url_filter import RULES, domain_and_suffix, judge_urls, reputations
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, norm string, md5 string, keep_id string, kept string"
 
@@ -78,6 +78,37 @@ def test_reputation_shrinks(spark):
     assert {(r["host"], r["verdict"]) for r in labelled.collect()} == {("evil.zone", "block"), ("fine.zone", "allow")}
 
 
+def test_hosts_without_outcomes_are_allowed(spark):
+    """Rules that only ever block one suffix say nothing of another, whatever the number of pages."""
+    for n in (3, 300):
+        bad = [(i, f"http://h{i % 7}.a{i % 3}.net/es/{i}") for i in range(40 * n)]
+        rest = [(10**6 + i, f"http://h{i % 5}.b.org/x") for i in range(n)] + [(2 * 10**6, "http://one.b.info/"), (3 * 10**6, None)]
+        df = spark.createDataFrame(bad + rest, "page_id bigint, url string")
+        got = {r["host"].rsplit(".", 1)[-1]: r["verdict"] for r in judge_urls(df, RULES).where("rule IS NULL").collect()}
+        assert got == {"org": "allow", "info": "allow", "": "allow"}
+        # With labels of the caller, where those pages have none.
+        labelled = df.withColumn("bad", F.when(F.col("url").contains(".net"), 1))
+        got = {(r["host"].rsplit(".", 1)[-1], r["verdict"]) for r in judge_urls(labelled, (), bad=F.col("bad")).collect()}
+        assert got == {("net", "block"), ("org", "allow"), ("info", "allow"), ("", "allow")}
+
+
+def test_a_host_whose_pages_are_mostly_blocked(spark):
+    pages = [(i, f"http://bad.net/{'es' if i % 20 else 'de'}/{i}") for i in range(200)] + [(1000 + i, f"http://mixed{i % 9}.net/{'es' if i % 3 == 0 else 'de'}/{i}") for i in range(900)]
+    got = {(r["host"], r["verdict"]) for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), RULES).where("rule IS NULL").collect()}
+    assert ("bad.net", "block") in got and {v for h, v in got if h.startswith("mixed")} == {"allow"}
+
+
+def test_registered_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "uk", "x.y.z.com", "com", "", "a.uk", "xco.uk"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    for suffixes, want in (((), ["co.uk", "co.uk", "co.uk", "uk", "z.com", "com", "", "a.uk", "xco.uk"]),
+                           (("uk", "co.uk"), ["b.co.uk", "b.co.uk", "co.uk", "uk", "z.com", "com", "", "a.uk", "xco.uk"])):
+        domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+        got = {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()}
+        assert [got[h][0] for h in hosts] == want
+        assert got["a.b.co.uk"][1] == ("co.uk" if suffixes else "uk") and got["x.y.z.com"][1] == "com"
+
+
 def test_sharding(spark, sf, tmp_path):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(
         spark.createDataFrame([(10**6, None), (10**6, None), (None, "")], "doc_id bigint, text string"))
@@ -113,17 +144,26 @@ def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
+def plain_class(run):
+    lower, upper, digit = (any(f(c) for c in run if c.isalnum()) for f in (str.islower, str.isupper, str.isdigit))
+    if digit and lower != upper and not set(run) - set("0123456789abcdef" if lower else "0123456789ABCDEF"):
+        return "hex"
+    if digit:
+        return "mixed" if lower and upper else "lower_digits" if lower else "upper_digits" if upper else None
+    return "letters" if lower and upper else "one_case" if lower or upper else None
+
+
 def brute_spans(text):
     out = []
     for order, (kind, pattern, group, least) in enumerate(BASE):
         out += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}", text):
         c = m.group()
-        is_hex = re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) and re.search("[a-fA-F]", c) and re.search("[0-9]", c)
-        mixed = re.search("[a-z]", c) and re.search("[A-Z]", c) and re.search("[0-9]", c)
-        if not (is_hex or mixed) or re.fullmatch("|".join(f"(?:{a})" for a in ALLOWED), c):
+        kind = plain_class(c)
+        whole = lambda patterns: re.fullmatch("|".join(f"(?:{a})" for a in patterns), c)  # noqa: E731, B023
+        if kind is None or whole([a for a in ALLOWED if a not in LOOSE]) or whole(LOOSE) and re.search(WORDS, c):
             continue
-        high = [i for i in range(len(c) - WINDOW + 1) if entropy(c[i : i + WINDOW]) >= THRESHOLDS["hex" if is_hex else "mixed"]]
+        high = [i for i in range(len(c) - WINDOW + 1) if entropy(c[i : i + WINDOW]) >= THRESHOLDS[kind] - 1e-9]
         if high:
             out.append((m.start() + high[0], 3, "entropy", m.start() + high[-1] + WINDOW))
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
@@ -149,6 +189,36 @@ def test_secrets(spark, tmp_path):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(base.count(k + ":") for k in ("assign", "access", "hex"))
 
 
+KEYS = {
+    "lower and digits": lambda rng: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=40)),
+    "base32": lambda rng: base64.b32encode(rng.randbytes(25)).decode(),
+    "letters": lambda rng: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40)),
+    "hex": lambda rng: rng.randbytes(20).hex().upper(),
+    "base64": lambda rng: base64.b64encode(rng.randbytes(30)).decode(),
+    "base64url": lambda rng: base64.urlsafe_b64encode(rng.randbytes(32)).decode(),
+}
+
+
+def test_secrets_of_every_class_and_their_sql(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [(kind, f"key {make(rng)}, and more") for kind, make in KEYS.items() for _ in range(200)]
+    texts += [("words", w) for w in ("incomprehensibilities counterrevolutionaries", "path/To/Some/File9/name/Here", "12345678901234567890123", "AbstractSingletonProxyFactoryBean",
+                                      "internationalization_of_words-and-names", "x" * 60, "0" * 30 + "a" * 30)]
+    texts += [("mixed runs", make(rng)[:19] + rng.choice("/_-=+") + other(rng) * 2) for make in KEYS.values() for other in KEYS.values()]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op5_secrets(spark, str(tmp_path)).collect()
+    found = {r["doc_id"]: r["spans"] for r in got}
+    hits = Counter(kind for i, (kind, _) in enumerate(texts) if "entropy" in found[i])
+    assert all(hits[kind] >= 198 for kind in KEYS) and not hits["words"], hits
+    assert all(found[i] == brute_spans(t) for i, (_, t) in enumerate(texts))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(ORACLE["op5_secrets"])
+    names = [d[0] for d in cursor.description]
+    assert rows_of(names, cursor.fetchall()) == rows_of(got[0].__fields__, [tuple(r) for r in got])
+
+
 def entropy_hits(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     return sum("entropy" in r["digest"] for r in scan_secrets(df).withColumn("digest", digest(F.col("spans"))).collect())
