@@ -58,11 +58,12 @@ def _constant(rows: list, schema: T.StructType) -> Column:
     return F.from_json(F.lit(data), T.ArrayType(schema))
 
 
-def join_same(df: DataFrame, right: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Left join on the id columns, where a null equals a null."""
+def join_same(df: DataFrame, right: DataFrame, id_cols: Sequence[str], null_ids: bool = True) -> DataFrame:
+    """Left join on the id columns, where a null equals a null.  Without ``null_ids`` none does, and buckets by the ids are used."""
     keys = [f"_cw_key_{i}" for i in range(len(id_cols))]
     renamed = right.withColumnsRenamed(dict(zip(id_cols, keys, strict=True)))
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(id_cols, keys, strict=True)])
+    equal = Column.eqNullSafe if null_ids else Column.__eq__
+    same = reduce(and_, [equal(F.col(c), F.col(k)) for c, k in zip(id_cols, keys, strict=True)])
     return df.join(renamed, same, "left").drop(*keys)
 
 

@@ -136,12 +136,12 @@ def apply_pairs(df: DataFrame, pairs: DataFrame, id_cols: Sequence[str], directi
 
 
 def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text_col: str = "masked_text",
-                 out_col: str = "restored_text") -> DataFrame:
+                 out_col: str = "restored_text", null_ids: bool = True) -> DataFrame:
     """Put the sources back for ``[TYPE_n]`` tags, from a mapping table scoped by document.
 
     The mapping is grouped by document first, so documents and mapping meet in one equi-join (or
-    none, if both are bucketed by the id).  Tags cannot overlap, so one pass finds them all.  Null
-    ids are equal.  Where documents share an id and their mappings disagree on a tag, the query
+    none, if both are bucketed by the id and ``null_ids`` is off).  Tags cannot overlap, so one pass finds them all.  Null
+    ids are equal, unless ``null_ids`` is off.  Where documents share an id and their mappings disagree on a tag, the query
     fails rather than put in the value of another document.
     """
     pair = F.struct(F.col("replacement").alias("k"), F.col("source").alias("v"))
@@ -153,7 +153,7 @@ def restore_tags(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text
     clear = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["k"]))) == F.size("_pairs")
     refuse = F.raise_error(F.lit("one tag stands for two sources: the ids of the mapping repeat"))
     per_doc = per_doc.withColumn("_pairs", F.when(clear, F.col("_pairs")).otherwise(refuse.cast(per_doc.schema["_pairs"].dataType)))
-    joined = join_same(df, per_doc, id_cols)
+    joined = join_same(df, per_doc, id_cols, null_ids)
     text = F.col(text_col)
     joined = joined.withColumn(
         "_tags", F.when(F.size("_pairs") > 0, F.regexp_extract_all(text, F.lit(TAG), F.lit(0)))
@@ -201,19 +201,20 @@ def _checked_source(span: Column) -> Column:
 
 
 def restore_positions(df: DataFrame, mapping: DataFrame, id_cols: Sequence[str], text_col: str = "masked_text",
-                      out_col: str = "restored_text") -> DataFrame:
+                      out_col: str = "restored_text", null_ids: bool = True) -> DataFrame:
     """Put the sources back by position, from a mapping table scoped by document.
 
     Replacements are not looked up, so this restores synthetic values too, which repeat, and texts that held
     something like ``[EMAIL_1]`` before.  The text must be the masking result as it was written: one that differs at
     a replacement fails the query, and so does a mapping whose spans overlap, as where documents share an id.  Records with
-    ``enabled`` false show their source in the text and are left out.  Null ids are equal.
+    ``enabled`` false show their source in the text and are left out.  Null ids are equal, unless
+    ``null_ids`` is off.
 
-    Mapping and documents meet in one equi-join, or in none if both are bucketed by the id.
+    Mapping and documents meet in one equi-join, or in none if both are bucketed by the id and ``null_ids`` is off.
     """
     place = F.col("position")
     kept = mapping.where(F.coalesce(F.col("enabled"), F.lit(True))) if "enabled" in mapping.columns else mapping
     record = F.struct(place["start"].cast("int").alias("start"), place["end"].cast("int").alias("end"), "source", "replacement")
     per_doc = kept.groupBy(*id_cols).agg(F.array_sort(F.collect_set(record)).alias("_records"))
-    joined = settle(join_same(df, per_doc, id_cols), "_known", F.when(F.size("_records") > 0, _shifted(F.col("_records"))))
+    joined = settle(join_same(df, per_doc, id_cols, null_ids), "_known", F.when(F.size("_records") > 0, _shifted(F.col("_records"))))
     return mask_text(joined.drop("_records"), text_col, "_known", out_col, _checked_source).drop("_known")

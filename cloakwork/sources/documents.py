@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,26 @@ def write_masked(df: DataFrame, path: str, mapping: DataFrame | None = None, map
     df.write.format(fmt).mode(mode).save(path)
     if mapping is not None:
         mapping.write.format(fmt).mode(mode).save(mapping_path)
+
+
+DOC_KEY = "doc_key"
+
+
+def write_restorable(masked: DataFrame, records: DataFrame, id_cols: Sequence[str], tables: tuple[str, str], buckets: int,
+                     folders: tuple[str, str] | None = None) -> None:
+    """Write masked documents and their mapping as two tables that later meet without a shuffle.
+
+    Both are bucketed and sorted by ``doc_key``, which is made of the ids and never null.  ``folders`` are places
+    of their own for external tables; the mapping holds the raw values.
+    """
+    if folders:
+        apart(*folders)
+    key = F.to_json(F.struct(*id_cols), {"ignoreNullFields": "false"})
+    for k, (rows, name) in enumerate(zip((masked, records), tables, strict=True)):
+        writer = rows.withColumn(DOC_KEY, key).write.bucketBy(buckets, DOC_KEY).sortBy(DOC_KEY)
+        (writer.option("path", folders[k]) if folders else writer).saveAsTable(name)
+
+
+def read_restorable(spark: SparkSession, tables: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
+    """What :func:`write_restorable` wrote.  Restore by ``[DOC_KEY]`` with ``null_ids=False``: each bucket is restored where it is read."""
+    return tuple(spark.table(name) for name in tables)

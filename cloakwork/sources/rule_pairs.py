@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -111,21 +111,42 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return import_envelopes(files, "value", ["file"])
 
 
-def read_pairs(spark: SparkSession, path: str, others: str = "") -> DataFrame:
-    """Read what :func:`write_pairs` wrote, with the same checks as for an envelope: a value that is no string is none.
-
-    ``others`` is the schema of further columns, such as ``doc_id bigint, ord bigint``.
-    """
-    head = spark.read.json(f"{path}/head", schema="schemaVersion string, generatedAt string, total bigint")
+def _parsed_pairs(spark: SparkSession, path: str, others: str) -> DataFrame:
     body = spark.read.text(f"{path}/rules").select(F.try_parse_json("value").alias("_v"))
     more = StructType.fromDDL(others) if others else StructType()
-    pairs = body.select(
+    return body.select(
         *[F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in more],
         *_fields(F.col("_v")),
     )
+
+
+def _agrees(spark: SparkSession, path: str, rows: int, sound: bool) -> bool:
+    head = spark.read.json(f"{path}/head", schema="schemaVersion string, generatedAt string, total bigint").first()
+    return head is not None and head.schemaVersion == SCHEMA_VERSION and head.total == rows and sound
+
+
+def read_pairs(spark: SparkSession, path: str, others: str = "", into: str | None = None) -> DataFrame:
+    """Read what :func:`write_pairs` wrote, with the same checks as for an envelope: a value that is no string is none.
+
+    ``others`` is the schema of further columns, such as ``doc_id bigint, ord bigint``.
+
+    With ``into``, a path, the pairs are parsed once: they are written there as Parquet while they are counted and checked, and
+    read back.  If a pair is bad, or their number is not that of the head, nothing stays there.  Without it they are
+    checked now and parsed again by whoever reads the result, which needs no space.
+    """
+    pairs = _parsed_pairs(spark, path, others)
     ok = valid_pair({n: F.col(n) for n in PAIR_FIELDS})
-    checks = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("ok")).first()
-    first = head.first()
-    if first is None or first.schemaVersion != SCHEMA_VERSION or first.total != checks.n or not checks.ok:
+    checks = [F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("ok")]
+    if into is None:
+        seen = pairs.agg(*checks).first()
+        if not _agrees(spark, path, seen.n, seen.ok):
+            raise InvalidRulesFile("invalid-rules-file")
+        return pairs
+    observed = Observation()
+    target = spark._jvm.org.apache.hadoop.fs.Path(into)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    pairs.observe(observed, *checks).write.mode("errorifexists").parquet(into)
+    if not _agrees(spark, path, observed.get["n"], observed.get["ok"]):
+        files.delete(target, True)
         raise InvalidRulesFile("invalid-rules-file")
-    return pairs
+    return spark.read.schema(pairs.schema).parquet(into)

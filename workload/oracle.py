@@ -438,6 +438,9 @@ ORACLE |= {
     "roundtrip_audit_positions": "SELECT count(*) AS documents, count(*) AS equal, CAST(0 AS BIGINT) AS different FROM orders",
     # Every note holds an address, so its old [EMAIL_1] is taken for the new one.
     "roundtrip_audit_tags": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS equal, count(*) AS different FROM orders",
+    "pii_profile_merged": ORACLE["pii_profile"],
+    "restore_bucketed": ORACLE["restore_documents"],
+    "import_pairs_once": ORACLE["import_pairs"],
     "stream_mapping": ORACLE["mapping_table"],
     "stream_restore": ORACLE["restore_documents"],
 }
@@ -459,6 +462,9 @@ def _register() -> str:
 
 
 _NULLED = "CASE WHEN doc_id % 3 <> 0 THEN doc_id END AS doc_id, doc_id AS nr"
+ORACLE["corpus_pseudonyms_over_runs"] = ORACLE["corpus_pseudonyms"].replace(
+    "min(doc_id * 1000000000 + s) AS first", "coalesce(min(doc_id * 1000000000 + s) FILTER (doc_id % 2 = 0), 1000000000000000000 + min(doc_id * 1000000000 + s)) AS first"
+)
 ORACLE |= {
     "extended_profile_register": _register(),
     "switch_sequence": pipeline(_FORMS2)

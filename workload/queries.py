@@ -20,6 +20,7 @@ from cloakwork.operators.overlaps import resolve_overlaps, sort_key, sweep
 from cloakwork.plans import corpus, profile, roundtrip
 from cloakwork.plans.masking import detect, explode_spans, find_candidates, mapping, mask
 from cloakwork.sources import rule_pairs
+from cloakwork.sources.documents import DOC_KEY, read_restorable, write_restorable
 from cloakwork.streaming import masking_stream
 from workload.inputs import documents, forms, mail_notes, notes, register, table
 
@@ -504,6 +505,35 @@ def pii_profile(spark, sf):
     return profile.pii_profile(explode_spans(mask(docs), *ID, "lang", "origin"), ["lang", "type", "rule_id"])
 
 
+def pii_profile_merged(spark, sf):
+    """Profiles of three runs, by the remainder of the id, stored and added up."""
+    docs = documents(spark, sf, "lang", "source").withColumnRenamed("source", "origin")
+    spans = explode_spans(mask(docs), *ID, "lang", "origin")
+    by = ["lang", "type", "rule_id"]
+    runs = _kept(profile.profile_sketches(spans.withColumn("run", F.col("doc_id") % 3), ["run", *by]), "profiles")
+    return profile.merged_profile(runs, by)
+
+
+def restore_bucketed(spark, sf):
+    """Masked documents and mapping as bucketed tables, restored without a shuffle."""
+    masked = mask(documents(spark, sf))
+    mark = uuid.uuid4().hex
+    names = (f"masked_{mark}", f"vault_{mark}")
+    kept = _kept(masked.drop("text", "clean_text"), "masked")  # detection runs once
+    write_restorable(kept.drop("spans"), mapping(kept, *ID), ID, names, 8, tuple(f"{_scratch(spark)}/{n}" for n in names))
+    restored, records = read_restorable(spark, names)
+    return roundtrip.restored(restored, [DOC_KEY], records, by="positions", null_ids=False).select("doc_id", "restored_text")
+
+
+def import_pairs_once(spark, sf):
+    """A pair table, written with its head and read back in one pass."""
+    path = f"{_scratch(spark)}/pairs-{uuid.uuid4().hex}"
+    long = P.collect_pairs(_doc_spans(spark, sf), ID)
+    rule_pairs.write_pairs(long, f"{path}/out", _AT)
+    pairs = rule_pairs.read_pairs(spark, f"{path}/out", "doc_id bigint, ord bigint", into=f"{path}/in")
+    return pairs.select("doc_id", "ord", *P.PAIR_FIELDS)
+
+
 def pii_rollup(spark, sf):
     docs = documents(spark, sf, "lang")
     return profile.pii_rollup(explode_spans(mask(docs), *ID, "lang"), "lang", "type")
@@ -518,6 +548,15 @@ def corpus_pseudonyms(spark, sf):
     return corpus.corpus_pseudonyms(found, "doc_id", checkpoint_dir=_scratch(spark)).select("doc_id", "masked_text")
 
 
+def corpus_pseudonyms_over_runs(spark, sf):
+    """Two runs on one dictionary: first the documents whose id is even, then all; the values of the first keep their numbers."""
+    found = _kept(detect(documents(spark, sf)).select("doc_id", "clean_text", "spans"), "detected")
+    path = f"{_scratch(spark)}/dictionary-{uuid.uuid4().hex}"
+    even = found.where("doc_id % 2 = 0")
+    corpus.extend_dictionary(explode_spans(even, *ID), "doc_id", path, _scratch(spark))
+    return corpus.corpus_pseudonyms(found, "doc_id", checkpoint_dir=_scratch(spark), dictionary=path).select("doc_id", "masked_text")
+
+
 def stream_mask(spark, sf):
     out = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "documents").schema
@@ -568,7 +607,8 @@ QUERIES: dict[str, Query] = {
             imported_user_rules, export_after_reverse,
             collect_pairs, pairs_order, export_pairs, import_pairs, import_refusals, apply_list_forward, apply_list_summary,
             imported_mapping, imported_switches, extended_profile_forms, extended_profile_register, registered_rule, blank_texts, span_ids, apply_scoped_reverse,
-            restore_documents, restore_synthetic, restore_forms_synthetic, roundtrip_audit, roundtrip_audit_positions, roundtrip_audit_tags, pii_profile, pii_rollup, documents_with_pii, corpus_pseudonyms, stream_mask,
+            restore_documents, restore_synthetic, restore_forms_synthetic, roundtrip_audit, roundtrip_audit_positions, roundtrip_audit_tags, pii_profile,
+            pii_profile_merged, restore_bucketed, import_pairs_once, pii_rollup, documents_with_pii, corpus_pseudonyms, corpus_pseudonyms_over_runs, stream_mask,
             stream_mapping, stream_restore,
         )
     },
