@@ -312,7 +312,7 @@ _LOG = """explode(CASE WHEN start = low THEN filter(array(struct(nr * 10 + 1 AS
 
 def switch_sequence(spark, sf):
     ids = ["doc_id", "nr"]
-    spans = _form_spans(spark, sf)
+    spans = _kept(_form_spans(spark, sf), "spans")  # detection runs once
     ends = spans.groupBy("nr").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     log = spans.join(ends, "nr").selectExpr(*ids, "entity_id", _LOG).select(*ids, "entity_id", "r.*")
     off = spans.where("type = 'DOC_ID' AND nr % 4 = 3").select(*ids, "entity_id")
