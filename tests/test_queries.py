@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -25,6 +26,17 @@ def con(sf):
     return con
 
 
+@pytest.mark.parametrize("folder", [False, True])
+def test_documents_in_one_file_or_several(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(i, f"mail a{i}@example.com") for i in range(8)], "doc_id bigint, text string")
+    if folder:
+        rows.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        pq.write_table(rows.toArrow(), f"{tmp_path}/documents.parquet")
+    names = ("stream_mask", "stream_mapping", "stream_restore")
+    assert [entry.queries()[n](spark, str(tmp_path)).count() for n in names] == [8, 8, 8]
+
+
 def test_every_query_has_sql():
     assert set(entry.QUERIES) == set(entry.ORACLE)
     assert set(entry.oracle_sql()) <= set(entry.queries())

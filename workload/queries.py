@@ -557,10 +557,15 @@ def corpus_pseudonyms_over_runs(spark, sf):
     return corpus.corpus_pseudonyms(found, "doc_id", checkpoint_dir=_scratch(spark), dictionary=path).select("doc_id", "masked_text")
 
 
+def _document_stream(spark, sf):
+    """The documents as a stream, from one file or a folder of files: a plain path may name a folder only, a glob either."""
+    schema = table(spark, sf, "documents").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{documents.parquet}}").select("doc_id", "text")
+
+
 def stream_mask(spark, sf):
     out = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
+    stream = _document_stream(spark, sf)
     masking_stream.write_masked_stream(masking_stream.mask_stream(stream), f"{out}/data", f"{out}/log").awaitTermination()
     return spark.read.parquet(f"{out}/data").select("doc_id", "masked_text")
 
@@ -568,8 +573,7 @@ def stream_mask(spark, sf):
 def _published(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Masked documents and their mapping, both written by a stream and read back."""
     out = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf).select("doc_id", "text")
+    stream = _document_stream(spark, sf)
     paths = f"{out}/masked", f"{out}/vault"
     masking_stream.write_stream_with_mapping(masking_stream.mask_stream(stream), ID, *paths, f"{out}/log").awaitTermination()
     return tuple(masking_stream.read_published(spark, p) for p in paths)
