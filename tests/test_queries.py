@@ -1,16 +1,19 @@
 """A cross-section of the registered queries against their SQL counterparts (all: check_oracle.py)."""
 
+import datetime
 import sys
 from pathlib import Path
 
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, rows_of  # noqa: E402
+from workload import inputs  # noqa: E402
 
 SAMPLE = (
     "detect_documents", "mask_forms_tag", "mask_forms_synthetic", "validators", "replacement_templates", "gap_fill",
@@ -37,6 +40,19 @@ def test_documents_in_one_file_or_several(spark, tmp_path, folder):
     assert [entry.queries()[n](spark, str(tmp_path)).count() for n in names] == [8, 8, 8]
 
 
+def test_texts_of_orders_are_dealt_out(spark, tmp_path, monkeypatch):
+    """One row group, null and repeated keys: no task gets all the texts."""
+    monkeypatch.setattr(inputs, "ROWS_A_TASK", 100)
+    day = datetime.date(2024, 1, 2)
+    rows = [(i if i % 3 else None, i % 7, day) for i in range(1000)]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate date")
+    pq.write_table(orders.toArrow(), f"{tmp_path}/orders.parquet")
+    for made in (inputs.forms, inputs.notes, inputs.mail_notes, inputs.register):
+        tasks = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 10 and max(t["count"] for t in tasks) <= 200
+        assert sum(t["count"] for t in tasks) == 1000
+
+
 def test_every_query_has_sql():
     assert set(entry.QUERIES) == set(entry.ORACLE)
     assert set(entry.oracle_sql()) <= set(entry.queries())
