@@ -1,7 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.catalogue import ALL_RULES, REGIONS, Rule, active_rules, register_rule
+from cloakwork.functions import text as X
+from cloakwork.operators.candidates import _pieces
 from cloakwork.plans.masking import detect, explode_spans, mask
 
 from texts import CASES
@@ -122,3 +126,16 @@ def test_dense_document(spark):
     assert len(spans) == 6000
     assert [s.replacement for s in spans] == [f"[EMAIL_{i % 3000 + 1}]" for i in range(6000)]
     assert all(text[s.start : s.end] == s.source for s in spans)
+
+
+def test_one_pass_of_a_pattern(spark):
+    """The texts come cut around their matches, also those that hold the character the cuts are made with."""
+    texts = ["", "none", "12", "a12", "12b", "a12b345c6", "12\uFDD034", "\uFDD0", "\uFDD01\uFDD02"]
+    sql = _pieces("text", r"\d+")
+    assert sql.split("ELSE")[1].count(r"\d+") == 1
+    cut = F.expr(sql)
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", cut.alias("p"), X.piece_positions(F.col("p")).alias("at")).collect()
+    for r in got:
+        assert r.p == re.split(r"(\d+)", r.text)
+        assert [tuple(a) for a in r["at"]] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\d+", r.text)]
+    assert len(got) == len(texts)
