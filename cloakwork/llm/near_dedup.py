@@ -17,7 +17,8 @@ Equal sets are one class from the start.  Buckets are worked through without wri
    leave the task.
 
 All buckets take this one way, whatever their size.  The work of a cluster grows with the square of its blocks.
-Every link is confirmed on the full sets.  Components come from alternating large and small stars.
+Every link is confirmed on the full sets.  Components come from forests of bounded parts of the links, and
+from alternating large and small stars between them.
 
 Texts are not moved: a task that reads them makes the sets that are wanted, which a bit table of at most 64 MB tells it.
 
@@ -49,6 +50,7 @@ THRESHOLD = 75  # percent
 GUESS = 0.55  # least share of equal coordinates for the first step, which only saves work for the others
 BLOCK = 1 << 24  # bytes of sets
 MEETINGS = 1 << 20  # pairs looked at together
+EDGES = 200_000  # edges that a task reduces to a forest
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -166,15 +168,53 @@ def item_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return made.join(wanted.select("node", "print"), F.col("p") == F.col("print")).select("node", "items").dropDuplicates(["node"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``a, b`` to ``node, component`` (the smallest node reachable), for all nodes but the smallest of each."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges ``u, v`` of one task to ``node, smallest node reachable by them``: as connected, with fewer rows."""
+    pairs = [np.stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
+    if not pairs:
+        return
+    name, ends = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    root = list(range(len(name)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for x, y in ends.reshape(2, -1).T.tolist():
+        x, y = top(x), top(y)
+        root[max(x, y)] = min(x, y)
+    low = np.array([top(k) for k in range(len(name))])
+    inner = low != np.arange(len(name))
+    yield pa.RecordBatch.from_arrays([pa.array(name[inner]), pa.array(name[low[inner]])], names=["u", "v"])
+
+
+def components(edges: DataFrame, task: int = EDGES) -> DataFrame:
+    """``a, b`` to ``node, component`` (the smallest node reachable), for all nodes but the smallest of each.
+
+    Each task first reduces its edges to a forest.  What does not fit a task of ``task`` edges goes through rounds of
+    large and small stars until nothing changes or the rest fits.
+    """
 
     def mark(frame: DataFrame) -> tuple:
         return tuple(frame.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
-    seen = mark(e)
-    while True:
+    def reduced(frame: DataFrame, rows: int) -> DataFrame:
+        dealt = frame.coalesce(1) if rows <= task else frame.repartition(-(-rows // task))
+        return cut(dealt.mapInArrow(_forest, "u bigint, v bigint"))
+
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    rows = e.count()
+    e = reduced(e, rows)
+    seen = None
+    while rows > task:
+        now = mark(e)
+        if now == seen:
+            break
+        if now[0] <= task:
+            e = reduced(e, now[0])
+            break
+        seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -182,10 +222,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(small.distinct())
-        now = mark(e)
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:

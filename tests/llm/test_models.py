@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cloakwork.llm import lm_scoring, mixing, near_dedup, packing, topk_search, toxicity
-from cloakwork.llm.common import remainder
+from cloakwork.llm.common import cut, remainder
 from cloakwork.llm.tokens import encoder
 
 PATH = packing.default_tokenizer()
@@ -235,6 +235,29 @@ def test_near_components(spark, monkeypatch, block):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == plain_components(texts)
 
 
+@pytest.mark.parametrize("task", [7, 200_000])
+def test_components_in_parts_and_whole(spark, task):
+    rng = random.Random(5)
+    pairs = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(70)] + [(200, 200), (140, 100)]
+    low = {k: k for k in range(300)}
+    for _ in low:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    got = near_dedup.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5), task).collect()
+    assert sorted(map(tuple, got)) == [(k, v) for k, v in low.items() if k != v]
+
+
+def test_components_of_few_links_take_few_steps(spark):
+    """Every round of stars shuffles several times over all partitions, whatever the number of links."""
+    edges = cut(spark.createDataFrame([(k, k + 1) for k in range(100)], "a bigint, b bigint"))
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert near_dedup.components(edges).count() == 100
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
 def test_near_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
