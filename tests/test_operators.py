@@ -135,3 +135,36 @@ def test_text_functions(spark):
         assert r.s == text[max(r.a, 0) : r.b]
     trimmed = spark.createDataFrame([("\u00a0\ufeff a b \n\u2029",)], "t string").select(X.trim_space(F.col("t"))).first()[0]
     assert trimmed == "a b"
+
+
+def _fold_types(expr):
+    if expr.getClass().getSimpleName() == "ArrayAggregate":
+        yield expr.zero().dataType().catalogString()
+    children = expr.children()
+    for k in range(children.size()):
+        yield from _fold_types(children.apply(k))
+
+
+def test_folds_over_long_span_lists_carry_numbers_only(spark):
+    """A fold copies all it has collected at every step, so texts in its states cost their length times the list's."""
+    n = 700
+    made = spark.range(1).selectExpr(
+        f"transform(sequence(1, {n}), i -> struct(i * 3 AS start, i * 3 + 3 + i % 2 AS end, i % 5 AS priority, i AS ord, 'EMAIL' AS type, "
+        "CAST(NULL AS STRING) AS region, concat('value ', i % 300) AS source, CAST(NULL AS STRING) AS replacement)) AS s"
+    )
+    keys = F.transform("s", lambda s: sort_key(s.start, s.end, s.priority, s.ord, s))
+    out = made.select(F.transform(sweep(keys), lambda k: k.payload.start).alias("kept"), fill_replacements(F.col("s"), "tag").alias("filled"))
+    types = list(_fold_types(out._jdf.queryExecution().analyzed().expressions().apply(0)))
+    types += _fold_types(out._jdf.queryExecution().analyzed().expressions().apply(1))
+    assert types and not [t for t in types if "string" in t]
+    row = out.first()
+    kept = []
+    for i in range(1, n + 1):
+        start, end, priority = i * 3, i * 3 + 3 + i % 2, i % 5
+        if not kept or start >= kept[-1][1]:
+            kept.append((start, end, priority, False))
+        elif priority > kept[-1][2]:
+            kept[-1] = (*kept[-1][:3], True)
+            kept.append((start, end, priority, False))
+    assert row["kept"] == [start for start, _, _, evicted in kept if not evicted]
+    assert [s["replacement"] for s in row["filled"]] == [f"[EMAIL_{i % 300 or 300}]" for i in range(1, n + 1)]
