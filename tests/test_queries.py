@@ -70,3 +70,10 @@ def test_query(spark, con, sf, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert got == rows_of(names, cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["masked_with_null_ids"])
+def test_detection_runs_once(spark, sf, name):
+    """Where several steps read a masking result, it is kept: nothing reads the texts again."""
+    read = entry.queries()[name](spark, sf).inputFiles()
+    assert read and not any("orders.parquet" in f or "documents.parquet" in f for f in read)
