@@ -72,7 +72,8 @@ def test_query(spark, con, sf, name):
     assert got == rows_of(names, cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["masked_with_null_ids", "present_types_and_regions", "switch_everywhere", "switch_local"])
+@pytest.mark.parametrize("name", ["masked_with_null_ids", "present_types_and_regions", "switch_everywhere", "switch_local",
+                                  "roundtrip_audit_tags", "roundtrip_audit_positions", "restore_forms_synthetic"])
 def test_detection_runs_once(spark, sf, name):
     """Where several steps read a masking result, it is kept: nothing reads the texts again."""
     read = entry.queries()[name](spark, sf).inputFiles()
