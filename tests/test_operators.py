@@ -168,3 +168,16 @@ def test_folds_over_long_span_lists_carry_numbers_only(spark):
             kept.append((start, end, priority, False))
     assert row["kept"] == [start for start, _, _, evicted in kept if not evicted]
     assert [s["replacement"] for s in row["filled"]] == [f"[EMAIL_{i % 300 or 300}]" for i in range(1, n + 1)]
+
+
+def test_validators_in_one_pattern_each(spark):
+    """Nothing is trimmed, split or put together again around a candidate, and the edges of the shapes stay where they were."""
+    for test in (V.valid_ipv4, V.valid_ipv6, V.date_like, V.likely_phone):
+        text = str(test(F.col("v")))
+        assert "split" not in text and "regexp_replace" not in text
+    check(spark, V.valid_ipv6, {"1:2:3:4:5:6:7::": True, "::2:3:4:5:6:7:8": True, "1:2:3:4:5:6:7::8": False, "1:2:3:4::5:6:7:8": False,
+                                "::1:2:3:4:5:6:7:8": False, "1:2:3:4:5:6:7:8::": False, " 1::2\n": True, "a:b": False, "1:::2": False,
+                                "1::2:": False, "12345::": False, "": False, ":": False, "1::2::": False})
+    check(spark, V.valid_ipv4, {"255.249.199.99": True, "0.00.000.1": True, "1.2.3.260": False, "1.2.3.0255": False, "1.2.3.": False, "": False})
+    check(spark, V.likely_phone, {"12345678": False, "123456789": True, "1-2-3-4-5-6-7-8-9-0-1-2-3-4-5": True, "1234567890123456": False,
+                                  "12345678901234567": False, " 10.06.2026 ": False, " 4111 1111 1111 1111": False})
