@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cloakwork.catalogue import ALL_RULES, REGIONS, Rule, active_rules, register_rule
 from cloakwork.functions import text as X
 from cloakwork.operators.candidates import _pieces
-from cloakwork.plans.masking import detect, explode_spans, mask
+from cloakwork.plans.masking import detect, explode_spans, find_candidates, mask
 
 from texts import CASES
 
@@ -139,3 +139,27 @@ def test_one_pass_of_a_pattern(spark):
         assert r.p == re.split(r"(\d+)", r.text)
         assert [tuple(a) for a in r["at"]] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\d+", r.text)]
     assert len(got) == len(texts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 15, 16, 17, 40])
+def test_places_of_few_and_many(spark, n):
+    text = "é".join(f"𝄞{i}" for i in range(n)) + "ж"
+    cut = F.expr(_pieces("text", r"\d+"))
+    at = spark.createDataFrame([(text,)], "text string").select(X.piece_positions(cut).alias("at")).first()["at"]
+    assert [tuple(a) for a in at] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"\d+", text)]
+
+
+def test_gates_hold_for_every_match(spark):
+    """An account of 20 digits, a Russian house and a town are found in texts with nothing else."""
+    texts = ["12345678901234567890", "индекс 123456 г. Москва2", "2ул. Ленина, д. 5", "2ул. LENINA, \u1C81. 5"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.rule_id) for r in explode_spans(find_candidates(rows), "doc_id", spans_col="candidates").collect()}
+    assert {(0, "universal.account20"), (1, "universal.address.ru.postcode_city"), (2, "universal.address.ru.street_house"),
+            (3, "universal.address.ru.street_house")} <= got
+
+
+def test_one_step_from_matches_to_spans(spark):
+    """Spans are written out and read back once between the matches and the result, not after each step."""
+    rows = spark.createDataFrame([(1, "mail a@b.com")], "doc_id int, text string")
+    for made in (detect(rows), mask(rows), mask(rows, mode="synthetic")):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1

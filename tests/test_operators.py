@@ -8,7 +8,8 @@ from cloakwork.functions import replacements as R
 from cloakwork.functions import text as X
 from cloakwork.functions import validators as V
 from cloakwork.functions.arrays import first_seen_rank, lookup
-from cloakwork.operators.numbering import fill_replacements
+from cloakwork.operators import overlaps
+from cloakwork.operators.numbering import fill_replacements, number_spans
 from cloakwork.operators.overlaps import resolve_overlaps, sort_key, sweep
 
 SPAN = "array<struct<start:int,end:int,priority:int,ord:int>>"
@@ -38,6 +39,38 @@ def test_sweep_array_form(spark, span_cases):
         assert got[i] == brute.sweep(c)
 
 
+def test_sweep_of_few_and_many(spark):
+    """The fold for short lists and the one for long ones agree, also where a place or a priority is null."""
+    rng = random.Random(11)
+    cases = [random_spans(rng, n, 90) for n in (2, 15, 31, 32, 33, 34, 64) for _ in range(12)]
+    cases += [[(s if rng.random() > 0.15 else None, e, p if rng.random() > 0.15 else None, o) for s, e, p, o in c] for c in cases]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, spans {SPAN}")
+    keys = F.transform("spans", lambda s: sort_key(s.start, s.end, s.priority, s.ord, s.ord))
+
+    def swept(few):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(overlaps, "FEW", few)
+            return {r.i: list(r.k) for r in df.select("i", F.transform(sweep(keys), lambda k: k.payload).alias("k")).collect()}
+
+    short = swept(1000)
+    assert short == swept(0) == swept(32)
+    for i, c in enumerate(cases[: len(cases) // 2]):
+        assert short[i] == [o for *_, o in brute.sweep(c)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 33, 70])
+def test_numbers_of_few_and_many(spark, n):
+    rng = random.Random(n)
+    spans = [(rng.choice(["USER", "EMAIL", "ORG"]), rng.choice([None, "RU", "EU"]), rng.choice("abcdef")) for _ in range(n)]
+    df = spark.createDataFrame([(spans,), (None,)], "spans array<struct<type:string,region:string,source:string>>")
+    got, none = df.select(number_spans(F.col("spans"), "tag").alias("s")).collect()
+    seen, want = {}, []
+    for t, region, source in spans:
+        values = seen.setdefault(t, {})
+        want.append(f"[{t}_{values.setdefault((region or '-', source), len(values) + 1)}]")
+    assert [s.replacement for s in got.s] == want and none.s is None
+
+
 @pytest.mark.parametrize("block", [7, 65536])
 def test_sweep_table_form(spark, span_cases, block):
     rows = [(i, *s) for i, c in enumerate(span_cases) for s in c]
